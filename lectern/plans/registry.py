@@ -1,5 +1,7 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "r13_hybrid_search"
+from lectern.plans import browse, changes, evidence, relational, retrieval, scalars, streams
+from lectern.plans.base import ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "browse", "changes", "evidence", "relational", "retrieval", "scalars", "streams"]
+FLAGSHIP = "r_13_hybrid_search"
