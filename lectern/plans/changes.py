@@ -10,7 +10,10 @@ from lectern.plans.base import query
 from lectern.sources.stores import checkpoint_dir
 from lectern.sources.views import docs, entries, table, versions
 
-count = F.count(F.lit(1))
+
+def count():
+    """Rows of a group."""
+    return F.count(F.lit(1))
 
 
 def two_runs(spark, sf):
@@ -54,7 +57,7 @@ def cdc_02(spark, sf):
 
 @query("a_15_run_counters", "SELECT status, count(*) AS n FROM (" + CANDIDATES + ") GROUP BY 1")
 def a_15(spark, sf):
-    return candidate_rows(spark, sf).groupBy("status").agg(count.alias("n"))
+    return candidate_rows(spark, sf).groupBy("status").agg(count().alias("n"))
 
 
 @query(
@@ -163,7 +166,7 @@ def snk_04(spark, sf):
 
 @query("snk_06_report_json", "SELECT count(*) AS n, sum(CASE WHEN length(text) >= 50 THEN 1 ELSE 0 END) AS with_text FROM documents")
 def snk_06(spark, sf):
-    r = table(spark, sf, "documents").agg(count.alias("n"), F.count_if(F.length("text") >= 50).alias("with_text")).select(F.to_json(F.struct("n", "with_text")).alias("j"))
+    r = table(spark, sf, "documents").agg(count().alias("n"), F.count_if(F.length("text") >= 50).alias("with_text")).select(F.to_json(F.struct("n", "with_text")).alias("j"))
     return r.select(F.from_json("j", "n long, with_text long").alias("r")).select("r.*")
 
 
@@ -254,7 +257,7 @@ def v_02(spark, sf):
 @query("v_03_one_active", f"SELECT file, count(*) AS n FROM ({GENERATIONS}) WHERE status = 'active' GROUP BY 1 HAVING count(*) > 1")
 def v_03(spark, sf):
     e = table(spark, sf, "events").where("event_type = 'signup'")
-    return e.groupBy(F.col("user_id").alias("file")).agg(count.alias("n")).where("n > 1")
+    return e.groupBy(F.col("user_id").alias("file")).agg(count().alias("n")).where("n > 1")
 
 
 @query("v_04_progression", "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) <> max(l_linenumber) OR min(l_linenumber) <> 1")

@@ -11,7 +11,10 @@ from lectern.operators.windows import best_of, latest
 from lectern.plans.base import query
 from lectern.sources.views import docs, entries, passages, sources, table, versions
 
-count = F.count(F.lit(1))
+
+def count():
+    """Rows of a group."""
+    return F.count(F.lit(1))
 
 
 def typed(e):
@@ -175,7 +178,7 @@ def pr_04(spark, sf):
 
 @query("pr_05_defaults", "SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def pr_05(spark, sf):
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(count.alias("n"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(count().alias("n"))
     return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
@@ -243,7 +246,7 @@ def j_08(spark, sf):
     a = table(spark, sf, "nation").alias("a")
     b = table(spark, sf, "nation").alias("b")
     on = (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") != F.col("b.n_nationkey"))
-    return a.join(b, on).groupBy(F.col("a.n_nationkey").alias("n_nationkey")).agg(count.alias("siblings"))
+    return a.join(b, on).groupBy(F.col("a.n_nationkey").alias("n_nationkey")).agg(count().alias("siblings"))
 
 
 @query("j_09_lateral_unnest", "SELECT doc_id, idx, length(passage) AS n FROM passages", ("passages",))
@@ -296,7 +299,7 @@ def j_12(spark, sf):
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")
     a, b = l.alias("a"), l.alias("b")
     on = "a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber and a.l_shipdate < b.l_shipdate + interval 7 days and b.l_shipdate < a.l_shipdate + interval 7 days and a.l_returnflag <> b.l_returnflag"
-    return a.join(b, F.expr(on)).groupBy(F.col("a.l_orderkey").alias("l_orderkey")).agg(count.alias("clashes"))
+    return a.join(b, F.expr(on)).groupBy(F.col("a.l_orderkey").alias("l_orderkey")).agg(count().alias("clashes"))
 
 
 @query(
@@ -317,14 +320,14 @@ def j_13(spark, sf):
 def j_14(spark, sf):
     given = '[{"prio":"1-URGENT","name":"first"},{"prio":"5-LOW","name":"last"},{"prio":"0-NONE","name":"never"}]'
     r = spark.range(1).select(F.inline(F.from_json(F.lit(given), "array<struct<prio:string,name:string>>")))
-    o = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("prio")).agg(count.alias("n"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("prio")).agg(count().alias("n"))
     return r.join(o, "prio", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("j_15_given_ids", "SELECT k.k AS c_custkey, count(o.o_orderkey) AS n FROM (SELECT unnest([1, 2, 3, 999999]) AS k) k LEFT JOIN orders o ON o.o_custkey = k.k GROUP BY 1")
 def j_15(spark, sf):
     k = spark.range(1).select(F.explode(F.array(*[F.lit(v).cast("long") for v in (1, 2, 3, 999_999)])).alias("c_custkey"))
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(count.alias("n"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(count().alias("n"))
     return k.join(o, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -356,7 +359,7 @@ def j_18(spark, sf):
 
 @query("a_01_count", "SELECT count(*) AS total FROM visible WHERE language = 'en'", ("visible",))
 def a_01(spark, sf):
-    return readable(docs(spark, sf), "premium", "u3", language="en").agg(count.alias("total"))
+    return readable(docs(spark, sf), "premium", "u3", language="en").agg(count().alias("total"))
 
 
 def best_versions(spark, sf, keys=("entry_id", "language")):
@@ -369,12 +372,12 @@ BEST = "SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY priority DESC,
 
 @query("a_02_type_counts", f"SELECT e.entry_type, count(*) AS n FROM ({BEST.format(keys='entry_id, language')}) v JOIN entries e USING (entry_id) WHERE rk = 1 GROUP BY 1", ("versions", "entries"))
 def a_02(spark, sf):
-    return best_versions(spark, sf).select("entry_id").join(entries(spark, sf).select("entry_id", "entry_type"), "entry_id").groupBy("entry_type").agg(count.alias("n"))
+    return best_versions(spark, sf).select("entry_id").join(entries(spark, sf).select("entry_id", "entry_type"), "entry_id").groupBy("entry_type").agg(count().alias("n"))
 
 
 @query("a_03_filtered_counts", "SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS done, count(*) - count(*) FILTER (WHERE event_type = 'error') AS ok FROM events GROUP BY 1")
 def a_03(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(count.alias("total"), F.count_if(F.col("event_type") == "purchase").alias("done"), (count - F.count_if(F.col("event_type") == "error")).alias("ok"))
+    return table(spark, sf, "events").groupBy("user_id").agg(count().alias("total"), F.count_if(F.col("event_type") == "purchase").alias("done"), (count() - F.count_if(F.col("event_type") == "error")).alias("ok"))
 
 
 @query("a_04_funnel", "SELECT count(DISTINCT user_id) FILTER (WHERE event_type = 'view') AS viewed, count(DISTINCT user_id) FILTER (WHERE event_type = 'click') AS clicked, count(DISTINCT user_id) FILTER (WHERE event_type = 'purchase') AS bought FROM events")
@@ -399,7 +402,7 @@ def a_06(spark, sf):
 @query("a_07_nested_objects", "SELECT o_custkey, count(*) AS n, string_agg(o_orderkey || '@' || o_orderpriority, ';' ORDER BY o_orderdate, o_orderkey) AS orders FROM orders GROUP BY 1")
 def a_07(spark, sf):
     nested = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderpriority")))
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(count.alias("n"), nested.alias("l"))
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(count().alias("n"), nested.alias("l"))
     shown = F.transform("l", lambda x: F.concat(x["o_orderkey"], F.lit("@"), x["o_orderpriority"]))
     return o.select("o_custkey", "n", F.array_join(shown, ";").alias("orders"))
 
@@ -413,7 +416,7 @@ def a_07(spark, sf):
 def a_08(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("has"))
     d = docs(spark, sf).select("doc_id", "source_id", F.length("text").alias("n")).join(e, "doc_id", "left")
-    return d.groupBy("source_id").agg(count.alias("pages"), F.count("has").alias("embedded"), (count - F.count("has")).alias("missing"), F.sum("n").alias("chars"), F.max("doc_id").alias("latest"))
+    return d.groupBy("source_id").agg(count().alias("pages"), F.count("has").alias("embedded"), (count() - F.count("has")).alias("missing"), F.sum("n").alias("chars"), F.max("doc_id").alias("latest"))
 
 
 @query(
@@ -423,7 +426,7 @@ def a_08(spark, sf):
 )
 def a_10(spark, sf):
     enough = F.length(F.trim("text")) >= 50
-    return docs(spark, sf).groupBy("source_id").agg(count.alias("pages"), F.count_if(enough).alias("with_text"), F.count_if(~enough).alias("ocr"))
+    return docs(spark, sf).groupBy("source_id").agg(count().alias("pages"), F.count_if(enough).alias("with_text"), F.count_if(~enough).alias("ocr"))
 
 
 @query("a_11_best_per_key", "SELECT l_partkey, max(l_extendedprice) AS best FROM lineitem GROUP BY 1")
@@ -437,26 +440,26 @@ def a_11(spark, sf):
 )
 def a_13(spark, sf):
     s = F.max(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.9))
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(s.alias("score"), count.alias("evidence"))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(s.alias("score"), count().alias("evidence"))
 
 
 @query("a_14_duplicates", "SELECT text_hash, count(*) AS n, 'ambiguous_duplicate' AS status FROM (SELECT md5(text) AS text_hash FROM documents) GROUP BY 1 HAVING count(*) > 1")
 def a_14(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.md5("text").alias("text_hash")).agg(count.alias("n")).where("n > 1").withColumn("status", F.lit("ambiguous_duplicate"))
+    return table(spark, sf, "documents").groupBy(F.md5("text").alias("text_hash")).agg(count().alias("n")).where("n > 1").withColumn("status", F.lit("ambiguous_duplicate"))
 
 
 @query("a_16_fingerprint", "SELECT count(*) AS n, bit_xor(CAST(c_custkey * 2654435761 % 4294967296 AS BIGINT)) AS x1, bit_xor(CAST((c_custkey + c_nationkey) * 40503 % 65536 AS BIGINT)) AS x2, CAST(sum(c_custkey * 31 % 1000) AS BIGINT) AS s FROM customer")
 def a_16(spark, sf):
     """Count, two xors and a sum of row hashes: the same in any row order."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    return table(spark, sf, "customer").agg(count.alias("n"), F.bit_xor(k * 2_654_435_761 % 4_294_967_296).alias("x1"), F.bit_xor((k + n) * 40_503 % 65_536).alias("x2"), F.sum(k * 31 % 1000).alias("s"))
+    return table(spark, sf, "customer").agg(count().alias("n"), F.bit_xor(k * 2_654_435_761 % 4_294_967_296).alias("x1"), F.bit_xor((k + n) * 40_503 % 65_536).alias("x2"), F.sum(k * 31 % 1000).alias("s"))
 
 
 @query("a_17_cardinality", "SELECT 'documents' AS metric, count(*) AS n FROM documents UNION ALL SELECT 'sources', count(DISTINCT source) FROM documents UNION ALL SELECT 'entries', count(*) FROM part")
 def a_17(spark, sf):
     d = table(spark, sf, "documents")
-    parts = [d.agg(count.alias("n")).select(F.lit("documents").alias("metric"), "n"), d.agg(F.countDistinct("source").alias("n")).select(F.lit("sources").alias("metric"), "n")]
-    return parts[0].unionByName(parts[1]).unionByName(table(spark, sf, "part").agg(count.alias("n")).select(F.lit("entries").alias("metric"), "n"))
+    parts = [d.agg(count().alias("n")).select(F.lit("documents").alias("metric"), "n"), d.agg(F.countDistinct("source").alias("n")).select(F.lit("sources").alias("metric"), "n")]
+    return parts[0].unionByName(parts[1]).unionByName(table(spark, sf, "part").agg(count().alias("n")).select(F.lit("entries").alias("metric"), "n"))
 
 
 @query("a_18_mix", "SELECT count(DISTINCT source_id) AS sources, count(DISTINCT category) AS categories, count(*) FILTER (WHERE access_tier = 'open') AS open_docs FROM docs", ("docs",))
@@ -468,7 +471,7 @@ def a_18(spark, sf):
 def a_19(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("has"))
     d = docs(spark, sf).select("doc_id", "language").join(e, "doc_id", "left")
-    return d.groupBy("language").agg(count.alias("total"), F.count("has").alias("embedded"), (count - F.count("has")).alias("missing"), F.round(F.count("has") / count, 6).alias("ratio"))
+    return d.groupBy("language").agg(count().alias("total"), F.count("has").alias("embedded"), (count() - F.count("has")).alias("missing"), F.round(F.count("has") / count(), 6).alias("ratio"))
 
 
 @query("a_20_page_grouping", "SELECT l_orderkey, string_agg(flag, chr(10) ORDER BY flag) AS slices FROM (SELECT DISTINCT l_orderkey, l_returnflag || l_linestatus AS flag FROM lineitem) GROUP BY 1")
@@ -485,13 +488,13 @@ def a_20(spark, sf):
 def a_21(spark, sf):
     """The entry of the lowest class per name, if it alone has that class: an aggregate, then one join."""
     e = entries(spark, sf).select("title", "entry_id", "level")
-    per = e.groupBy("title", "level").agg(count.alias("n"), F.min("entry_id").alias("entry_id"))
+    per = e.groupBy("title", "level").agg(count().alias("n"), F.min("entry_id").alias("entry_id"))
     return per.groupBy("title").agg(F.min(F.struct("level", "n", "entry_id")).alias("b")).where("b.n = 1").select("title", F.col("b.entry_id").alias("entry_id"), F.col("b.level").alias("level"))
 
 
 @query("a_22_next_number", "SELECT c_custkey, coalesce(max(n), 0) + 1 AS next_number FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey GROUP BY 1")
 def a_22(spark, sf):
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(count.alias("n"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(count().alias("n"))
     return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").groupBy("c_custkey").agg((F.coalesce(F.max("n"), F.lit(0)) + 1).alias("next_number"))
 
 
@@ -603,7 +606,7 @@ def o_10(spark, sf):
     ("entries",),
 )
 def o_12(spark, sf):
-    g = entries(spark, sf).groupBy("entry_type").agg(count.alias("n"))
+    g = entries(spark, sf).groupBy("entry_type").agg(count().alias("n"))
     return g.select("entry_type", "n", F.row_number().over(Window.orderBy(ordinal("entry_type", ENTRY_TYPES))).alias("place"))
 
 
