@@ -16,13 +16,16 @@
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.bpe import byte_characters
 from lectern.llm.shared import materialise, partitions_for, pick_unused, worker_cache
 
 WINDOW = 2048
@@ -31,6 +34,9 @@ END_ID = 1
 RANK_GROUP = 20_000
 #: Chunks a worker remembers in each of two generations.
 MEMO = 250_000
+#: Fixed value: the split rule of byte-level pre-tokenisation.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LATIN_END = "\u0250"
 OTHER_BLANK = re.compile(r"[^\S \n]")
 #: A blank or line feed with a character that is not white space on both sides.
 CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
@@ -47,40 +53,47 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # the same vocabulary in the quicker library, for chunks of Latin letters without a special token's string
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = tuple(t["content"] for t in spec["added_tokens"])
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        self.quick = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, missing: list[str]) -> None:
-        todo = []
-        for x in missing:
-            if (got := self.old.get(x)) is not None:
-                self.young[x] = got
-            else:
-                todo.append(x)
-        if todo:
-            full = [x if x[0] == "\n" else " " + x for x in todo]
-            for x, e in zip(todo, self.tokenizer.encode_batch_fast(full, add_special_tokens=False)):
-                self.young[x] = np.array(e.ids, dtype="<u4").tobytes()
+    def _ids(self, text: str, plain: bool) -> bytes:
+        if plain and (text.isascii() or max(text) < LATIN_END):
+            return array("I", self.quick(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        plain = not any(s in text for s in self.special)
         head, chunks = self.chunks(text)
-        get = self.young.get
-        parts = list(map(get, chunks))
+        young, old = self.young, self.old
+        parts = list(map(young.get, chunks))
         if None in parts:
-            self._learn(list({c for c, p in zip(chunks, parts) if p is None}))
-            parts = list(map(get, chunks))
-            if len(self.young) > MEMO:
-                self.old, self.young = self.young, {}
-        if head:
-            parts.insert(0, np.array(self.tokenizer.encode(head, add_special_tokens=False).ids, dtype="<u4").tobytes())
-        return b"".join(parts)
+            for k, x in enumerate(chunks):
+                if parts[k] is None:
+                    got = young.get(x)  # an earlier chunk of this text may have been the same
+                    if got is None:
+                        got = old.get(x)
+                        if got is None:
+                            got = self._ids(x if x[0] == "\n" else " " + x, plain)
+                        young[x] = got
+                    parts[k] = got
+            if len(young) > MEMO:
+                self.old, self.young = young, {}
+        return (self._ids(head, plain) if head else b"") + b"".join(parts)
 
     @staticmethod
     def chunks(text: str) -> tuple[str, list[str]]:
