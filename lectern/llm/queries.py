@@ -80,4 +80,26 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_brown, op5_secrets, op6_bpe, op7_quality, op8_licenses, op9_vectors, op10_media)}
-ORACLES: dict[str, str] = {}
+
+
+def sharding_sql(seed: int = 42, shards: int = 16) -> str:
+    """``op3_sharding`` in SQL: crc32 as a fold over bytes, the network round by round, cycle walking by recursion."""
+    left, right = "x // b", "x % b"
+    for n, (mul, add) in enumerate(sharding.round_keys(seed)):
+        moved, other, side = (left, right, "a") if n % 2 == 0 else (right, left, "b")
+        value = f"((({other}) % {sharding.PRIME} * {mul} + {add}) % {sharding.PRIME} % {sharding.FOLD} * {add} + {mul}) % {sharding.PRIME} % {side}"
+        moved = f"(({moved}) + {value}) % {side}"
+        left, right = (moved, right) if n % 2 == 0 else (left, moved)
+    step = f"({left}) * b + {right}"
+    return f"""WITH RECURSIVE
+ crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+ narrow AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+   lambda c, byte: xor(c // 256, t[xor(c % 256, byte) + 1]))) AS text_crc32 FROM documents, crc_table),
+ numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS x, count(*) OVER () AS n FROM narrow),
+ start AS (SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a, (n + CAST(floor(sqrt(n - 1)) AS BIGINT)) // (CAST(floor(sqrt(n - 1)) AS BIGINT) + 1) AS b FROM numbered),
+ walk AS (SELECT doc_id, size, text_crc32, n, a, b, x, 0 AS passes FROM start UNION ALL SELECT doc_id, size, text_crc32, n, a, b, {step}, passes + 1 FROM walk WHERE passes = 0 OR x >= n)
+ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(x % {shards} AS INTEGER) AS shard, CAST(x // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+ FROM walk WHERE passes > 0 AND x < n"""
+
+
+ORACLES: dict[str, str] = {"op3_sharding": sharding_sql()}
