@@ -123,3 +123,44 @@ def crop_box(x1, y1, x2, y2, padding: int = 12, scale: float = 200 / 72, limit:
     left, top = F.greatest(F.lit(0), F.floor(x1 * scale - padding)), F.greatest(F.lit(0), F.floor(y1 * scale - padding))
     wide, high = F.ceil(x2 * scale + padding) - left, F.ceil(y2 * scale + padding) - top
     return left, top, F.least(F.lit(limit), F.greatest(F.lit(1), wide)), F.least(F.lit(limit), F.greatest(F.lit(1), high))
+
+
+#: Latin letters for the Cyrillic alphabet, in its order.
+CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
+LATIN = "a b v g d e e zh z i i k l m n o p r s t u f kh ts ch sh shch  y  e yu ya".split(" ")
+
+
+def stable_key(name: str, limit: int = 128) -> str:
+    """A slug of Latin letters and digits: compatibility decomposition without marks, lower case, Cyrillic transliterated, other runs as hyphens."""
+    import re
+    import unicodedata
+
+    table = dict(zip(CYRILLIC, LATIN))
+    low = unicodedata.normalize("NFC", name).lower()
+    letters = "".join(table[c] if c in table else "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in low)
+    return re.sub(r"[^a-z0-9]+", "-", letters.lower()).strip("-")[:limit].rstrip("-")
+
+
+def snippet(text: str, words: list[str], fragments: int = 2, width: int = 35) -> str:
+    """Up to ``fragments`` runs of at most ``width`` words that hold the most wanted words, in text order, wanted words in [[ ]]; the beginning if none is held."""
+    import re
+
+    spans = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", text)]
+    wanted = set(words)
+    hits = [k for k, s in enumerate(spans) if s[2] in wanted]
+    chosen: list[tuple[int, int]] = []
+    free = list(hits)
+    while free and len(chosen) < fragments:
+        start = max(free, key=lambda k: (sum(k <= h < k + width for h in free), -k))
+        chosen.append((start, min(start + width, len(spans))))
+        free = [h for h in free if not start <= h < start + width and not start - width < h < start]
+    if not chosen and spans:
+        chosen = [(0, min(width, len(spans)))]
+    out = []
+    for a, b in sorted(chosen):
+        at, piece = spans[a][0], ""
+        for s, e, w in spans[a:b]:
+            piece += text[at:s] + (f"[[{text[s:e]}]]" if w in wanted else text[s:e])
+            at = e
+        out.append(piece)
+    return " ... ".join(out)

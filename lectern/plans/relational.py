@@ -543,10 +543,16 @@ def w_08(spark, sf):
 
 @query("w_09_running_index", "SELECT doc_id, idx, row_number() OVER (PARTITION BY source_id ORDER BY doc_id, idx) - 1 AS chunk_index FROM passages", ("passages",))
 def w_09(spark, sf):
-    """Contiguous passage index within a source: per-document counts first, so the window sorts documents, not passages."""
-    d = docs(spark, sf).select("doc_id", "source_id", F.size(F.split("text", "\n")).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    base = d.select("doc_id", F.coalesce(before, F.lit(0)).alias("base"))
+    """Contiguous passage index within a source: counts per document, summed within runs of ids, then over the runs, so a large source is no one task."""
+    d = docs(spark, sf).select("doc_id", "source_id", F.size(F.split("text", "\n")).alias("n"), F.floor(F.col("doc_id") / 4096).alias("run"))
+
+    def before(keys, order, c):
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(c).over(w), F.lit(0))
+
+    runs = d.groupBy("source_id", "run").agg(F.sum("n").alias("n")).select("source_id", "run", before(["source_id"], "run", "n").alias("run_base"))
+    base = d.select("doc_id", "source_id", "run", before(["source_id", "run"], "doc_id", "n").alias("own"))
+    base = base.join(runs, ["source_id", "run"]).select("doc_id", (F.col("own") + F.col("run_base")).alias("base"))
     return passages(spark, sf).select("doc_id", "idx").join(base, "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), (F.col("base") + F.col("idx")).alias("chunk_index"))
 
 

@@ -71,6 +71,19 @@ def r_03(spark, sf):
     return offset_page(R.plain_search(chunks(spark, sf), "the was OF").select("chunk_id"), [F.asc("chunk_id")], 20).select("chunk_id", "total")
 
 
+@query("r_04_entry_search")
+def r_04(spark, sf):
+    """The best entries for a question, with a snippet of at most two fragments of 35 words; snippets are cut for the page alone."""
+    from lectern.functions.evidence import rows
+    from lectern.functions.text import snippet
+
+    c = chunks(spark, sf)
+    top = R.keyword_search(c, "the that", 20)
+    words = R.parse_query("the that").terms
+    page = F.broadcast(top).join(c.select("chunk_id", "text"), "chunk_id")  # 20 rows
+    return rows(page, lambda t: [(snippet(t, words),)], ["text"], "snippet string")
+
+
 @query("r_05_vector_search", WITH + f"{CHUNKS}, {VECTOR} SELECT chunk_id, score, rank FROM vec", ("visible",))
 def r_05(spark, sf):
     return R.vector_search(chunks(spark, sf), vectors(spark, sf), probes(spark, sf))

@@ -40,6 +40,15 @@ def t_09(spark, sf):
     return entries(spark, sf).select("entry_id", T.normalize_name(F.concat_ws(" / ", "title", "brand")).alias("name"))
 
 
+@query("t_10_stable_key")
+def t_10(spark, sf):
+    """Latin slugs of first sentences, and of the same in Cyrillic letters by position."""
+    from lectern.functions.evidence import rows
+
+    d = table(spark, sf, "documents").select("doc_id", T.first_sentence("text", 80).alias("name"))
+    return rows(d, lambda n: [(T.stable_key(n or ""),)], ["name"], "stable_key string")
+
+
 @query("t_11_canonical_id", "SELECT doc_id, CASE WHEN length('doc-' || text) <= 128 THEN 'doc-' || text ELSE substr('doc-' || text, 1, 111) || '-' || substr(sha256('doc-' || text), 1, 16) END AS canonical_id FROM documents")
 def t_11(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.canonical_id(F.lit("doc"), "text").alias("canonical_id"))

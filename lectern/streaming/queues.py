@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,24 +14,26 @@ from lectern.sources.stores import checkpoint_dir
 def rate_limited(events: DataFrame, key: str, at: str, order: str, limit: int, window_s: int) -> DataFrame:
     """(key, order, allowed): a fixed window starts at a key's first hit after the last one ended; ``limit`` hits pass in it.
 
-    State depends on the previous window of the key, so each key's hits are
-    replayed in order. Hits are first cut down to what the replay needs, and
-    keys are spread over tasks; one key's history is the unit of work.
+    A window depends on the one before it, so each key's hits are replayed in
+    order: they arrive sorted and stream through with one window of state, and
+    no key's history is ever held whole.
     """
     micros = window_s * 1_000_000
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", order])
-        end, used, out = None, 0, []
-        for us in pdf["_us"]:
-            if end is None or us >= end:
-                end, used = us + micros, 0
-            used += 1
-            out.append(used <= limit)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": out})
+    def replay(batches):
+        owner, end, used = object(), 0, 0
+        for batch in batches:
+            out = []
+            for k, us in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != owner or us >= end:
+                    owner, end, used = k, us + micros, 0
+                used += 1
+                out.append(used <= limit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=[key, order, "allowed"])
 
     narrow = events.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
-    return narrow.groupBy(key).applyInPandas(replay, f"{key} long, {order} long, allowed boolean")
+    schema = narrow.select(key, order).schema.add("allowed", "boolean")
+    return narrow.repartition(key).sortWithinPartitions(key, "_us", order).mapInArrow(replay, schema)
 
 
 def idempotent(commands: DataFrame, key: str, body: str, order: str) -> DataFrame:

@@ -59,3 +59,11 @@ def test_rate_limit(spark):
     e = spark.sql("select * from values (1, timestamp'2024-01-01 00:00:00', 1), (1, timestamp'2024-01-01 00:30:00', 2), (1, timestamp'2024-01-01 00:59:59', 3), (1, timestamp'2024-01-01 01:00:00', 4), (2, timestamp'2024-01-01 00:00:01', 5) t(k, ts, i)")
     e = e.select(F.col("k").cast("long").alias("k"), "ts", F.col("i").cast("long").alias("i"))
     assert {r.i: r.allowed for r in queues.rate_limited(e, "k", "ts", "i", 2, 3600).collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_keys_and_snippets():
+    assert T.stable_key("Огненный Шар!") == "ognennyi-shar" and T.stable_key("Déjà  Vu №1") == "deja-vu-no1" and T.stable_key("Ёж") == "ezh" and T.stable_key("—") == ""
+    text = " ".join(f"w{k}" for k in range(100)) + " fire bolt " + " ".join(f"v{k}" for k in range(100)) + " fire"
+    s = T.snippet(text, ["fire", "bolt"])
+    assert s.count("[[fire]] [[bolt]]") == 1 and s.count("[[fire]]") == 2 and " ... " in s and all(len(f.split()) <= 35 for f in s.split(" ... "))
+    assert T.snippet("a b", ["x"]) == "a b" and T.snippet("", ["x"]) == ""
