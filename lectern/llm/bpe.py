@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import pick_unused, worker_cache
+from lectern.llm.shared import Memo, pick_unused, worker_cache
 
 #: Chunks of up to CHUNK_CHARS characters are remembered, MEMO of them in each of two generations.
 MEMO = 200_000
@@ -161,8 +161,7 @@ class WordBpe:
         self.text_of = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.fast = re.compile(SPLIT_LATIN) if spec["pre_tokenizer"] and self.suffix else None
         self.byte_char = byte_characters()
-        self.young: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
+        self.memo = Memo(MEMO)
 
     def plain_ids(self, chunk: str) -> list[int]:
         """ids of text without special tokens."""
@@ -191,14 +190,12 @@ class WordBpe:
 
     def piece(self, chunk: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by blanks, decoded tokens joined by blanks) of a chunk, remembered."""
-        got = self.young.get(chunk) or self.old.get(chunk)
+        got = self.memo.get(chunk)
         if got is None:
             ids = self.ids(chunk)
             got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(chunk) <= CHUNK_CHARS:
-            self.young[chunk] = got
-            if len(self.young) > MEMO:
-                self.old, self.young = self.young, {}
+            if len(chunk) <= CHUNK_CHARS:
+                self.memo.put(chunk, got)
         return got
 
     def decode(self, ids: list[int]) -> str:
@@ -207,7 +204,8 @@ class WordBpe:
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by blanks, decoded text). ASCII blanks end every token, so chunks between them are independent."""
-        get = self.young.get
+        self.memo.trim()
+        get = self.memo.young.get
         chunks = text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" ")
         parts = [get(c) or self.piece(c) for c in chunks if c]
         return sum(p[0] for p in parts), " ".join([p[1] for p in parts if p[0]]), " ".join([p[2] for p in parts if p[0]])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import byte_characters
-from lectern.llm.shared import materialise, partitions_for, pick_unused, worker_cache
+from lectern.llm.shared import Memo, materialise, partitions_for, pick_unused, worker_cache
 
 WINDOW = 2048
 END_ID = 1
@@ -47,9 +47,8 @@ class ChunkEncoder:
 
     A blank or line feed between two characters that are not white space
     begins a chunk that byte-level pre-tokenisation never joins to its
-    predecessor, so a text's ids are those of its chunks in order. Texts
-    with a special token's string, or with runs of white space, are cut only
-    where that holds. The memo is bounded: two generations of ``MEMO`` chunks.
+    predecessor, so a text's ids are those of its chunks in order. Texts with
+    runs of white space are cut only where that holds. The memo is bounded.
     """
 
     def __init__(self, path: str):
@@ -66,8 +65,7 @@ class ChunkEncoder:
         byte_of = {c: b for b, c in enumerate(byte_characters())}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.quick = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
 
     def _ids(self, text: str, plain: bool) -> bytes:
         if plain and (text.isascii() or max(text) < LATIN_END):
@@ -79,20 +77,17 @@ class ChunkEncoder:
             return b""
         plain = not any(s in text for s in self.special)
         head, chunks = self.chunks(text)
-        young, old = self.young, self.old
-        parts = list(map(young.get, chunks))
+        memo = self.memo
+        parts = list(map(memo.young.get, chunks))
         if None in parts:
             for k, x in enumerate(chunks):
                 if parts[k] is None:
-                    got = young.get(x)  # an earlier chunk of this text may have been the same
+                    got = memo.get(x)
                     if got is None:
-                        got = old.get(x)
-                        if got is None:
-                            got = self._ids(x if x[0] == "\n" else " " + x, plain)
-                        young[x] = got
+                        got = self._ids(x if x[0] == "\n" else " " + x, plain)
+                        memo.put(x, got)
                     parts[k] = got
-            if len(young) > MEMO:
-                self.old, self.young = young, {}
+            memo.trim()
         return (self._ids(head, plain) if head else b"") + b"".join(parts)
 
     @staticmethod

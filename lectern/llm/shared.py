@@ -47,6 +47,45 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_lectern_worker_cache", {})
 
 
+class Memo:
+    """Values of keys that came up before, in two generations of ``size``; a key is kept from its second time on.
+
+    Words that occur once, most of a large vocabulary, so don't push out those
+    that return. Readers use ``young.get`` first, then ``get``; forgetting only costs time.
+    """
+
+    SLOTS = 1 << 23
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+        self.seen, self.marks = bytearray(self.SLOTS), 0
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.young[key] = got
+        return got
+
+    def put(self, key, value) -> None:
+        slot = hash(key) & (self.SLOTS - 1)
+        if self.seen[slot]:
+            self.young[key] = value
+            return
+        self.seen[slot] = 1
+        self.marks += 1
+        if self.marks > self.SLOTS // 4:
+            self.seen, self.marks = bytearray(self.SLOTS), 0
+
+    def trim(self) -> None:
+        """Starts a new generation when the young one is full; between texts, so that a text's own lookups hold."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 def crc32_of_id(col: str = "doc_id"):
     """crc32 of an id written as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
