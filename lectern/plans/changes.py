@@ -291,3 +291,60 @@ def x_11(spark, sf):
     d, s = F.col("decision"), F.col("status")
     allowed = F.when(d == "approve", s.isin("new", "changed", "unchanged")).when(d == "merge", s != "missing").when(d == "unpublish", s == "missing").otherwise(True)
     return both.select("status", "decision", allowed.alias("allowed"))
+
+
+@query("x_16_card_fingerprint", """SELECT p_partkey, sha256('{"brand":"' || p_brand || '","name":"' || p_name || '"}') = sha256('{"brand":"' || CASE WHEN p_partkey % 9 = 0 THEN 'other' ELSE p_brand END || '","name":"' || p_name || '"}') AS intact FROM part""")
+def x_16(spark, sf):
+    """Recorded fingerprints of cards (every ninth recorded wrongly) against the hash of their canonical JSON."""
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_name").alias("name"))
+    recorded = F.when(F.col("p_partkey") % 9 == 0, "other").otherwise(F.col("brand"))
+
+    def card(brand):
+        return F.sha2(F.to_json(F.struct(brand.alias("brand"), F.col("name"))), 256)
+
+    return p.select("p_partkey", (card(F.col("brand")) == card(recorded)).alias("intact"))
+
+
+@query("v_08_sections_cover", "SELECT doc_id, sum(length(passage)) + count(*) - 1 AS covered, count(*) AS sections FROM passages GROUP BY 1", ("passages",))
+def v_08(spark, sf):
+    """Sections (lines) of a text must be contiguous and cover it: their lengths and separators add up, so nothing is returned that differs."""
+    from lectern.sources.views import passages
+
+    p = passages(spark, sf).groupBy("doc_id").agg((F.sum(F.length("passage")) + count() - 1).alias("covered"), count().alias("sections"))
+    d = docs(spark, sf).select("doc_id", F.length("text").alias("n"))
+    return p.join(d, "doc_id").where(F.col("covered") == F.col("n")).select("doc_id", "covered", "sections")
+
+
+@query("v_10_file_hashes", "SELECT doc_id FROM documents WHERE doc_id % 13 = 0 OR text IS NULL")
+def v_10(spark, sf):
+    """Documents whose recorded hash (wrong for every thirteenth) is not that of their bytes."""
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("found"))
+    recorded = d.select("doc_id", F.when(F.col("doc_id") % 13 == 0, F.lit("0")).otherwise(F.col("found")).alias("recorded"))
+    return d.join(recorded, "doc_id").where(~F.col("found").eqNullSafe(F.col("recorded")) | F.col("found").isNull()).select("doc_id")
+
+
+@query(
+    "cdc_12_export_recheck",
+    RUNS
+    + """SELECT kind, count(*) AS n, true AS matches FROM (SELECT CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'updated' END AS kind
+      FROM old o FULL JOIN new n ON o.doc_id = n.doc_id WHERE o.h IS DISTINCT FROM n.h) GROUP BY 1""",
+)
+def cdc_12(spark, sf):
+    """Stored change counts of an export against those recomputed from its two catalogs."""
+    old, new = two_runs(spark, sf)
+    stored = cdc_03(spark, sf).groupBy("kind").agg(count().alias("n"))
+    names = F.when(F.col("change") == "add", "added").when(F.col("change") == "remove", "removed").otherwise("updated")
+    again = cdc.keyed_diff(old, new, ["doc_id"], ["h"]).where("change <> 'same'").groupBy(names.alias("kind")).agg(count().alias("again"))
+    return stored.join(again, "kind", "full_outer").select("kind", "n", F.col("n").eqNullSafe(F.col("again")).alias("matches"))
+
+
+@query(
+    "x_12_unpublish_capability",
+    """SELECT p.doc_id FROM (SELECT doc_id, source, md5(text) AS h FROM documents WHERE doc_id % 2 = 0) p JOIN labels l ON l.doc_id = p.doc_id AND l.quality = 1
+       WHERE p.doc_id % 6 = 0""",
+)
+def x_12(spark, sf):
+    """Missing rows that may be unpublished: in the previous run, gone from this one, with an approved (quality 1) publication of the same row."""
+    old, new = two_runs(spark, sf)
+    approved = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return old.join(new.select("doc_id"), "doc_id", "left_anti").join(approved, "doc_id", "left_semi").select("doc_id")
