@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import partitions_for
+from lectern.llm.shared import materialise, partitions_for
 
 #: Rows that are compared at a time; a block is never cut.
 BATCH_ROWS = 40_000
@@ -27,6 +27,7 @@ def blocks(rows: DataFrame, cell_rows: int, copies: int) -> DataFrame:
     ``copies``: the number of rows of ``rows``, known to the caller, for the number of tasks.
     """
     hot = rows.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("m"))
+    hot = materialise(hot)  # a table of known size: where it is small, the rows need no shuffle to meet it
     dealt = rows.join(hot, "cell", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")).cast("int"))
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.cells import forest_edges, words_of
-from lectern.llm.shared import components, extended, materialise, pick_unused
+from lectern.llm.shared import components, discard, extended, materialise, pick_unused
 
 SEED = 42
 #: Reference fingerprints of the pivot table.
 PIVOTS = 24
 #: A cell of more rows is compared in chunks of this size.
-CELL_ROWS = 1024
+CELL_ROWS = 4096
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
@@ -216,20 +216,25 @@ def described(docs: DataFrame, scan: str, words: int, names: tuple[str, str]) ->
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) whose nodes' shingle sets (node, hashes) have a Jaccard similarity of ``similarity`` or more, exactly."""
-    met = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    """Edges (a, b) whose nodes' shingle sets (node, hashes, n) have a Jaccard similarity of ``similarity`` or more.
+
+    hashes: the sorted distinct 32-bit halves of a set's n hashes; at a few
+    thousand shingles a false match in them is one in a million.
+    """
+    met = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("n").alias("n_x")), "a")
+    met = met.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("n").alias("n_y")), "b")
 
     def run(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            for x, y, m, n in zip(batch.column("x"), batch.column("y"), batch.column("n_x").to_pylist(), batch.column("n_y").to_pylist()):
+                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= similarity * (len(p) + len(q) - both) if len(p) + len(q) else True)
+                ok.append(both >= similarity * (m + n - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(run, "a long, b long")
 
 
 def similar_links(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
@@ -251,7 +256,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
 
     Groups are the components of links between documents whose sets of
     ``words``-word shingles have a Jaccard similarity of ``similarity`` or
-    more, checked exactly; candidates come from wide fingerprints of those
+    more, checked on their shingle sets; candidates come from wide fingerprints of those
     sets. Texts without words (nulls too) form one group. Empty input: no rows.
     """
     names = docs.columns
@@ -267,10 +272,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(x, words).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+            sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
+            halves = [np.unique(x.astype(np.uint32)).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["node", "hashes", "n"])
 
-    sets = materialise(held.select(row, F.col(text).alias("text")).join(touched, row).select("node", "text").mapInArrow(run, "node long, hashes binary"))
+    sets = materialise(held.select(row, F.col(text).alias("text")).join(touched, row).select("node", "text").mapInArrow(run, "node long, hashes binary, n long"))
     roots = components(verified(edges, sets, similarity))
+    discard(edges)
+    discard(sets)
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return held.join(kept, row, "left_semi").select(*names)
