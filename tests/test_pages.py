@@ -31,6 +31,7 @@ def test_chunk_edges():
 def test_quality_gate():
     good = "Это обычная страница русского текста, на которой рассказано о правилах игры и о том, как герои проходят испытания. " * 3
     assert pages.page_reasons(good, "ru") == [] and pages.enough_evidence(good)
+    assert pages.page_metrics(good)["invalid_glyphs"] == 0 and pages.page_metrics("a\ue000\ufffd\x01б")["invalid_glyphs"] == 3
     broken = "3@7# %1$  9!8? *4^ &2( )6_ +5= " * 8
     assert pages.page_reasons(broken, "ru") and pages.page_reasons(broken, "en") == []
     english = "This page of plain English prose explains how the heroes travel from one town to the next and rest at night. " * 2
