@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.shared import materialise, partitions_for
 
-#: Rows that are compared at a time; a block is never cut.
+#: Rows, or bytes, that are compared at a time; a block is never cut.
 BATCH_ROWS = 40_000
+BATCH_BYTES = 64 << 20
 
 
 def blocks(rows: DataFrame, cell_rows: int, copies: int) -> DataFrame:
@@ -37,22 +38,23 @@ def blocks(rows: DataFrame, cell_rows: int, copies: int) -> DataFrame:
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole blocks, of about BATCH_ROWS rows."""
+    """Tables of whole blocks, of about BATCH_ROWS rows or BATCH_BYTES."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < BATCH_ROWS:
+        size += batch.nbytes
+        if rows < BATCH_ROWS and size < BATCH_BYTES:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         start = run_starts(table)[-1]
         if start:
             yield table.slice(0, start)
             rest = table.slice(start)
-            held, rows = rest.to_batches(), rest.num_rows
+            held, rows, size = rest.to_batches(), rest.num_rows, rest.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -144,8 +146,23 @@ def words_of(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(flat, dtype=np.uint64).reshape(-1, width)
 
 
-def forest_edges(rows: DataFrame, cell_rows: int, copies: int, link: Callable, node_type: str) -> DataFrame:
-    """Edges (a, b, d) of a spanning forest in each block. ``link(table)`` gives a function (i, j) -> (keep mask, distance)."""
+def tree_of(n: int, kept: list[tuple[int, int, int]]) -> np.ndarray:
+    """The row position that stands for each row's tree."""
+    forest = Forest(n)
+    i, j, d = np.array(kept, dtype=np.int64).T
+    forest.add(i, j, d)
+    root = forest.root
+    while (up := root[root] != root).any():
+        root[up] = root[root[up]]
+    return root
+
+
+def forest_edges(rows: DataFrame, cell_rows: int, copies: int, link: Callable, node_type: str, trees: bool = False) -> DataFrame:
+    """Edges (a, b, d) of a spanning forest in each block. ``link(table)`` gives a function (i, j) -> (keep mask, distance).
+
+    With ``trees`` also the edge's tree as (cell, ci, cj, top): the block and a node of the tree.
+    """
+    block = ("cell", "ci", "cj")
 
     def run(batches):
         for table in whole_blocks(batches):
@@ -159,9 +176,14 @@ def forest_edges(rows: DataFrame, cell_rows: int, copies: int, link: Callable, n
             node = table.column("node").combine_chunks()
             if kept:
                 i, j, d = np.array(kept, dtype=np.int64).T
-                yield pa.RecordBatch.from_arrays([_one(node.take(pa.array(i))), _one(node.take(pa.array(j))), pa.array(d)], names=["a", "b", "d"])
-
-    return blocks(rows, cell_rows, copies).mapInArrow(run, f"a {node_type}, b {node_type}, d long")
+                cols, names = [_one(node.take(pa.array(i))), _one(node.take(pa.array(j))), pa.array(d)], ["a", "b", "d"]
+                if trees:
+                    cols += [_one(table.column(c).take(pa.array(i))) for c in block] + [_one(node.take(pa.array(tree_of(table.num_rows, kept)[i])))]
+                    names += [*block, "top"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    more = f", cell long, ci int, cj int, top {node_type}" if trees else ""
+    return blocks(rows, cell_rows, copies).mapInArrow(run, f"a {node_type}, b {node_type}, d long{more}")
 
 
 def _one(x):

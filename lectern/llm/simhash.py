@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.cells import forest_edges, words_of
+from lectern.llm.cells import blocks, forest_edges, run_starts, whole_blocks, words_of
 from lectern.llm.shared import components, discard, extended, materialise, pick_unused
 
 SEED = 42
@@ -35,6 +35,8 @@ SEED = 42
 PIVOTS = 24
 #: A cell of more rows is compared in chunks of this size.
 CELL_ROWS = 4096
+#: The same where rows carry their shingle sets.
+SET_ROWS = 1024
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
@@ -237,10 +239,18 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met.select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(run, "a long, b long")
 
 
-def similar_links(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
-    """Candidate edges (a, b) of nodes (node, print): minimum forests, by Hamming distance, of each cell's pairs within the radius."""
+def wide_radius(similarity: float) -> int:
+    """Differing bits up to which a pair is a candidate."""
     rate, bits = flip_rate(similarity), 64 * WIDE
-    radius = math.ceil(bits * rate + 2.6 * math.sqrt(bits * rate * (1 - rate)))
+    return math.ceil(bits * rate + 2.6 * math.sqrt(bits * rate * (1 - rate)))
+
+
+def similar_links(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
+    """Candidate edges (a, b, tree) of nodes (node, print): minimum forests, by Hamming distance, of each cell's pairs within the radius.
+
+    A pair within the radius that is no edge joins two nodes of one tree, so it adds nothing only if all edges of that
+    tree pass the exact check; ``unsettled`` has the other trees. Equal tree numbers may also be a hash's accident, which only makes a tree larger.
+    """
     masks = sampled_masks(count, similarity)
     hexed = F.hex("print")
     words = nodes.select(
@@ -248,7 +258,60 @@ def similar_links(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
     )
     keys = [F.xxhash64(F.lit(n), *[F.col(f"w{w}").bitwiseAND(F.lit(m).cast("long")) for w, m in enumerate(mask)]) for n, mask in enumerate(masks)]
     rows = words.select("node", "print", F.explode(F.array(*keys)).alias("cell"))
-    return forest_edges(rows, CELL_ROWS, count * len(masks), pivot_link(WIDE, radius), "long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = forest_edges(rows, CELL_ROWS, count * len(masks), pivot_link(WIDE, wide_radius(similarity)), "long", trees=True)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.xxhash64("cell", "ci", "cj", "top").alias("tree"))
+
+
+def unsettled(edges: DataFrame, ok: DataFrame) -> DataFrame:
+    """(node, root): zones of nodes joined by trees of ``edges`` of which an edge is not in ``ok`` and which have more than that one edge."""
+    seen = edges.join(ok.withColumn("ok", F.lit(1)), ["a", "b"], "left")
+    trees = seen.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.count("ok").alias("good")).where("n > 1 and good < n").select("tree")
+    return components(edges.join(trees, "tree", "left_semi").select("a", "b"))
+
+
+def exact_links(rows: DataFrame, count: int, similarity: float, radius: int) -> DataFrame:
+    """Edges (a, b) that connect what the pairs in a cell of ``rows`` (cell, node, linked, print, hashes, n) of that similarity connect.
+
+    Pairs within ``radius`` whose nodes are not connected yet (by equal ``linked`` or an earlier edge of the block) are
+    all checked on their sets; a pair that fails connects nothing.
+    """
+
+    def links(nodes, linked, prints, chunk, cross, sets, sizes):
+        root = np.unique(linked, return_inverse=True)[1]
+        lengths = np.array([len(x) for x in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        parts = np.split(ids, np.cumsum(lengths)[:-1])
+        marked = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=np.int64)
+        for i in range(len(nodes) - 1):
+            j = np.flatnonzero((root[i + 1 :] != root[i]) & (lengths[i + 1 :] > 0)) + i + 1
+            if cross:
+                j = j[chunk[j] != chunk[i]]
+            j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i])]
+            j = j[np.bitwise_count(prints[j] ^ prints[i]).sum(axis=1) <= radius]
+            if not len(j):
+                continue
+            marked[parts[i]] = 1
+            both = np.add.reduceat(marked[np.concatenate([parts[k] for k in j.tolist()])], np.cumsum(lengths[j]) - lengths[j])
+            marked[parts[i]] = 0
+            for k in j[both >= similarity * (sizes[i] + sizes[j] - both)].tolist():
+                if root[k] != root[i]:
+                    root[root == root[k]] = root[i]
+                    yield int(nodes[i]), int(nodes[k])
+
+    def run(batches):
+        for table in whole_blocks(batches):
+            starts = run_starts(table).tolist()
+            found = []
+            for lo, hi in zip(starts, [*starts[1:], table.num_rows]):
+                part = table.slice(lo, hi - lo)
+                nodes, linked, chunk, sizes = (part.column(c).to_numpy() for c in ("node", "linked", "chunk", "n"))
+                sets = [np.frombuffer(x, dtype=np.uint32) for x in part.column("hashes").to_pylist()]
+                cross = part.column("ci")[0] != part.column("cj")[0]
+                found += links(nodes, linked, words_of(part.column("print"), WIDE), chunk, cross, sets, sizes)
+            a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return blocks(rows, SET_ROWS, count).mapInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -267,7 +330,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("first")
     nodes = held.groupBy(F.col(print_).alias("print"), F.col(key).alias("key")).agg(first)
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
-    edges = materialise(similar_links(nodes.select("node", "print"), nodes.count(), similarity))
+    edges = materialise(similar_links(nodes.select("node", "print"), nodes.count(), similarity))  # a pair once for each tree that has it
     touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.row").alias(row))
 
     def run(batches):
@@ -277,8 +340,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["node", "hashes", "n"])
 
     sets = materialise(held.select(row, F.col(text).alias("text")).join(touched, row).select("node", "text").mapInArrow(run, "node long, hashes binary, n long"))
-    roots = components(verified(edges, sets, similarity))
-    discard(edges)
-    discard(sets)
+    ok = materialise(verified(edges.select("a", "b").distinct(), sets, similarity))
+    roots = components(ok)
+    # an edge that failed may have stood for pairs that hold: all pairs of its zone are checked, but for those connected by now
+    zones = unsettled(edges, ok).select("node", F.col("root").alias("cell")).join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("linked"))
+    zones = materialise(zones)
+    split = zones.groupBy("cell").agg(F.min("linked").alias("lo"), F.max("linked").alias("hi")).where("lo < hi").select("cell")
+    rows = zones.join(split, "cell", "left_semi").join(nodes.select("node", "print"), "node").join(sets, "node")
+    more = materialise(exact_links(rows, zones.count(), similarity, wide_radius(similarity)))
+    roots = components(ok.unionByName(more))
+    for used in (edges, sets, zones):
+        discard(used)
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return held.join(kept, row, "left_semi").select(*names)

@@ -109,3 +109,26 @@ def test_keep_one_odd(clashing, empty):
     assert kept.columns == clashing.columns
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 1, 3, 6, 7, 8, 8, 9]
     assert simhash.keep_one(empty).count() == 0
+
+
+def below_and_above(groups, texts, links):
+    """``groups`` of ``texts`` texts at 0.784 of each other; in each, ``links`` pairs of 0.820."""
+    draw, rows = np.random.default_rng(3), []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(200)]
+        for t in range(texts):
+            tail = [f"g{g}t{t}x{k}" for k in range(27)]
+            if t < 2 * links:
+                tail[:5] = [f"g{g}pair{t // 2}x{k}" for k in range(5)]
+            rows.append((g * texts + t, " ".join(base + tail)))
+    draw.shuffle(rows)
+    return [(int(i), str(t)) for i, t in rows]
+
+
+def test_links_within_a_large_group_just_below_the_threshold(spark, monkeypatch):
+    """Edges below the threshold join the group's nodes; the true links among them are still found, also over chunks."""
+    monkeypatch.setattr(simhash, "SET_ROWS", 100)
+    rows = below_and_above(1, 300, 60)
+    assert jaccard(rows[0][1], rows[1][1]) < 0.8
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(300)) - set(range(1, 120, 2))
