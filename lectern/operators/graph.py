@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, max_depth: int = 32) -> DataFrame:
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, ancestor, depth): every ancestor over (child, parent) edges at its smallest depth; cycles are walked once round.
 
     Semi-naive rounds: each joins only the last round's new pairs with the
     edges. Reads are eager per round, and each round's pairs are checkpointed.
+    Rounds go on until one adds nothing; raises if that takes more than
+    ``max_depth`` (never returns a partial closure).
     """
     edges = edges.select("child", "parent").where("child is not null and parent is not null").distinct().persist()
     known = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     fresh = known
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         step = fresh.join(edges, fresh["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
         fresh = step.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if fresh.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"closure: not complete at depth {max_depth}")
         known = known.unionByName(fresh).checkpoint()
     return known
 
@@ -29,13 +35,15 @@ def cycles(edges: DataFrame) -> DataFrame:
     return closure(edges).where("node = ancestor").select("node").distinct()
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """Nodes reachable from ``seeds`` (node) over (a, b) edges, seeds included."""
+def reach(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """Nodes reachable from ``seeds`` (node) over (a, b) edges, seeds included; raises if that takes more than ``max_rounds`` steps."""
     edges = edges.select("a", "b").distinct().persist()
     known = fresh = seeds.select("node").distinct()
-    for _ in range(max_rounds):
+    for step in count(1):
         fresh = fresh.join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(known, "node", "left_anti").checkpoint()
         if fresh.isEmpty():
             break
+        if max_rounds is not None and step > max_rounds:
+            raise RuntimeError(f"reach: not complete after {max_rounds} rounds")
         known = known.unionByName(fresh).checkpoint()
     return known

@@ -17,3 +17,15 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     picked = F.max_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*keys).agg(picked.alias("_best")).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
+def places(df: DataFrame, key: str, place: str) -> DataFrame:
+    """``df`` with the row number in the order of ``key``, over ranges of keys that are numbered apart and moved by the rows before them."""
+    dealt = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before, rows = 0, []
+    for part, n in sorted(map(tuple, dealt.groupBy("_part").count().collect())):  # a row for each partition
+        rows.append((part, before))
+        before += n
+    moved = dealt.join(F.broadcast(df.sparkSession.createDataFrame(rows, "_part int, _before long")), "_part")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return moved.withColumn(place, own + F.col("_before")).drop("_part", "_before")

@@ -119,25 +119,48 @@ def cdc_08(spark, sf):
     return e.where("event_type = 'purchase'").join(e.where("event_type = 'error'").select("user_id"), "user_id", "left_semi").select("event_id")
 
 
-@query(
-    "cdc_09_fold_deltas",
-    """WITH last AS (SELECT k, arg_max(CASE WHEN kind = 'error' THEN '' ELSE kind END, g) AS v FROM (SELECT user_id % 200 AS k, event_id AS g, event_type AS kind, event_id % 4 AS contract FROM events) WHERE contract = 1 GROUP BY 1)
-       SELECT k, v FROM (SELECT coalesce(l.k, b.k) AS k, CASE WHEN l.k IS NULL THEN b.v ELSE nullif(l.v, '') END AS v FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey < 100) b FULL JOIN last l ON b.k = l.k) WHERE v IS NOT NULL""",
-)
-def cdc_09(spark, sf):
-    base = table(spark, sf, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+FOLDED = """WITH last AS (SELECT k, arg_max(CASE WHEN kind = 'error' THEN '' ELSE kind END, g) AS v FROM (SELECT user_id % 200 AS k, event_id AS g, event_type AS kind, event_id % 4 AS contract FROM events) WHERE contract = 1 GROUP BY 1)
+       SELECT k, v FROM (SELECT coalesce(l.k, b.k) AS k, CASE WHEN l.k IS NULL THEN b.v ELSE nullif(l.v, '') END AS v FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey < 100) b FULL JOIN last l ON b.k = l.k) WHERE v IS NOT NULL"""
+
+
+def folded(spark, sf, base):
     e = table(spark, sf, "events")
     value = F.when(F.col("event_type") != "error", F.col("event_type"))
     deltas = e.select((F.col("user_id") % 200).alias("k"), F.col("event_id").alias("g"), value.alias("v"), (F.col("event_id") % 4).alias("contract"))
-    return cdc.fold_deltas(base, deltas, "k", "g", "v", "contract")
+    return cdc.fold_deltas(base.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")), deltas, "k", "g", "v", "contract")
 
 
-@query("cdc_10_backfill", "SELECT doc_id FROM visible v WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = v.doc_id) ORDER BY doc_id LIMIT 100", ("visible",))
-def cdc_10(spark, sf):
+@query("cdc_09_fold_deltas", FOLDED)
+def cdc_09(spark, sf):
+    return folded(spark, sf, table(spark, sf, "customer").where("c_custkey < 100"))
+
+
+@query("cdc_09_fold_deltas_whole", FOLDED.replace(" WHERE c_custkey < 100", ""))
+def cdc_09_whole(spark, sf):
+    """Over all customers; ``cdc_09_fold_deltas`` keeps the cut of its SQL."""
+    return folded(spark, sf, table(spark, sf, "customer"))
+
+
+MISSING = "SELECT doc_id FROM visible v WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = v.doc_id) ORDER BY doc_id LIMIT 100"
+
+
+def without_vector(spark, sf):
     from lectern.functions.access import readable
 
     d = readable(docs(spark, sf), "premium", "u3").select("doc_id")
-    return d.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").orderBy("doc_id").limit(100)
+    return d.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+
+
+@query("cdc_10_backfill", MISSING, ("visible",))
+def cdc_10(spark, sf):
+    """The first batch of rows without a vector."""
+    return without_vector(spark, sf).orderBy("doc_id").limit(100)
+
+
+@query("cdc_10_backfill_whole", MISSING.replace(" LIMIT 100", ""), ("visible",))
+def cdc_10_whole(spark, sf):
+    """All batches: every row without a vector."""
+    return without_vector(spark, sf).orderBy("doc_id")
 
 
 @query("cdc_11_resume", RUNS + "SELECT n.doc_id, CASE WHEN o.doc_id IS NULL THEN 'stage' WHEN o.h = n.h THEN 'skip' ELSE 'mismatch' END AS action FROM new n LEFT JOIN old o ON o.doc_id = n.doc_id")
@@ -173,9 +196,9 @@ def snk_06(spark, sf):
 # graphs: nations under regions, and parts that follow each other in an order
 
 
-def parent_edges(spark, sf):
-    """A forest: a part's parent is half its key; the five smallest keys are a chain that ends in a loop."""
-    p = table(spark, sf, "part").where("p_partkey < 2000").select(F.col("p_partkey").alias("child"))
+def parent_edges(spark, sf, whole=False):
+    """A forest: a part's parent is half its key; the five smallest keys are a chain that ends in a loop. Keys below 2,000, or the ``whole`` table."""
+    p = table(spark, sf, "part").where(F.lit(True) if whole else F.col("p_partkey") < 2000).select(F.col("p_partkey").alias("child"))
     return p.select("child", F.when(F.col("child") == 1, F.lit(4).cast("long")).otherwise(F.floor(F.col("child") / 2)).alias("parent")).where("child > 0")
 
 
@@ -201,30 +224,67 @@ def u_03(spark, sf):
     return graph.closure(parent_edges(spark, sf)).groupBy("ancestor").agg(F.countDistinct("node").alias("below"))
 
 
-@query(
-    "h_03_resolution",
-    "SELECT v.version_id, w.version_id AS target, w.version_id IS NULL AS missing FROM versions v LEFT JOIN versions w ON w.entry_id = v.entry_id // 2 AND w.source_no = v.source_no AND w.language = v.language WHERE v.entry_id < 300",
-    ("versions",),
-)
-def h_03(spark, sf):
+# over the whole table (no SQL: its walk needs a bound on depth, as it walks the loop for ever); the three above keep the cut of theirs
+
+
+@query("h_01_cycles_whole")
+def h_01_whole(spark, sf):
+    checkpoint_dir(spark)
+    return graph.cycles(parent_edges(spark, sf, whole=True))
+
+
+@query("h_02_ancestors_whole")
+def h_02_whole(spark, sf):
+    checkpoint_dir(spark)
+    return graph.closure(parent_edges(spark, sf, whole=True))
+
+
+@query("u_03_recursive_union_whole")
+def u_03_whole(spark, sf):
+    return h_02_whole(spark, sf).groupBy("ancestor").agg(F.countDistinct("node").alias("below"))
+
+
+RESOLUTION = "SELECT v.version_id, w.version_id AS target, w.version_id IS NULL AS missing FROM versions v LEFT JOIN versions w ON w.entry_id = v.entry_id // 2 AND w.source_no = v.source_no AND w.language = v.language WHERE v.entry_id < 300"
+
+
+def resolution(spark, sf, which):
     v = versions(spark, sf).select("entry_id", "source_no", "language", "version_id")
     w = v.withColumnRenamed("version_id", "target")
-    a = v.where("entry_id < 300").withColumn("entry_id", F.floor(F.col("entry_id") / 2))
+    a = v.where(which).withColumn("entry_id", F.floor(F.col("entry_id") / 2))
     return a.join(w, ["entry_id", "source_no", "language"], "left").select("version_id", "target", F.col("target").isNull().alias("missing"))
 
 
-@query(
-    "h_04_affected",
-    """WITH RECURSIVE edges AS (SELECT p_partkey AS child, CASE WHEN p_partkey = 1 THEN 4 ELSE p_partkey // 2 END AS parent FROM part WHERE p_partkey > 0 AND p_partkey < 2000),
-       hit(node) AS (SELECT 37 UNION SELECT e.child FROM hit h JOIN edges e ON e.parent = h.node) SELECT CAST(node AS BIGINT) AS node FROM hit""",
-)
-def h_04(spark, sf):
-    """Everything that a change of one entry reaches: its dependents, to a fixed point."""
+@query("h_03_resolution", RESOLUTION, ("versions",))
+def h_03(spark, sf):
+    return resolution(spark, sf, "entry_id < 300")
+
+
+@query("h_03_resolution_whole", RESOLUTION.replace(" WHERE v.entry_id < 300", ""), ("versions",))
+def h_03_whole(spark, sf):
+    return resolution(spark, sf, "true")
+
+
+AFFECTED = """WITH RECURSIVE edges AS (SELECT p_partkey AS child, CASE WHEN p_partkey = 1 THEN 4 ELSE p_partkey // 2 END AS parent FROM part WHERE p_partkey > 0 AND p_partkey < 2000),
+       hit(node) AS (SELECT 37 UNION SELECT e.child FROM hit h JOIN edges e ON e.parent = h.node) SELECT CAST(node AS BIGINT) AS node FROM hit"""
+
+
+def affected(spark, sf, whole):
     checkpoint_dir(spark)
-    e = parent_edges(spark, sf).select(F.col("parent").alias("a"), F.col("child").alias("b"))
+    e = parent_edges(spark, sf, whole).select(F.col("parent").alias("a"), F.col("child").alias("b"))
     return graph.reach(spark.range(37, 38).select(F.col("id").alias("node")), e)
 
 
+@query("h_04_affected", AFFECTED)
+def h_04(spark, sf):
+    """Everything that a change of one entry reaches: its dependents, to a fixed point."""
+    return affected(spark, sf, False)
+
+
+@query("h_04_affected_whole", AFFECTED.replace(" AND p_partkey < 2000", ""))
+def h_04_whole(spark, sf):
+    return affected(spark, sf, True)
+
+
 @query("h_05_resolved_only", "SELECT e.entry_id, e.entry_id // 2 AS target FROM entries e WHERE e.entry_id // 2 IN (SELECT entry_id FROM entries WHERE edition = '5e')", ("entries",))
 def h_05(spark, sf):
     e = entries(spark, sf)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.access import EDITIONS, ENTRY_TYPES, access_predicate, ordinal, readable
 from lectern.operators.paging import keyset_page, offset_page
-from lectern.operators.windows import best_of, latest
+from lectern.operators.windows import best_of, latest, places
 from lectern.plans.base import query
+from lectern.sources.stores import checkpoint_dir
 from lectern.sources.views import docs, entries, passages, sources, table, versions
 
 
@@ -628,6 +629,13 @@ def o_15(spark, sf):
     return top.select("canonical_key", F.row_number().over(Window.orderBy("canonical_key")).alias("place"))
 
 
+@query("o_15_byte_order_whole", "SELECT canonical_key, row_number() OVER (ORDER BY canonical_key) AS place FROM entries", ("entries",))
+def o_15_whole(spark, sf):
+    """All entries; ``o_15_byte_order`` keeps the cuts of its SQL."""
+    checkpoint_dir(spark)
+    return places(entries(spark, sf).select("canonical_key"), "canonical_key", "place")
+
+
 # set operations
 
 

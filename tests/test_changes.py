@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import changes as cdc
 from lectern.operators import graph
+from lectern.operators.windows import places
 from lectern.streaming import queues
 
 
@@ -67,3 +69,54 @@ def test_keys_and_snippets():
     s = T.snippet(text, ["fire", "bolt"])
     assert s.count("[[fire]] [[bolt]]") == 1 and s.count("[[fire]]") == 2 and " ... " in s and all(len(f.split()) <= 35 for f in s.split(" ... "))
     assert T.snippet("a b", ["x"]) == "a b" and T.snippet("", ["x"]) == ""
+
+
+def test_closures_go_on_to_the_end(spark, tmp_path):
+    """A chain of 40 steps is longer than the 32 rounds of old; a bound that is met raises."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    e = spark.createDataFrame([(k, k + 1) for k in range(40)], "child long, parent long")
+    got = {(r.node, r.ancestor): r.depth for r in graph.closure(e).collect()}
+    assert got == {(a, b): b - a for a in range(40) for b in range(a + 1, 41)}
+    steps = e.select(F.col("child").alias("a"), F.col("parent").alias("b"))
+    assert {r.node for r in graph.reach(spark.createDataFrame([(0,)], "node long"), steps).collect()} == set(range(41))
+    with pytest.raises(RuntimeError):
+        graph.closure(e, 5)
+    with pytest.raises(RuntimeError):
+        graph.reach(spark.createDataFrame([(0,)], "node long"), steps, 5)
+
+
+def test_whole_tables(spark, tmp_path):
+    """Parts, entries and customers past the cuts of the SQL are there."""
+    from lectern.plans.registry import QUERIES
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "c"))
+    n, sf = 5000, str(tmp_path)
+    spark.range(1, n + 1).select(F.col("id").alias("p_partkey"), *[F.lit("x").alias(c) for c in ("p_name", "p_type", "p_brand")], F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice")).write.parquet(f"{sf}/part.parquet")
+    spark.range(n).select(F.col("id").alias("c_custkey"), F.lit("s").alias("c_mktsegment")).write.parquet(f"{sf}/customer.parquet")
+    spark.createDataFrame([(7, 1, "view")], "user_id long, event_id long, event_type string").write.parquet(f"{sf}/events.parquet")
+    up = {k: 4 if k == 1 else k // 2 for k in range(1, n + 1)}
+    depths = {}
+    for k in up:
+        at, d = k, 0
+        while at in up and (k, up[at]) not in depths:
+            at, d = up[at], d + 1
+            depths[(k, at)] = d
+    got = {(r.node, r.ancestor): r.depth for r in QUERIES["h_02_ancestors_whole"](spark, sf).collect()}
+    assert got == depths
+    assert {r.node for r in QUERIES["h_01_cycles_whole"](spark, sf).collect()} == {k for k in up if (k, k) in depths}
+    below = {}
+    for k, a in depths:
+        below[a] = below.get(a, 0) + 1
+    assert {r.ancestor: r.below for r in QUERIES["u_03_recursive_union_whole"](spark, sf).collect()} == below
+    assert {r.node for r in QUERIES["h_04_affected_whole"](spark, sf).collect()} == {37} | {k for k, a in depths if a == 37}
+    assert {r.k: r.v for r in QUERIES["cdc_09_fold_deltas_whole"](spark, sf).collect()} == {k: "view" if k == 7 else "s" for k in range(n)}
+    got = {r.canonical_key: r.place for r in QUERIES["o_15_byte_order_whole"](spark, sf).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(f"part-{k}" for k in range(1, n + 1)), 1)}
+
+
+def test_places_of_equal_and_missing_keys(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    keys = ["b", "a", None, "b", "c"]
+    got = places(spark.createDataFrame([(k,) for k in keys], "k string"), "k", "place").collect()
+    assert sorted((r.place, r.k) for r in got) == [(1, None), (2, "a"), (3, "b"), (4, "b"), (5, "c")]
+    assert places(spark.createDataFrame([], "k string"), "k", "place").count() == 0
