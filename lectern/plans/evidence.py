@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import evidence as E
 from lectern.plans.base import query
+from lectern.sources.stores import checkpoint_dir
 from lectern.sources.views import docs, table
 
 
@@ -30,15 +31,26 @@ def g_05(spark, sf):
 def supported(spark, sf):
     """Claims (first sentences of benchmark texts) that a document's sentence carries whole, its numbers and labels included.
 
-    Claims meet sentences in an equi-join on their first 24 characters, not by a cross join.
+    Claims meet the sentences that hold their rarest token, which any supporting sentence has: an equi-join that loses nothing.
     """
     from lectern.functions.text import first_sentence
 
-    b = table(spark, sf, "benchmark").select("item_id", first_sentence("text", 1000).alias("claim")).where(F.length("claim") >= 24)
-    b = b.withColumn("key", F.lower(F.substring("claim", 1, 24)))
+    def found(text):
+        return [(t,) for t in sorted({t for s in E.segments(text or "") for t in E.canonical_tokens(s)} - E.FILLERS)]
+
+    def wanted(claim):
+        return [(t,) for t in sorted(set(E.canonical_tokens(claim or "")) - E.FILLERS)]
+
+    checkpoint_dir(spark)
+    b = table(spark, sf, "benchmark").select("item_id", first_sentence("text", 1000).alias("claim")).distinct()
+    claims = E.rows(b.withColumn("c", F.col("claim")), wanted, ["c"], "token string")
     d = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("sentence"))
-    d = d.where(F.length("sentence") >= 24).withColumn("key", F.lower(F.substring("sentence", 1, 24)))
-    met = b.join(d, "key").select("item_id", "doc_id", "claim", "sentence")
+    d = d.withColumn("row", F.monotonically_increasing_id()).checkpoint()  # one numbering for both readings
+    tokens = E.rows(d.select("row", "sentence"), found, ["sentence"], "token string").join(claims.select("token").distinct(), "token", "left_semi")
+    held = tokens.checkpoint()
+    times = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = claims.join(times, "token").groupBy("item_id", "claim").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    met = rarest.join(held, "token").select("item_id", "claim", "row").join(d, "row").select("item_id", "doc_id", "claim", "sentence")
     out = E.rows(met, lambda c, s: [(E.supports(c, s),)], ["claim", "sentence"], "supported boolean")
     return out.where("supported").select("item_id", "doc_id").distinct()
 

@@ -43,3 +43,19 @@ def test_report():
 def test_messages():
     assert E.messages(["a", "b", "c" * 10], 5) == ["a\nb", "ccccc", "ccccc"] and E.messages([]) == []
     assert E.quote_matches("Red dragons burn", "the red dragon burn") and not E.quote_matches("", "x")
+
+
+def test_claims_meet_sentences_anywhere(spark, tmp_path):
+    """Behind other words, with another filler, blank or label form, and short; against every pair tested."""
+    from lectern.plans.registry import QUERIES
+
+    claims = ["The goblin has 7 hit points.", "AC 15.", "A red dragon breathes fire over the town.", "It is.", "", None]
+    texts = [
+        "In short, a goblin has 7 hp. More.", "First. The Armor  Class is 15", "Then the red dragon breathes fire over a town! End", "dragon fire", "AC 14. 15 AC.",
+        "a red\ndragon breathes fire over the town.", "", None,
+    ]
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "c"))
+    spark.createDataFrame(list(enumerate(claims)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["g_07_supported_claims"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2)} == {(i, k) for i, c in enumerate(claims) for k, t in enumerate(texts) if E.supports(c or "", t or "")}
