@@ -2,9 +2,11 @@
 
 A payload becomes a mono 8-bit WAV file; the wave module reads its samples
 back. Frames of FRAME samples, HOP apart, are windowed and transformed; each
-frame keeps its strongest local maxima. A peak and the strongest peak of each
-of the next REACH frames make a pair (f1, f2, dt), stored as a 32-bit code in
-an array beside the array of frame numbers, both in time order.
+frame keeps its PEAKS strongest local maxima. Two peaks of a frame, and a peak
+and the strongest one of each of the next REACH frames, make a pair
+(f1, f2, dt), stored as a 32-bit code in an array beside the array of frame
+numbers, both in time order. The least payload has two frames, and a frame of
+samples that differ has two peaks, so only constant samples have no pair.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import functions as F
 from lectern.llm.shared import extended, pick_unused
 
 UNIT = 192
-FRAME = 384
-HOP = 192
+FRAME = 128
+HOP = 64
 RATE = 8_000
+#: Peaks of a frame.
+PEAKS = 2
 #: Frames ahead that a peak is paired with.
-REACH = 2
+REACH = 4
 #: Frames transformed at a time.
 BLOCK = 4_096
 
@@ -52,14 +56,14 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frequency bin, strength) of the strongest local maximum of each frame; a frame without one has its largest bin."""
+def frame_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frequency bins, strengths) of the PEAKS strongest local maxima of each frame, strongest first; largest other bins where there are fewer."""
     n_frames = max(1, (len(samples) - FRAME) // HOP + 1)
     if len(samples) < FRAME:
         samples = np.concatenate([samples, np.full(FRAME - len(samples), 128, dtype=samples.dtype)])
     view = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP][:n_frames]
-    window = np.hanning(FRAME).astype(np.float32)
-    bins, strengths = np.empty(n_frames, dtype=np.int64), np.empty(n_frames, dtype=np.float32)
+    window = np.hamming(FRAME).astype(np.float32)  # no sample weighs nothing
+    bins, strengths = np.empty((n_frames, PEAKS), dtype=np.int64), np.empty((n_frames, PEAKS), dtype=np.float32)
     for lo in range(0, n_frames, BLOCK):
         part = view[lo : lo + BLOCK].astype(np.float32)
         part -= part.mean(axis=1, keepdims=True)
@@ -67,28 +71,35 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         spectrum = np.fft.rfft(part, axis=1)
         power = spectrum.real**2 + spectrum.imag**2
         power[:, :2] = 0  # what the window leaks of the mean
-        inner = power[:, 1:-1]
-        local = np.where((inner >= power[:, :-2]) & (inner > power[:, 2:]), inner, 0)
-        best = local.argmax(axis=1) + 1
-        bins[lo : lo + BLOCK] = best
-        strengths[lo : lo + BLOCK] = np.take_along_axis(power, best[:, None], axis=1)[:, 0]
+        inner = power[:, 1:-1].copy()
+        local = (inner >= power[:, :-2]) & (inner > power[:, 2:])
+        rank = np.where(local, inner + power.max(axis=1, keepdims=True), inner)  # local maxima before the others
+        rows = np.arange(len(part))
+        for k in range(PEAKS):
+            best = rank.argmax(axis=1)
+            bins[lo : lo + BLOCK, k] = best + 1
+            strengths[lo : lo + BLOCK, k] = inner[rows, best]
+            rank[rows, best] = -1
     return bins, strengths
 
 
+def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frequency bin, strength) of the strongest local maximum of each frame; a frame without one has its largest bin."""
+    bins, strengths = frame_peaks(samples)
+    return bins[:, 0], strengths[:, 0]
+
+
 def peak_pairs(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frame, code) of all peak pairs in time order; code: f1 << 16 | f2 << 4 | dt."""
-    bins, strengths = peaks(samples)
-    frames, codes = [], []
-    for dt in range(1, REACH + 1):
-        if len(bins) > dt:
-            at = np.flatnonzero((strengths[:-dt] > 0) & (strengths[dt:] > 0))
-            frames.append(at)
-            codes.append(bins[at] << 16 | bins[at + dt] << 4 | dt)
-    if not frames:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    frame, code = np.concatenate(frames), np.concatenate(codes)
-    order = np.lexsort((code, frame))
-    return frame[order], code[order]
+    """(frame, code) of all peak pairs in time order, a frame's strongest first; code: f1 << 16 | f2 << 4 | dt."""
+    bins, strengths = frame_peaks(samples)
+    n, found = len(bins), []
+    zone = [(k, 0, dt) for k in range(PEAKS) for dt in range(1, REACH + 1)] + [(k, m, 0) for k in range(PEAKS) for m in range(k + 1, PEAKS)]
+    for order, (k, m, dt) in enumerate(sorted(zone)):
+        at = np.flatnonzero((strengths[: max(n - dt, 0), k] > 0) & (strengths[dt:, m] > 0))
+        found.append((at, np.full(len(at), order), bins[at, k] << 16 | bins[at + dt, m] << 4 | dt))
+    frame, order, code = (np.concatenate(x) for x in zip(*found))
+    by_time = np.lexsort((order, frame))
+    return frame[by_time], code[by_time]
 
 
 def media_columns(docs: DataFrame, text: str = "text", with_media: bool = True) -> DataFrame:
@@ -126,7 +137,7 @@ def media_columns(docs: DataFrame, text: str = "text", with_media: bool = True)
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id and the digest columns; feature: frame:code of all peak pairs, in base 16, comma-joined.
 
-    A text of one frame has no pair and an empty feature. Null ids and
+    Constant samples (a null, empty or blank text) have no pair and an empty feature. Null ids and
     repeated rows keep a row each; empty input: no rows.
     """
     held = media_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), with_media=False)

@@ -49,3 +49,20 @@ def test_blocks_do_not_change_peaks(monkeypatch):
     whole = media.peak_pairs(samples)
     monkeypatch.setattr(media, "BLOCK", 7)
     assert all((a == b).all() for a, b in zip(whole, media.peak_pairs(samples)))
+
+
+def test_every_text_of_differing_samples_has_pairs():
+    """Down to one letter at either end of the least payload."""
+    texts = ["a", "one", "two words", "x" * 191, " " * 191 + "b", "ab" * 96, "word " * 30, "é", "the quick brown fox"]
+    assert all(len(media.peak_pairs(np.frombuffer(media.payload_of(t), dtype=np.uint8))[1]) for t in texts)
+    for constant in (None, "", "  ", "x" * 192):
+        assert not len(media.peak_pairs(np.frombuffer(media.payload_of(constant), dtype=np.uint8))[0])
+
+
+def test_pairs_within_and_across_frames():
+    """Two tones at once pair with each other in each frame and with the strongest in the next ones."""
+    t = np.arange(media.FRAME * 4)
+    wave = np.sin(2 * np.pi * 12 * t / media.FRAME) + 0.5 * np.sin(2 * np.pi * 40 * t / media.FRAME)
+    _, codes = media.peak_pairs((128 + 60 * wave).astype(np.uint8))
+    for f1, f2, dt in ((12, 40, 0), (12, 12, 1), (40, 12, 1), (12, 12, media.REACH), (40, 12, media.REACH)):
+        assert (f1 << 16 | f2 << 4 | dt) in codes
