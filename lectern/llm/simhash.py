@@ -37,6 +37,10 @@ PIVOTS = 24
 CELL_ROWS = 4096
 #: The same where rows carry their shingle sets.
 SET_ROWS = 1024
+#: Sets of so many shingles or fewer are linked without fingerprints, whose bits few shingles decide.
+FEW = 64
+#: Deviations past the expected distance at the threshold up to which a pair is a candidate.
+SPREAD = 3.5
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
@@ -202,8 +206,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def described(docs: DataFrame, scan: str, words: int, names: tuple[str, str]) -> DataFrame:
-    """``docs`` with its ``scan`` column replaced by a wide fingerprint of the shingle set and a key equal for equal sets only."""
+def described(docs: DataFrame, scan: str, words: int, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with its ``scan`` column replaced by a wide fingerprint of the shingle set, a key equal for equal sets only and the set's size."""
     keep = [c for c in docs.columns if c != scan]
 
     def run(batches):
@@ -211,9 +215,9 @@ def described(docs: DataFrame, scan: str, words: int, names: tuple[str, str]) ->
             sets = [shingle_set(x, words) for x in batch.column(scan).to_pylist()]
             prints = [majority(x, WIDE).tobytes() for x in sets]
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(prints, pa.binary()), pa.array(keys, pa.binary())], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(prints, pa.binary()), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int32())], names=[*keep, *names])
 
-    schema = extended(docs.select(*keep).schema, f"{names[0]} binary, {names[1]} binary")
+    schema = extended(docs.select(*keep).schema, f"{names[0]} binary, {names[1]} binary, {names[2]} int")
     return docs.mapInArrow(run, schema)
 
 
@@ -232,7 +236,7 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             for x, y, m, n in zip(batch.column("x"), batch.column("y"), batch.column("n_x").to_pylist(), batch.column("n_y").to_pylist()):
                 p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= similarity * (m + n - both))
+                ok.append(both >= similarity * (m + n - both) - 1e-9)
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -242,7 +246,7 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def wide_radius(similarity: float) -> int:
     """Differing bits up to which a pair is a candidate."""
     rate, bits = flip_rate(similarity), 64 * WIDE
-    return math.ceil(bits * rate + 2.6 * math.sqrt(bits * rate * (1 - rate)))
+    return math.ceil(bits * rate + SPREAD * math.sqrt(bits * rate * (1 - rate)))
 
 
 def similar_links(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
@@ -286,14 +290,14 @@ def exact_links(rows: DataFrame, count: int, similarity: float, radius: int) ->
             j = np.flatnonzero((root[i + 1 :] != root[i]) & (lengths[i + 1 :] > 0)) + i + 1
             if cross:
                 j = j[chunk[j] != chunk[i]]
-            j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i])]
+            j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]) - 1e-9]
             j = j[np.bitwise_count(prints[j] ^ prints[i]).sum(axis=1) <= radius]
             if not len(j):
                 continue
             marked[parts[i]] = 1
             both = np.add.reduceat(marked[np.concatenate([parts[k] for k in j.tolist()])], np.cumsum(lengths[j]) - lengths[j])
             marked[parts[i]] = 0
-            for k in j[both >= similarity * (sizes[i] + sizes[j] - both)].tolist():
+            for k in j[both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9].tolist():
                 if root[k] != root[i]:
                     root[root == root[k]] = root[i]
                     yield int(nodes[i]), int(nodes[k])
@@ -314,23 +318,57 @@ def exact_links(rows: DataFrame, count: int, similarity: float, radius: int) ->
     return blocks(rows, SET_ROWS, count).mapInArrow(run, "a long, b long")
 
 
+def few_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect what the pairs of that similarity among ``texts`` (node, print, text) connect: exact, by prefixes.
+
+    Of two sets of that similarity, each shares all but n - ceil(similarity * n) of its n shingles with the other, so
+    in any fixed order (here that of the hashes) their first n - ceil(similarity * n) + 1 have one in common.
+    """
+
+    def run(batches):
+        for batch in batches:
+            at, cells, halves, sizes = [], [], [], []
+            for k, x in enumerate(batch.column(2).to_pylist()):
+                s = shingle_set(x, words)
+                first = s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+                at += [k] * len(first)
+                cells.append(first.view(np.int64))
+                halves += [np.unique(s.astype(np.uint32)).tobytes()] * len(first)
+                sizes += [len(s)] * len(first)
+            take = pa.array(at, pa.int64())
+            node = batch.column(0).take(take)
+            cell = pa.array(np.concatenate(cells) if cells else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([cell, node, node, batch.column(1).take(take), pa.array(halves, pa.binary()), pa.array(sizes, pa.int64())], names=["cell", "node", "linked", "print", "hashes", "n"])
+
+    rows = materialise(texts.select("node", "print", "text").mapInArrow(run, "cell long, node long, linked long, print binary, hashes binary, n long"))
+    met = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cell")
+    out = materialise(exact_links(rows.join(met, "cell", "left_semi"), rows.count(), similarity, 64 * WIDE).distinct())
+    discard(rows)
+    return out
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id (nulls last).
 
     Groups are the components of links between documents whose sets of
     ``words``-word shingles have a Jaccard similarity of ``similarity`` or
     more, checked on their shingle sets; candidates come from wide fingerprints of those
-    sets. Texts without words (nulls too) form one group. Empty input: no rows.
+    sets, for sets of FEW shingles or fewer from shared shingles. Texts without words (nulls too) form one group. Empty input: no rows.
     """
     names = docs.columns
     taken = {c.lower() for c in names}
-    row, scan, print_, key = (x if x not in taken else f"{x}__lectern" for x in ("_row", "_scan", "_print", "_key"))
+    row, scan, print_, key, size = (x if x not in taken else f"{x}__lectern" for x in ("_row", "_scan", "_print", "_key", "_size"))
     based = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(scan, F.col(text))
-    held = materialise(described(based, scan, words, (print_, key)))
+    held = materialise(described(based, scan, words, (print_, key, size)))
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("first")
-    nodes = held.groupBy(F.col(print_).alias("print"), F.col(key).alias("key")).agg(first)
+    nodes = held.groupBy(F.col(print_).alias("print"), F.col(key).alias("key")).agg(first, F.max(size).alias("size"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
-    edges = materialise(similar_links(nodes.select("node", "print"), nodes.count(), similarity))  # a pair once for each tree that has it
+    reach = math.ceil(FEW / similarity)  # the largest set that one of FEW can be similar to
+    few = nodes.where(F.col("size").between(1, reach)).select("node", "print", F.col("first.row").alias(row))
+    texts = held.where(F.col(size) <= reach).select(row, F.col(text).alias("text")).join(few, row)
+    short = few_links(texts, words, similarity)
+    wide = nodes.where(F.col("size") > FEW).select("node", "print")
+    edges = materialise(similar_links(wide, wide.count(), similarity))  # a pair once for each tree that has it
     touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.row").alias(row))
 
     def run(batches):
@@ -341,14 +379,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
 
     sets = materialise(held.select(row, F.col(text).alias("text")).join(touched, row).select("node", "text").mapInArrow(run, "node long, hashes binary, n long"))
     ok = materialise(verified(edges.select("a", "b").distinct(), sets, similarity))
-    roots = components(ok)
+    linked = ok.unionByName(short)
+    roots = components(linked)
     # an edge that failed may have stood for pairs that hold: all pairs of its zone are checked, but for those connected by now
     zones = unsettled(edges, ok).select("node", F.col("root").alias("cell")).join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("linked"))
     zones = materialise(zones)
     split = zones.groupBy("cell").agg(F.min("linked").alias("lo"), F.max("linked").alias("hi")).where("lo < hi").select("cell")
     rows = zones.join(split, "cell", "left_semi").join(nodes.select("node", "print"), "node").join(sets, "node")
     more = materialise(exact_links(rows, zones.count(), similarity, wide_radius(similarity)))
-    roots = components(ok.unionByName(more))
+    roots = components(linked.unionByName(more))
     for used in (edges, sets, zones):
         discard(used)
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))

@@ -132,3 +132,18 @@ def test_links_within_a_large_group_just_below_the_threshold(spark, monkeypatch)
     assert jaccard(rows[0][1], rows[1][1]) < 0.8
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(300)) - set(range(1, 120, 2))
+
+
+def test_short_texts_that_differ_by_a_word(spark):
+    """Four shingles and the same with a fifth: 0.8 exactly; and pairs on both sides of FEW."""
+    rows, gone = [], set()
+    for k in range(400):
+        text = [f"t{k}w{i}" for i in range(8)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text, "more"]))]
+        gone.add(2 * k + 1)
+    for k in range(400, 500):
+        text = [f"t{k}w{i}" for i in range(66)]  # 62 shingles, then 77
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text, *(f"t{k}v{i}" for i in range(15))]))]
+        gone.add(2 * k + 1)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} - gone
