@@ -1,50 +1,161 @@
-"""Evidence: segments, claims and their support, typed blocks of text. Row functions, and their Arrow form ``rows``."""
+"""Evidence as Columns: segments, words, selections, answers, support of claims. Typed blocks of text as row functions, and their Arrow form ``rows``.
+
+Texts are taken as composed (NFC); callers compose where input may not be.
+"""
 
 from __future__ import annotations
 
-import json
 import re
-import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest segment, most selections, message size.
-SEGMENT_CHARS = 1200
+from lectern.functions.text import col, let
+
+#: Longest selectable segment, longest segment of a support check, most selections, most citations, message size.
+SEGMENT_CHARS = 600
+SUPPORT_CHARS = 800
 SELECTIONS = 5
+CITATIONS = 3
 MESSAGE_CHARS = 3996
-SEGMENT_ID = re.compile(r"C[1-9]\d*:S[1-9]\d*")
-SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
+NUMBER = r"[-+]?\d+(?:[.,]\d+)?(?:/\d+)?"
 
 
-def segments(text: str, limit: int = SEGMENT_CHARS) -> list[str]:
-    """Bounded pieces of a text: table rows whole, other lines by sentence; pieces past ``limit`` are left out, never cut."""
-    out: list[str] = []
-    for line in text.replace("\r\n", "\n").split("\n"):
-        line = line.strip()
-        units = [line] if "|" in line else SENTENCE_END.split(line)
-        out += [u.strip() for u in units if u.strip() and len(u.strip()) <= limit]
-    return out
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
-def parse_selections(raw: str) -> tuple[list[str], bool] | None:
-    """(ids in order without repeats, whether that changed them) of a closed answer {"selections": [...]}; None if rejected. One fence is tolerated."""
-    body = raw.strip()
-    fence = re.fullmatch(r"```(?:json)?\s*\n(.*)\n```", body, re.S | re.I)
-    try:
-        value = json.loads(fence[1].strip() if fence else body)
-    except ValueError:
-        return None
-    ids = value.get("selections") if isinstance(value, dict) and set(value) == {"selections"} else None
-    if not isinstance(ids, list) or len(ids) > SELECTIONS or not all(isinstance(i, str) and SEGMENT_ID.fullmatch(i) for i in ids):
-        return None
-    ordered = sorted(set(ids), key=lambda i: tuple(int(n) for n in re.findall(r"\d+", i)))
-    return ordered, ordered != ids
+def lines(c: str | Column) -> Column:
+    """The lines of a text that are not blank, trimmed."""
+    return F.filter(F.transform(F.split(col(c), r"\r?\n"), stripped), lambda x: x != "")
 
 
-#: Word forms that stand for one label or unit.
+def segments(c: str | Column, limit: int = SEGMENT_CHARS) -> Column:
+    """Array of the selectable pieces of a text: table rows whole, other lines by sentence. Pieces past ``limit`` are left out, never cut."""
+    units = F.flatten(F.transform(lines(c), lambda x: F.when(F.contains(x, F.lit("|")), F.array(x)).otherwise(F.split(x, r"(?<=[.!?。！？])[\s\p{Z}]+"))))
+    return F.filter(F.transform(units, stripped), lambda x: (x != "") & (F.length(x) <= limit))
+
+
+#: Words that stand for others, words of a question that ask for nothing, and Russian endings, longest first.
+ALIASES = {"ac": ("armor", "class"), "hp": ("hit", "point"), "кд": ("класс", "доспех")}
+GLUE = tuple(
+    """a about an and are can do does for have how i in is many me much number of on or please s show tell the to value what when where which who why with you your compare
+    а в где для есть и из известно как какой какая какие когда кто мне значение ли на о об покажи по про расскажи сколько сравни сравнить у что это или""".split()
+)
+SPEED_ASKED = r"(?:^| )(?:how|как) (?:fast|quickly|быстро|быстрее)(?: |$)"
+SPEED_WORDS = {"fast": "speed", "quickly": "speed", "быстро": "скорость", "быстрее": "скорость"}
+SPEED_FRAME = ("move", "moves", "moving", "movement", "двигается", "двигаться", "движение", "движения")
+ENDINGS = "иями ями ами ого его ему ому ая яя ую юю ах ях ов ев ом ем ый ий ой ей а я у ю ы и".split()
+
+
+def plain_words(c: str | Column, question: bool = False) -> Column:
+    """Array of lower-cased runs of letters and digits, abbreviations spelt out, plural s and Russian endings dropped.
+
+    Of a ``question`` that asks how fast, the words for it become those for speed and its words for moving go.
+    """
+    found = F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+    def form(w: Column) -> Column:
+        english = F.when((F.length(w) > 4) & F.endswith(w, F.lit("s")) & (w != "class"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+        russian = F.regexp_replace(w, rf"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$", "$1")
+        out = F.array(F.when(F.rlike(w, F.lit("^[а-яё]+$")), russian).otherwise(english))
+        for short, full in ALIASES.items():
+            out = F.when(w == short, F.array(*map(F.lit, full))).otherwise(out)
+        return out
+
+    plain = F.flatten(F.transform(found, form))
+    if not question:
+        return plain
+
+    def speed(w: Column) -> Column:
+        out = F.when(w.isin(*SPEED_FRAME), F.array().cast("array<string>")).otherwise(form(w))
+        for asked, said in SPEED_WORDS.items():
+            out = F.when(w == asked, F.array(F.lit(said))).otherwise(out)
+        return out
+
+    return F.when(F.rlike(F.array_join(found, " "), F.lit(SPEED_ASKED)), F.flatten(F.transform(found, speed))).otherwise(plain)
+
+
+def anchored(quote: str | Column, anchor: str | Column) -> Column:
+    """A segment as shown: behind its anchor where the anchor's words are not all in it."""
+    q, a = col(quote), stripped(col(anchor))
+    apart = F.size(F.array_except(plain_words(a), plain_words(q))) > 0
+    return F.when(F.coalesce((a != "") & apart, F.lit(False)), F.concat(a, F.lit(": "), q)).otherwise(q)
+
+
+def selected(raw: str | Column) -> Column:
+    """A model's answer {"selections": [...]} as (ids in order without repeats, normalized: whether that changed them, rejected).
+
+    Closed: no other fields, SELECTIONS ids of the form C1:S1 at most. A code fence around it is tolerated. Null is rejected.
+    """
+    trimmed = F.regexp_replace(F.coalesce(col(raw), F.lit("")), r"^\s+|\s+$", "")
+    body = F.regexp_replace(trimmed, r"(?is)^```(?:json)?\s*\n(.*?)\n```$", "$1")
+    one = r'"C[1-9]\d*:S[1-9]\d*"'
+    closed = F.rlike(body, F.lit(rf'^\s*\{{\s*"selections"\s*:\s*\[\s*(?:{one}(?:\s*,\s*{one})*)?\s*\]\s*\}}\s*$'))
+    ids = F.regexp_extract_all(body, F.lit(r"C[1-9]\d*:S[1-9]\d*"), 0)
+    keyed = F.transform(F.array_distinct(ids), lambda i: F.struct(F.regexp_extract(i, r"C(\d+)", 1).cast("decimal(38,0)").alias("c"), F.regexp_extract(i, r"S(\d+)", 1).cast("decimal(38,0)").alias("s"), i.alias("id")))
+    ordered = F.transform(F.array_sort(keyed), lambda x: x["id"])
+    ok = closed & (F.size(ids) <= SELECTIONS)
+    return F.struct(F.when(ok, ordered).otherwise(F.array().cast("array<string>")).alias("ids"), (ok & (ordered != ids)).alias("normalized"), (~ok).alias("rejected"))
+
+
+def resolved(answers: DataFrame, offered: DataFrame, key: str = "question") -> DataFrame:
+    """``answers`` (key, ids) with ``segments``: the offered segments of the ids in order; null if one of them was not offered to that question.
+
+    ``offered``: (key, id, text, quote, chunk). An equi-join on question and id; an answer has at most SELECTIONS ids.
+    """
+    asked = answers.select(key, F.posexplode("ids").alias("at", "id"))
+    met = asked.join(offered, [key, "id"], "left")
+    found = met.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("at", "id", "text", "quote", "chunk"))).alias("segments"), (F.count(F.lit(1)) == F.count("chunk")).alias("whole")
+    )
+    joined = answers.join(found, key, "left")
+    empty = F.size("ids") == 0
+    return joined.withColumn("segments", F.when(empty, F.array().cast(found.schema["segments"].dataType)).when(F.col("whole"), F.col("segments"))).drop("whole")
+
+
+def answers_query(question: Column, texts: Column, subjects: Column) -> Column:
+    """Whether selected ``texts`` answer a ``question``, given all offered ``subjects`` (arrays of strings).
+
+    Every subject named in the question is named in some text and every text names one; the texts together hold all its
+    other words but GLUE, and each holds one of those (of the subjects' words if there are no others).
+    """
+    def holds(have: Column, ws: Column) -> Column:
+        return F.forall(ws, lambda w: F.array_contains(have, w))
+
+    def judged(words: Column, named: Column, sets: Column) -> Column:
+        of_subjects, union = F.flatten(named), F.flatten(sets)
+
+        def told(wanted: Column) -> Column:
+            on_subject = F.forall(sets, lambda s: F.exists(named, lambda ws: holds(s, ws))) & let(union, lambda u: F.forall(named, lambda ws: holds(u, ws)))
+            telling = F.when(F.size(wanted) > 0, wanted).otherwise(of_subjects)
+            relevant = let(telling, lambda t: F.forall(sets, lambda s: F.exists(t, lambda w: F.array_contains(s, w))))
+            return (F.size(words) > 0) & ((F.size(named) == 0) | on_subject) & let(union, lambda u: holds(u, wanted)) & relevant
+
+        return let(F.array_except(words, of_subjects), told)
+
+    def with_words(words: Column) -> Column:
+        named = F.filter(F.transform(F.array_distinct(subjects), lambda s: plain_words(s)), lambda ws: (F.size(ws) > 0) & holds(words, ws))
+        return let(named, lambda n: let(F.transform(texts, lambda t: plain_words(t)), lambda sets: judged(words, n, sets)))
+
+    return let(F.array_distinct(F.filter(plain_words(question, True), lambda w: ~w.isin(*GLUE))), with_words)
+
+
+def grounded(rejected: Column, ids: Column, segments_: Column, answers: Column, normalized: Column, chunks: Column) -> Column:
+    """The reason why an answer is not taken as it is; null for a confident one."""
+    return (
+        F.when(chunks == 0, "insufficient_retrieval")
+        .when(rejected, "malformed_selection")
+        .when(F.size(ids) == 0, "no_selection")
+        .when(segments_.isNull(), "malformed_selection")
+        .when(~answers, "irrelevant_selection")
+        .when(normalized, "selection_normalized")
+    )
+
+
+#: Word forms that stand for one label or unit, words that carry no claim, pronouns, Russian endings of the support check.
 LABELS = {
     "ac": ("armor class", "ac", "класс доспеха", "кд"), "hp": ("hit points", "hp", "хиты", "пункты хитов"), "speed": ("speed", "скорость"),
     "challenge": ("challenge rating", "cr", "опасность"), "str": ("strength", "str", "сила", "сил"), "dex": ("dexterity", "dex", "ловкость", "лов"),
@@ -52,79 +163,83 @@ LABELS = {
     "cha": ("charisma", "cha", "харизма", "хар"),
 }
 UNITS = {
-    "length-ft": ("ft", "foot", "feet", "фут", "фута", "футов"), "length-m": ("m", "meter", "meters", "metre", "metres", "м", "метр", "метра", "метров"),
-    "weight": ("lb", "lbs", "pound", "pounds", "фунт", "фунта", "фунтов"), "time": ("round", "rounds", "раунд", "раунда", "раундов"),
+    "ft": ("ft", "foot", "feet", "фут", "фута", "футов"), "m": ("m", "meter", "meters", "metre", "metres", "м", "метр", "метра", "метров"),
+    "lb": ("lb", "lbs", "pound", "pounds", "фунт", "фунта", "фунтов"), "round": ("round", "rounds", "раунд", "раунда", "раундов"),
 }
-UNIT_OF = {form: name for name, forms in UNITS.items() for form in forms}
-LABEL_OF = {tuple(form.split()): name for name, forms in LABELS.items() for form in forms}
-FILLERS = set("a an the of is are was were has have it its and и это есть имеет".split())
-PIECE = re.compile(r"[-+]?\d+(?:[.,]\d+)?(?:/\d+)?|[^\W\d_]+|[<>≤≥]")
-
-
-def canonical_tokens(text: str) -> list[str]:
-    """Words in lower case with labels and units in one form each."""
-    raw = PIECE.findall(re.sub(r"([+-])\s+(?=\d)", r"\1", unicodedata.normalize("NFC", text).lower()))
-    out, k = [], 0
-    while k < len(raw):
-        two, one = tuple(raw[k : k + 2]), (raw[k],)
-        if two in LABEL_OF or one in LABEL_OF:
-            out.append("label:" + (LABEL_OF.get(two) or LABEL_OF[one]))
-            k += 2 if two in LABEL_OF else 1
-        else:
-            out.append("unit:" + UNIT_OF[raw[k]] if raw[k] in UNIT_OF else raw[k])
-            k += 1
+EMPTY_WORDS = {"en": "a an and are has had have is the was were".split(), "ru": ["и"]}
+PRONOUNS = {
+    "en": "he her hers him his it its she that their theirs them these they this those".split(),
+    "ru": "его ее ему ей им их она они оно он этим эти это эта этот".split(),
+}
+SUPPORT_ENDINGS = "ого его ому ему ой ей ую юю ом ем ым им ая яя ое ее ый ий а я у ю е".split()
+TOKEN = rf"[-+]?\d+d\d+|{NUMBER}|[<>≤≥]|[\p{{L}}\p{{N}}]+(?:['’][\p{{L}}\p{{N}}]+)?"
+
+
+def claim_form(c: str | Column, language: str = "en", claim: bool = False) -> Column:
+    """A text as its meaningful tokens, each between blanks of its own: labels, units, numbers and words in one form each.
+
+    With such blanks a token, or a run of them, is in another text exactly when its form is a substring of the other's.
+    Of a ``claim``, a number that stands before its label goes behind it.
+    """
+    low = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"([+-])\s+(?=\d)", "$1")
+    found = F.transform(F.regexp_extract_all(low, F.lit(TOKEN), 0), lambda t: F.concat(F.lit(" "), F.regexp_replace(t, "['’]s$", ""), F.lit(" ")))
+    out = F.array_join(found, "")
+    for name, forms in LABELS.items():
+        out = F.regexp_replace(out, f" (?:{'|'.join(f.replace(' ', '  ') for f in forms)}) ", f" label-{name} ")
+    for name, forms in UNITS.items():
+        out = F.regexp_replace(out, f" (?:{'|'.join(forms)}) ", f" unit-{name} ")
+    if claim:
+        out = F.regexp_replace(out, rf"(?<!label-[a-z]{{1,9}} ) ({NUMBER})  (label-[a-z]+) ", " $2  $1 ")
+    out = F.regexp_replace(out, f" (?:{'|'.join(EMPTY_WORDS[language])}) ", "")
+    if language == "ru":
+        out = F.regexp_replace(out, rf" ([\p{{L}}]{{5,}}?)(?:{'|'.join(SUPPORT_ENDINGS)}) ", " $1 ")
     return out
 
 
-def is_number(token: str) -> bool:
-    return re.fullmatch(r"[-+]?\d+(?:[.,]\d+)?(?:/\d+)?", token) is not None
+def bound(claim: Column, language: str = "en") -> Column:
+    """Whether no pronoun of a claim's form comes before a word that can be its subject; false for a claim without tokens."""
+    free = rf"^(?: (?:label-[a-z]+|unit-[a-z]+|{NUMBER}) )*+ (?:{'|'.join(PRONOUNS[language])}) "
+    return (claim != "") & ~F.rlike(claim, F.lit(free))
 
 
-def pairs(found: list[str]) -> set[tuple[str, str]]:
-    """(label, first number within five tokens after it, before another label), and (number, unit within two tokens)."""
-    out = set()
-    for k, t in enumerate(found):
-        if t.startswith("label:"):
-            for u in found[k + 1 : k + 6]:
-                if u.startswith("label:"):
-                    break
-                if is_number(u):
-                    out.add((t, u))
-                    break
-        elif is_number(t):
-            out |= {(t, u) for u in found[k + 1 : k + 3] if u.startswith("unit:")}
-    return out
+def support_segments(c: str | Column, section: str | Column | None = None) -> Column:
+    """Array of the segments of a text that may carry a claim: table rows whole, other lines by sentence and semicolon, each behind
+    its ``section`` unless it names it; those past SUPPORT_CHARS are cut at blanks. Null sections count as none."""
+    parts = F.flatten(
+        F.transform(
+            F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\r?\n"), lambda x: F.struct(F.contains(x, F.lit("|")).alias("row"), stripped(F.regexp_replace(x, r"[\s\p{Z}]+", " ")).alias("x"))), lambda s: s["x"] != ""),
+            lambda s: F.when(s["row"], F.array(s["x"])).otherwise(F.split(s["x"], r"(?<=[.!?;]) ")),
+        )
+    )
+    n = SUPPORT_CHARS
+    cut = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= n, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(rf"(?s)\s*(.{{1,{n}}}$|.{{{n // 2},{n}}}(?= )|.{{{n}}})"), 1))))
+    if section is None:
+        return cut
+    name = stripped(F.regexp_replace(F.coalesce(col(section), F.lit("")), r"[\s\p{Z}]+", " "))
+
+    def tokens(x):
+        return F.array_join(F.transform(F.regexp_extract_all(F.lower(x), F.lit(TOKEN), 0), lambda t: F.concat(F.lit(" "), t, F.lit(" "))), "")
 
+    return F.transform(cut, lambda p: F.when((name == "") | F.contains(tokens(p), tokens(name)), p).otherwise(F.substring(F.concat(name, F.lit(": "), p), 1, n)))
 
-def holds_run(words: list[str], run: list[str]) -> bool:
-    """Whether ``run`` stands consecutively in ``words``."""
-    n = len(run)
-    return any(words[k : k + n] == run for k in range(len(words) - n + 1))
 
+def supported(claim: Column, segment: Column, language: str = "en") -> Column:
+    """Whether a segment carries a claim whole; both as ``claim_form`` makes them.
 
-def supports(claim: str, evidence: str) -> bool:
-    """Whether one segment of ``evidence`` carries the whole claim: its words in a run, its label-value and number-unit pairs, its comparison signs."""
-    wanted = [t for t in canonical_tokens(claim) if t not in FILLERS]
-    if not wanted:
-        return False
-    for s in segments(evidence):
-        have = [t for t in canonical_tokens(s) if t not in FILLERS]
-        signs = {t for t in wanted if t in "<>≤≥"}
-        if holds_run(have, wanted) and pairs(wanted) <= pairs(have) and signs <= set(have):
-            return True
-    return False
+    The claim's tokens stand in it in a run. A run has the claim's labels with their values, numbers with their units and
+    comparison signs in the same places, so these need no check of their own.
+    """
+    return bound(claim, language) & F.contains(segment, claim)
 
 
-def plain_words(text: str) -> list[str]:
-    """NFC, lower case, runs of letters and digits, plural s dropped from words of five letters and more."""
-    found = re.findall(r"[^\W_]+", unicodedata.normalize("NFC", text).lower())
-    return [w[:-1] if len(w) >= 5 and w.endswith("s") and not w.endswith("ss") else w for w in found]
+def quote_matches(quote: str | Column, evidence: str | Column) -> Column:
+    """Whether either's words stand consecutively in the other's; not if one has none."""
 
+    def padded(c):
+        return F.array_join(F.transform(plain_words(c), lambda w: F.concat(F.lit(" "), w, F.lit(" "))), "")
 
-def quote_matches(quote: str, evidence: str) -> bool:
-    """Whether either's words stand consecutively in the other's."""
-    q, e = plain_words(quote), plain_words(evidence)
-    return bool(q) and bool(e) and (holds_run(q, e) or holds_run(e, q))
+    q, e = padded(quote), padded(evidence)
+    return (q != "") & (e != "") & (F.contains(q, e) | F.contains(e, q))
 
 
 def messages(parts: list[str], limit: int = MESSAGE_CHARS) -> list[str]:
@@ -139,24 +254,52 @@ def messages(parts: list[str], limit: int = MESSAGE_CHARS) -> list[str]:
     return out
 
 
-#: The first rule that a chunk meets names its type.
-TYPE_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("spell", (r"(?im)^(?:Casting Time|Время накладывания|Время сотворения)\s*:",)),
-    ("creature", (r"(?im)^(?:Armor Class|Класс Доспеха)\s*:?[ \t]*\d", r"(?im)^(?:Hit Points|Хиты)\s*:?[ \t]*\d")),
-    ("equipment", (r"(?i)\|[^\n]*(?:Cost|Стоимость)[^\n]*\|",)),
-    ("class", (r"(?i)\|[^\n]*(?:Level|Уровень)[^\n]*(?:Features|Умения)[^\n]*\|", r"(?i)(?:Hit Die|Кость хитов)\s*:")),
-    ("species", (r"(?im)^(?:Species|Вид|Раса)(?: Variant| Вариант)?\s*$", r"(?im)^(?:Size|Размер)\s*:")),
-    ("equipment", (r"(?i)(?:equipment|снаряжение)", r"(?i)(?:cost|стоимость|цена)")),
-    ("feature", (r"(?i)(?:\d+(?:st|nd|rd|th)-Level .* Feature|Умение .* \d+(?:-го|-й) уровня)",)),
-    ("feat", (r"(?i)(?:\bfeat\b|черта)",)),
-    ("background", (r"(?i)(?:\bbackground\b|предыстори)",)),
-    ("item", (r"(?i)(?:magic item|магический предмет|rarity\s*:|редкость\s*:)",)),
-    ("glossary", (r"(?i)(?:glossary|rules term|словар|термин правил)",)),
+#: The words that tell a chunk's type, in both languages.
+MARKS = {
+    "casting": ("Casting Time", "Время накладывания", "Время сотворения"), "armor": ("Armor Class", "Класс Доспеха"), "hits": ("Hit Points", "Хиты"),
+    "cost": ("Cost", "Стоимость"), "price": ("cost", "стоимость", "цена"), "level": ("Level", "Уровень"), "features": ("Features", "Умения"),
+    "die": ("Hit Die", "Кость хитов"), "size": ("Size", "Размер"), "gear": ("equipment", "снаряжение"), "feat": (r"\bfeat\b", "черта"),
+    "background": (r"\bbackground\b", "предыстори"), "item": ("magic item", "магический предмет", r"rarity\s*:", r"редкость\s*:"),
+    "glossary": ("glossary", "rules term", "словар", "термин правил"), "gained": (r"\d+(?:st|nd|rd|th)-Level .* Feature", r"Умение .* \d+(?:-го|-й) уровня"),
+    "kind": ("Species(?: Variant)?", "Вид(?: Вариант)?", "Раса(?: Вариант)?"),
+}
+
+
+def any_of(mark: str) -> str:
+    return f"(?:{'|'.join(MARKS[mark])})"
+
+
+def on_line(mark: str, rest: str) -> str:
+    """A line that begins with the mark and goes on with ``rest``."""
+    return f"(?im)^{any_of(mark)}{rest}"
+
+
+def in_row(*marks: str) -> str:
+    """A table row that holds the marks in this order."""
+    return r"(?i)\|" + "".join(rf"[^\n]*{any_of(m)}" for m in marks) + r"[^\n]*\|"
+
+
+#: Types in the order in which they are tried, with what a chunk of the type has.
+TYPES = (
+    ("spell", [on_line("casting", r"\s*:")]),
+    ("creature", [on_line("armor", r"\s*:?[ \t]*\d"), on_line("hits", r"\s*:?[ \t]*\d")]),
+    ("equipment", [in_row("cost")]),
+    ("class", [in_row("level", "features"), "(?i)" + any_of("die") + r"\s*:"]),
+    ("species", [on_line("kind", r"\s*$"), on_line("size", r"\s*:")]),
+    ("equipment", ["(?i)" + any_of("gear"), "(?i)" + any_of("price")]),
+    *((name, ["(?i)" + any_of(mark)]) for name, mark in (("feature", "gained"), ("feat", "feat"), ("background", "background"), ("item", "item"), ("glossary", "glossary"))),
 )
 
 
-def chunk_type(text: str) -> str | None:
-    return next((name for name, rules in TYPE_RULES if all(re.search(r, text) for r in rules)), None)
+def chunk_type(c: str | Column) -> Column:
+    """The first type of TYPES whose every mark is in a text; null if none fits, and for null."""
+    out = F.lit(None).cast("string")
+    for name, rules in reversed(TYPES):
+        hit = F.lit(True)
+        for r in rules:
+            hit = hit & F.rlike(col(c), F.lit("(?u)" + r))
+        out = F.when(hit, name).otherwise(out)
+    return out
 
 
 def labelled(text: str, labels: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, int, int]]:
@@ -220,29 +363,68 @@ def progression_gaps(levels: list[int]) -> list[int]:
     return [n for n in range(1, 21) if levels.count(n) != 1]
 
 
-#: Penalties and grades of the ingestion report.
-GRADES = ((90, "excellent"), (70, "good"), (50, "fair"), (25, "poor"))
-
-
-def report_score(pages: int, with_text: int, chunks: int, needing_ocr: int, ocr_available: bool, ocr_errors: int, embed_errors: int, skipped: int) -> tuple[int, str]:
-    """(score, grade) of an ingestion: 100 less penalties; no pages or no chunks fail with 0."""
-    if not pages or not chunks:
-        return 0, "failed"
-    coverage = with_text / pages
-    score = 100 - (30 if coverage < 0.5 else 10 if coverage < 0.9 else 0)
-    score -= 20 if needing_ocr and not ocr_available else 0
-    score -= 10 if ocr_errors else 0
-    score -= min(20, 5 * embed_errors) + (5 if skipped else 0)
-    score = max(0, score)
-    return score, next((g for least, g in GRADES if score >= least), "failed")
+def citation_issues(text: str | Column, fields: str | Column, citations: str | Column) -> Column:
+    """Sorted array of 'rule:field' that a candidate's citations break; empty for a sound one.
+
+    ``fields``: map of field to value; ``citations``: array of (field, start, stop, quote), spans in code points. Each field
+    is cited (uncited), each citation is of a field (unknown), its quote is the slice of its span (quote) and, where it is,
+    holds the field's value (unsupported).
+    """
+    t, known, cited = col(text), col(fields), col(citations)
+    names, cited_names = F.map_keys(known), F.transform(cited, lambda c: c["field"])
+
+    def one(c: Column) -> Column:
+        exact = F.substring(t, c["start"] + 1, c["stop"] - c["start"]) == c["quote"]
+        rule = (
+            F.when(~F.array_contains(names, c["field"]), "unknown:")
+            .when(~F.coalesce(exact, F.lit(False)), "quote:")
+            .when(~F.coalesce(F.contains(F.lower(c["quote"]), F.lower(F.element_at(known, c["field"]))), F.lit(False)), "unsupported:")
+        )
+        return F.concat(rule, c["field"])
+
+    missing = F.transform(F.array_except(names, cited_names), lambda n: F.concat(F.lit("uncited:"), n))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.transform(cited, one), missing))))
+
+
+#: Grades of the ingestion report.
+GRADES = ((90, "excellent"), (70, "good"), (50, "acceptable"), (25, "poor"))
+
+
+def report(pages: Column, with_text: Column, chunks: Column, **faults: Column) -> tuple[Column, Column]:
+    """(score, grade) of an ingestion: 100 less its penalties; without pages or chunks it failed with 0.
+
+    ``faults``, each optional: no_ocr (pages need recognition and there is none), ocr_errors, embed_errors, skipped (counts).
+    """
+    none = F.lit(0)
+    n = {k: faults.get(k, none).cast("long") for k in ("no_ocr", "ocr_errors", "embed_errors", "skipped")}
+    thin = F.try_divide(with_text, pages)
+    penalties = (
+        F.when(thin < 0.5, 30).when(thin < 0.9, 10).otherwise(0),
+        F.when(n["no_ocr"] > 0, 20).otherwise(0),
+        F.when(n["ocr_errors"] > 0, 10).otherwise(0),
+        F.least(F.lit(20), 5 * n["embed_errors"]),
+        F.when(n["skipped"] > 0, 5).otherwise(0),
+    )
+    score = F.lit(100)
+    for p in penalties:
+        score = score - p
+    failed = (pages == 0) | (chunks == 0)
+    score = F.when(failed, 0).otherwise(F.greatest(F.lit(0), score))
+    grade = F.when(failed, "failed")
+    for least, name in GRADES:
+        grade = grade.when(score >= least, name)
+    return score.cast("int"), grade.otherwise("failed")
 
 
 def rows(df: DataFrame, f: Callable[..., list[tuple]], inputs: list[str], ddl: str) -> DataFrame:
-    """The other columns and, for each row, the rows that ``f`` makes of its ``inputs`` (1 to N, in Arrow batches)."""
+    """The other columns and, for each row, the rows that ``f`` makes of its ``inputs`` (1 to N, in Arrow batches).
+
+    An input column called like a made one gives way to it.
+    """
     from pyspark.sql import types as T
 
-    keep = [c for c in df.columns if c not in inputs]
     made = T.StructType.fromDDL(ddl)
+    keep = [c for c in df.columns if c not in inputs and c not in made.names]
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
     types = [kinds[x.dataType.simpleString()] for x in made.fields]
     names = [x.name for x in made.fields]
@@ -261,14 +443,3 @@ def rows(df: DataFrame, f: Callable[..., list[tuple]], inputs: list[str], ddl: s
 
     schema = T.StructType([*df.select(*keep).schema.fields, *made.fields])
     return df.select(*keep, *inputs).mapInArrow(run, schema)
-
-
-def report_column(pages, with_text, chunks, embed_missing):
-    """``report_score`` as Columns for a corpus whose only faults are coverage and missing vectors."""
-    coverage = with_text / pages
-    score = 100 - F.when(coverage < 0.5, 30).when(coverage < 0.9, 10).otherwise(0) - F.when(embed_missing > 0, 5).otherwise(0)
-    score = F.when((pages == 0) | (chunks == 0), 0).otherwise(score)
-    grade = F.when(score == 0, "failed")
-    for least, name in GRADES:
-        grade = grade.when(score >= least, name)
-    return score, grade.otherwise("failed")

@@ -10,6 +10,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, also where ``f`` uses it inside of other lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def normalize_name(c: str | Column) -> Column:
     """Trimmed, lower-cased, runs of separators as one hyphen, none at the ends. Callers compose NFC where input may be decomposed."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(col(c))), r"[-_\s.,/:;!?()]+", "-"), r"^-+|-+$", "")

@@ -84,3 +84,40 @@ def check_transitions(history: DataFrame, key: str, order: list[str], state: str
     before = F.lag(state).over(Window.partitionBy(key).orderBy(*order))
     ok = reduce(lambda a, b: a | b, [(F.col("before") == k) & F.col(state).isin(*v) for k, v in allowed.items() if v], F.lit(False))
     return history.withColumn("before", before).where(F.col("before").isNotNull() & ~ok)
+
+
+def export_problems(records: DataFrame, old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(entry_id, problem) of change ``records`` (entry_id, kind, previous, current) against the catalogs ``old`` and ``new`` (key, value).
+
+    lost: a change without a record; invented: a record without a change; kind, hash: a record that says otherwise than the catalogs.
+    """
+    a, b = old.select(F.col(key).alias("entry_id"), F.col(value).alias("was")), new.select(F.col(key).alias("entry_id"), F.col(value).alias("now"))
+    both = a.join(b, "entry_id", "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("updated")
+    met = both.withColumn("really", kind).join(records, "entry_id", "full_outer")
+    problem = (
+        F.when(F.col("kind").isNull(), "lost")
+        .when(F.col("really").isNull(), "invented")
+        .when(F.col("kind") != F.col("really"), "kind")
+        .when(~(F.col("previous").eqNullSafe(F.col("was")) & F.col("current").eqNullSafe(F.col("now"))), "hash")
+    )
+    return met.select("entry_id", problem.alias("problem")).where("problem is not null")
+
+
+def has_projection(revisions: DataFrame, projections: dict[str, DataFrame], key: str, kind: str) -> DataFrame:
+    """``revisions`` (key, kind) with ``projected``: whether the projection of its kind has its key. Kinds without a projection have none."""
+    tagged = [d.select(key, F.lit(k).alias(kind), F.lit(True).alias("_has")).distinct() for k, d in projections.items()]
+    return revisions.join(reduce(DataFrame.unionByName, tagged), [key, kind], "left").withColumn("projected", F.coalesce("_has", F.lit(False))).drop("_has")
+
+
+def revision_guard(before: str, after: str, published_at: str, same: Column) -> Column:
+    """'immutable' for an update of a revision that may not be; '' for the publication of a draft that changes nothing else (``same``)."""
+    ok = (F.col(before) == "draft") & (F.col(after) == "published") & F.col(published_at).isNotNull() & same
+    return F.when(F.coalesce(ok, F.lit(False)), "").otherwise("immutable")
+
+
+def version_guard(before: str, after: str, same_boundary: Column, has_revision: str) -> Column:
+    """What an update of a version breaks: 'backwards' (lifecycle), 'boundary' (source and corpus, once it has a revision), or ''."""
+    a, b = F.col(before), F.col(after)
+    back = ((a == "published") & (b == "draft")) | ((a == "retired") & (b != "retired"))
+    return F.when(back, "backwards").when(~same_boundary & F.col(has_revision), "boundary").otherwise("")

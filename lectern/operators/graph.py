@@ -1,4 +1,4 @@
-"""Closures over edges, by rounds that stop at a fixed point."""
+"""Closures over edges, by rounds that go on to the fixed point. New rows alone are written in a round."""
 
 from __future__ import annotations
 
@@ -8,42 +8,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth): every ancestor over (child, parent) edges at its smallest depth; cycles are walked once round.
 
-    Semi-naive rounds: each joins only the last round's new pairs with the
-    edges. Reads are eager per round, and each round's pairs are checkpointed.
-    Rounds go on until one adds nothing; raises if that takes more than
-    ``max_depth`` (never returns a partial closure).
+    Semi-naive rounds: each joins only the last round's new pairs with the edges, until one adds nothing. Null ends and
+    repeated edges are ignored. The result is as large as the relation: on a deep graph ask for less (``cycles``, ``reach``).
     """
-    edges = edges.select("child", "parent").where("child is not null and parent is not null").distinct().persist()
-    known = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    fresh = known
+    edges = edges.select("child", "parent").where("child is not null and parent is not null").distinct().checkpoint()
+    fresh = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    known = fresh
     for depth in count(2):
         step = fresh.join(edges, fresh["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
         fresh = step.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if fresh.isEmpty():
+            return known
+        known = known.unionByName(fresh)
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The (child, parent) edges that may lie on a cycle: edges of a node without parents, or without children, go until none is left."""
+    edges = edges.select("child", "parent").where("child is not null and parent is not null").distinct().checkpoint()
+    n = edges.count()
+    while n:
+        inner = edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+        edges = inner.join(inner.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent").checkpoint()
+        left = edges.count()
+        if left == n:
             break
-        if max_depth is not None and depth > max_depth:
-            raise RuntimeError(f"closure: not complete at depth {max_depth}")
-        known = known.unionByName(fresh).checkpoint()
-    return known
+        n = left
+    return edges
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that are their own ancestors."""
-    return closure(edges).where("node = ancestor").select("node").distinct()
+    """Nodes that are their own ancestors. The closure is of the trimmed graph alone."""
+    return closure(trimmed(edges)).where("node = ancestor").select("node").distinct()
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """Nodes reachable from ``seeds`` (node) over (a, b) edges, seeds included; raises if that takes more than ``max_rounds`` steps."""
-    edges = edges.select("a", "b").distinct().persist()
-    known = fresh = seeds.select("node").distinct()
-    for step in count(1):
+def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes reachable from ``seeds`` (node) over (a, b) edges, seeds included, in rounds until one adds nothing."""
+    edges = edges.select("a", "b").where("a is not null and b is not null").distinct().checkpoint()
+    known = fresh = seeds.select("node").distinct().checkpoint()
+    while True:
         fresh = fresh.join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(known, "node", "left_anti").checkpoint()
         if fresh.isEmpty():
-            break
-        if max_rounds is not None and step > max_rounds:
-            raise RuntimeError(f"reach: not complete after {max_rounds} rounds")
-        known = known.unionByName(fresh).checkpoint()
-    return known
+            return known
+        known = known.unionByName(fresh)

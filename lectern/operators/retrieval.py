@@ -8,6 +8,7 @@ only the columns that the score needs.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -125,11 +126,21 @@ def vector_search(chunks: DataFrame, vectors: DataFrame, queries: list[list[floa
     return ranked(reduce(DataFrame.unionByName, tops).groupBy("chunk_id").agg(F.max("score").alias("score")))
 
 
+def names_within(names: DataFrame, text: str) -> list[str]:
+    """The normalised names of ``names`` (name) that stand in a query as whole words, sorted.
+
+    They are runs of the query's words, so a query of m words has m * (m + 1) / 2 at most.
+    """
+    words = F.split(normalize_name(F.lit(text)), "-")
+    n = F.size(words)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), "-"))))
+    named = names.select(normalize_name("name").alias("name")).where((F.col("name") != "") & F.array_contains(runs, F.col("name")))
+    return sorted(r.name for r in named.distinct().collect())
+
+
 def entity_search(chunks: DataFrame, names: DataFrame, text: str, limit: int = 200) -> DataFrame:
     """Chunks whose heading carries, as whole words, a name that the query holds: (chunk_id, score, rank), field evidence 1, block evidence 0.9."""
-    q = F.concat(F.lit("-"), normalize_name(F.lit(text)), F.lit("-"))
-    named = names.select(normalize_name("name").alias("name")).where(F.col("name") != "").distinct().where(F.contains(q, F.concat(F.lit("-"), F.col("name"), F.lit("-"))))
-    found = [r.name for r in named.limit(MAX_STRATEGY).collect()]  # names within one query: no more than its words allow
+    found = names_within(names, text)
     if not found:
         return ranked(chunks.select("chunk_id", F.lit(1.0).alias("score")).limit(0))
     heading = F.concat(F.lit("-"), normalize_name("heading"), F.lit("-"))
@@ -180,23 +191,84 @@ def expand_query(text: str, glossary: list[tuple[str, list[str]]], bilingual: li
     return out
 
 
-def combined(expansions: list[tuple[str, float]]) -> str:
-    """Alternatives joined by OR."""
-    return " OR ".join(t for t, _ in expansions)
+def combined(expansions: list[tuple[str, float]], named: list[str] = ()) -> str:
+    """Alternatives joined by OR, then quoted entity names."""
+    return " OR ".join([*(t for t, _ in expansions), *(f'"{n.replace(chr(34), "")}"' for n in named)])
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, names: DataFrame, text: str, query_vectors: list[list[float]], limit: int = 20, strategy_limit: int = 50) -> DataFrame:
-    """The final page: candidates of the three strategies, fused (entity, keyword, vector), reranked, cut to ``limit`` (1..100).
+@dataclass(frozen=True)
+class Rewrite:
+    """A query's variants; without a model, the query alone."""
+
+    original: str
+    canonical: str
+    bilingual: tuple[str, ...] = ()
+    expanded: tuple[str, ...] = ()
 
-    ``chunks`` must already be narrowed to what the user may see: (chunk_id,
-    text, heading, category).
+    @property
+    def variants(self) -> tuple[str, ...]:
+        return (self.original, self.canonical, *self.bilingual, *self.expanded)
+
+
+def identity(text: str) -> Rewrite:
+    return Rewrite(text.strip(), text.strip())
+
+
+def name_key(name: str) -> str:
+    """``normalize_name`` of one name, on the driver."""
+    return re.sub(r"[-_\s.,/:;!?()]+", "-", name.strip().lower()).strip("-")
+
+
+def enriched(rewrite: Rewrite, named: list[str]) -> Rewrite:
+    """With the entity names that no variant has yet, by normalised name."""
+    known = {name_key(x) for x in rewrite.variants}
+    fresh = {name_key(n): n for n in reversed(named) if name_key(n) and name_key(n) not in known}
+    return Rewrite(rewrite.original, rewrite.canonical, rewrite.bilingual, (*rewrite.expanded, *reversed(fresh.values())))
+
+
+def vector_texts(rewrite: Rewrite) -> list[str]:
+    """The distinct variants to embed, in order, without regard to case."""
+    out: dict[str, str] = {}
+    for x in rewrite.variants:
+        if x.strip():
+            out.setdefault(x.strip().lower(), x.strip())
+    return list(out.values())
+
+
+def hybrid_search(
+    chunks: DataFrame,
+    vectors: DataFrame,
+    names: DataFrame,
+    text: str,
+    embed: Callable[[list[str]], list[list[float]]],
+    limit: int = 20,
+    strategy_limit: int = 50,
+    glossary: list[tuple[str, list[str]]] = (),
+    bilingual: list[tuple[str, list[str]]] = (),
+    rewrite: Callable[[str], Rewrite] | None = identity,
+    keyword: Callable | None = None,
+    vector: Callable | None = None,
+) -> DataFrame:
+    """The final page, with total (merged candidates) and has_more on each row.
+
+    Entities named in the query are resolved first. The keyword query is the query, its expansions and the quoted entity
+    names, joined by OR; the vector queries are the variants that ``rewrite`` gives (None: the query alone), with entity
+    names added, as ``embed`` embeds them. The three lists are fused (entity, keyword, vector), cut to three times ``limit``
+    (1..100), reranked and cut. ``chunks`` must already be narrowed to what the user may see: (chunk_id, text, heading,
+    category). A blank query finds nothing. ``rewrite``, ``embed``, ``keyword`` and ``vector`` can be replaced.
     """
     limit = max(1, min(100, limit))
+    if not text.strip():
+        empty = chunks.limit(0).select("chunk_id", F.lit(0.0).alias("score"), F.lit("").alias("strategy"), "heading", "category")
+        return empty.select("*", F.lit(0).cast("long").alias("total"), F.lit(False).alias("has_more"))
+    named = [n.replace("-", " ") for n in names_within(names, text)]
+    wanted = [text] if rewrite is None else vector_texts(enriched(rewrite(text), named))
     lists = [
         ("entity", entity_search(chunks, names, text)),
-        ("keyword", keyword_search(chunks, text, strategy_limit)),
-        ("vector", vector_search(chunks, vectors, query_vectors, strategy_limit)),
+        ("keyword", (keyword or keyword_search)(chunks, combined(expand_query(text, glossary, bilingual), named), strategy_limit)),
+        ("vector", (vector or vector_search)(chunks, vectors, embed(wanted), strategy_limit)),
     ]
-    merged = fuse(lists, limit=min(MAX_STRATEGY, 3 * limit))
-    shaped = F.broadcast(merged).join(chunks.select("chunk_id", "heading", "category"), "chunk_id")  # at most MAX_STRATEGY rows
-    return rerank(shaped, text).orderBy(F.desc("score"), "chunk_id").limit(limit)
+    merged = fuse(lists, limit=3 * limit)
+    shaped = F.broadcast(merged).join(chunks.select("chunk_id", "heading", "category"), "chunk_id")  # 300 rows at most
+    counted = rerank(shaped, text).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    return counted.withColumn("has_more", F.col("total") > limit).orderBy(F.desc("score"), "chunk_id").limit(limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.operators import changes as cdc
@@ -120,7 +121,7 @@ def cdc_08(spark, sf):
 
 
 FOLDED = """WITH last AS (SELECT k, arg_max(CASE WHEN kind = 'error' THEN '' ELSE kind END, g) AS v FROM (SELECT user_id % 200 AS k, event_id AS g, event_type AS kind, event_id % 4 AS contract FROM events) WHERE contract = 1 GROUP BY 1)
-       SELECT k, v FROM (SELECT coalesce(l.k, b.k) AS k, CASE WHEN l.k IS NULL THEN b.v ELSE nullif(l.v, '') END AS v FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey < 100) b FULL JOIN last l ON b.k = l.k) WHERE v IS NOT NULL"""
+       SELECT k, v FROM (SELECT coalesce(l.k, b.k) AS k, CASE WHEN l.k IS NULL THEN b.v ELSE nullif(l.v, '') END AS v FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer) b FULL JOIN last l ON b.k = l.k) WHERE v IS NOT NULL"""
 
 
 def folded(spark, sf, base):
@@ -132,16 +133,10 @@ def folded(spark, sf, base):
 
 @query("cdc_09_fold_deltas", FOLDED)
 def cdc_09(spark, sf):
-    return folded(spark, sf, table(spark, sf, "customer").where("c_custkey < 100"))
-
-
-@query("cdc_09_fold_deltas_whole", FOLDED.replace(" WHERE c_custkey < 100", ""))
-def cdc_09_whole(spark, sf):
-    """Over all customers; ``cdc_09_fold_deltas`` keeps the cut of its SQL."""
     return folded(spark, sf, table(spark, sf, "customer"))
 
 
-MISSING = "SELECT doc_id FROM visible v WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = v.doc_id) ORDER BY doc_id LIMIT 100"
+MISSING = "SELECT doc_id FROM visible v WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = v.doc_id)"
 
 
 def without_vector(spark, sf):
@@ -153,14 +148,8 @@ def without_vector(spark, sf):
 
 @query("cdc_10_backfill", MISSING, ("visible",))
 def cdc_10(spark, sf):
-    """The first batch of rows without a vector."""
-    return without_vector(spark, sf).orderBy("doc_id").limit(100)
-
-
-@query("cdc_10_backfill_whole", MISSING.replace(" LIMIT 100", ""), ("visible",))
-def cdc_10_whole(spark, sf):
     """All batches: every row without a vector."""
-    return without_vector(spark, sf).orderBy("doc_id")
+    return without_vector(spark, sf)
 
 
 @query("cdc_11_resume", RUNS + "SELECT n.doc_id, CASE WHEN o.doc_id IS NULL THEN 'stage' WHEN o.h = n.h THEN 'skip' ELSE 'mismatch' END AS action FROM new n LEFT JOIN old o ON o.doc_id = n.doc_id")
@@ -196,14 +185,17 @@ def snk_06(spark, sf):
 # graphs: nations under regions, and parts that follow each other in an order
 
 
-def parent_edges(spark, sf, whole=False):
-    """A forest: a part's parent is half its key; the five smallest keys are a chain that ends in a loop. Keys below 2,000, or the ``whole`` table."""
-    p = table(spark, sf, "part").where(F.lit(True) if whole else F.col("p_partkey") < 2000).select(F.col("p_partkey").alias("child"))
+def parent_edges(spark, sf):
+    """A forest over all parts: a part's parent is half its key; the smallest keys are a chain that ends in a loop."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("child"))
     return p.select("child", F.when(F.col("child") == 1, F.lit(4).cast("long")).otherwise(F.floor(F.col("child") / 2)).alias("parent")).where("child > 0")
 
 
-WALK = """WITH RECURSIVE edges AS (SELECT p_partkey AS child, CASE WHEN p_partkey = 1 THEN 4 ELSE p_partkey // 2 END AS parent FROM part WHERE p_partkey > 0 AND p_partkey < 2000),
- walk(node, ancestor, depth) AS (SELECT child, parent, 1 FROM edges UNION SELECT w.node, e.parent, w.depth + 1 FROM walk w JOIN edges e ON w.ancestor = e.child WHERE w.depth < 32) """
+EDGES = "edges AS (SELECT p_partkey AS child, CASE WHEN p_partkey = 1 THEN 4 ELSE p_partkey // 2 END AS parent FROM part WHERE p_partkey > 0)"
+# a walk ends where it would come to a node again
+WALK = f"""WITH RECURSIVE {EDGES},
+ walk(node, ancestor, depth, path) AS (SELECT child, parent, 1, [parent] FROM edges UNION ALL
+   SELECT w.node, e.parent, w.depth + 1, list_append(w.path, e.parent) FROM walk w JOIN edges e ON w.ancestor = e.child WHERE NOT list_contains(w.path, e.parent)) """
 
 
 @query("h_01_cycles", WALK + "SELECT DISTINCT node FROM walk WHERE node = ancestor")
@@ -224,65 +216,21 @@ def u_03(spark, sf):
     return graph.closure(parent_edges(spark, sf)).groupBy("ancestor").agg(F.countDistinct("node").alias("below"))
 
 
-# over the whole table (no SQL: its walk needs a bound on depth, as it walks the loop for ever); the three above keep the cut of theirs
-
-
-@query("h_01_cycles_whole")
-def h_01_whole(spark, sf):
-    checkpoint_dir(spark)
-    return graph.cycles(parent_edges(spark, sf, whole=True))
-
-
-@query("h_02_ancestors_whole")
-def h_02_whole(spark, sf):
-    checkpoint_dir(spark)
-    return graph.closure(parent_edges(spark, sf, whole=True))
-
-
-@query("u_03_recursive_union_whole")
-def u_03_whole(spark, sf):
-    return h_02_whole(spark, sf).groupBy("ancestor").agg(F.countDistinct("node").alias("below"))
-
-
-RESOLUTION = "SELECT v.version_id, w.version_id AS target, w.version_id IS NULL AS missing FROM versions v LEFT JOIN versions w ON w.entry_id = v.entry_id // 2 AND w.source_no = v.source_no AND w.language = v.language WHERE v.entry_id < 300"
-
-
-def resolution(spark, sf, which):
+@query("h_03_resolution", "SELECT v.version_id, w.version_id AS target, w.version_id IS NULL AS missing FROM versions v LEFT JOIN versions w ON w.entry_id = v.entry_id // 2 AND w.source_no = v.source_no AND w.language = v.language", ("versions",))
+def h_03(spark, sf):
+    """Relations of all versions to their target in the same source and language, or missing."""
     v = versions(spark, sf).select("entry_id", "source_no", "language", "version_id")
     w = v.withColumnRenamed("version_id", "target")
-    a = v.where(which).withColumn("entry_id", F.floor(F.col("entry_id") / 2))
+    a = v.withColumn("entry_id", F.floor(F.col("entry_id") / 2))
     return a.join(w, ["entry_id", "source_no", "language"], "left").select("version_id", "target", F.col("target").isNull().alias("missing"))
 
 
-@query("h_03_resolution", RESOLUTION, ("versions",))
-def h_03(spark, sf):
-    return resolution(spark, sf, "entry_id < 300")
-
-
-@query("h_03_resolution_whole", RESOLUTION.replace(" WHERE v.entry_id < 300", ""), ("versions",))
-def h_03_whole(spark, sf):
-    return resolution(spark, sf, "true")
-
-
-AFFECTED = """WITH RECURSIVE edges AS (SELECT p_partkey AS child, CASE WHEN p_partkey = 1 THEN 4 ELSE p_partkey // 2 END AS parent FROM part WHERE p_partkey > 0 AND p_partkey < 2000),
-       hit(node) AS (SELECT 37 UNION SELECT e.child FROM hit h JOIN edges e ON e.parent = h.node) SELECT CAST(node AS BIGINT) AS node FROM hit"""
-
-
-def affected(spark, sf, whole):
-    checkpoint_dir(spark)
-    e = parent_edges(spark, sf, whole).select(F.col("parent").alias("a"), F.col("child").alias("b"))
-    return graph.reach(spark.range(37, 38).select(F.col("id").alias("node")), e)
-
-
-@query("h_04_affected", AFFECTED)
+@query("h_04_affected", f"WITH RECURSIVE {EDGES}, hit(node) AS (SELECT 37 UNION SELECT e.child FROM hit h JOIN edges e ON e.parent = h.node) SELECT CAST(node AS BIGINT) AS node FROM hit")
 def h_04(spark, sf):
     """Everything that a change of one entry reaches: its dependents, to a fixed point."""
-    return affected(spark, sf, False)
-
-
-@query("h_04_affected_whole", AFFECTED.replace(" AND p_partkey < 2000", ""))
-def h_04_whole(spark, sf):
-    return affected(spark, sf, True)
+    checkpoint_dir(spark)
+    e = parent_edges(spark, sf).select(F.col("parent").alias("a"), F.col("child").alias("b"))
+    return graph.reach(spark.range(37, 38).select(F.col("id").alias("node")), e)
 
 
 @query("h_05_resolved_only", "SELECT e.entry_id, e.entry_id // 2 AS target FROM entries e WHERE e.entry_id // 2 IN (SELECT entry_id FROM entries WHERE edition = '5e')", ("entries",))
@@ -307,11 +255,22 @@ def v_01(spark, sf):
     return sources(spark, sf).where(~ok).select("source_id")
 
 
-@query("v_02_exact_quote", "SELECT doc_id, substr(text, 11, 20) AS quote FROM documents WHERE length(text) >= 30 AND substr(text, 11, 20) = substr(text || 'x', 11, 20)")
+@query(
+    "v_02_exact_quote",
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'shifted' WHEN doc_id % 5 = 2 AND upper(substr(text, 11, 20)) <> substr(text, 11, 20) THEN 'altered' ELSE 'outside' END AS fault
+       FROM documents WHERE (doc_id % 5 = 1 AND length(text) >= 31 AND substr(text, 11, 20) <> substr(text, 12, 20)) OR (doc_id % 5 = 2 AND length(text) >= 31 AND upper(substr(text, 11, 20)) <> substr(text, 11, 20))
+         OR (doc_id % 5 = 3 AND length(text) >= 31)""",
+)
 def v_02(spark, sf):
-    """Citations [10, 30) in code points whose quote equals the owner's slice."""
-    d = table(spark, sf, "documents").where(F.length("text") >= 30).select("doc_id", "text", F.substring(F.concat("text", F.lit("x")), 11, 20).alias("quote"))
-    return d.where(F.substring("text", 11, 20) == F.col("quote")).select("doc_id", "quote")
+    """Citations (span in code points, quote) that break the exact-quote rule. Of every five documents one cites a shifted span, one an altered quote, one a span past its end."""
+    k, n = F.col("doc_id") % 5, F.length("text")
+    d = table(spark, sf, "documents").where(n >= 31)
+    start = F.when(k == 1, 11).when(k == 3, n).otherwise(10)
+    quote = F.substring("text", 11, 20)
+    c = d.select("doc_id", "text", start.alias("start"), (start + 20).alias("stop"), F.when(k == 2, F.upper(quote)).otherwise(quote).alias("quote"))
+    cited = F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start"))
+    fault = F.when(F.col("stop") > F.length("text"), "outside").when(cited != F.col("quote"), F.when(F.lower(cited) == F.lower("quote"), "altered").otherwise("shifted"))
+    return c.select("doc_id", fault.alias("fault")).where("fault is not null")
 
 
 @query("v_03_one_active", f"SELECT file, count(*) AS n FROM ({GENERATIONS}) WHERE status = 'active' GROUP BY 1 HAVING count(*) > 1")
@@ -365,37 +324,60 @@ def x_16(spark, sf):
     return p.select("p_partkey", (card(F.col("brand")) == card(recorded)).alias("intact"))
 
 
-@query("v_08_sections_cover", "SELECT doc_id, sum(length(passage)) + count(*) - 1 AS covered, count(*) AS sections FROM passages GROUP BY 1", ("passages",))
+@query(
+    "v_08_sections_cover",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'gap' WHEN 2 THEN 'overlap' ELSE 'short' END AS fault FROM (SELECT doc_id, text, len(string_split(text, chr(10))) AS n, length(text) AS size FROM documents)
+       WHERE (doc_id % 4 IN (1, 2) AND n >= 3) OR (doc_id % 4 = 3 AND n >= 2)""",
+)
 def v_08(spark, sf):
-    """Sections (lines) of a text must be contiguous and cover it: their lengths and separators add up, so nothing is returned that differs."""
+    """Revisions whose sections don't cover their text without gaps or overlaps. Sections are lines; some documents lack their second or last one, or have it begin too early."""
     from lectern.sources.views import passages
 
-    p = passages(spark, sf).groupBy("doc_id").agg((F.sum(F.length("passage")) + count() - 1).alias("covered"), count().alias("sections"))
-    d = docs(spark, sf).select("doc_id", F.length("text").alias("n"))
-    return p.join(d, "doc_id").where(F.col("covered") == F.col("n")).select("doc_id", "covered", "sections")
+    p = passages(spark, sf).select("doc_id", "idx", F.length("passage").alias("n"))
+    w = Window.partitionBy("doc_id").orderBy("idx")
+    end = F.sum(F.col("n") + 1).over(w)
+    s = p.select("doc_id", "idx", (end - F.col("n") - 1).alias("start"), end.alias("stop"), F.max("idx").over(Window.partitionBy("doc_id")).alias("last"))
+    k, inner = F.col("doc_id") % 4, F.col("last") >= 2
+    s = s.where(~((k == 1) & inner & (F.col("idx") == 1)) & ~((k == 3) & (F.col("last") >= 1) & (F.col("idx") == F.col("last"))))
+    s = s.withColumn("start", F.when((k == 2) & inner & (F.col("idx") == 1), F.col("start") - 1).otherwise(F.col("start")))
+    before = F.lag("stop").over(w)
+    step = s.select("doc_id", "stop", F.when(before.isNull() & (F.col("start") > 0), 1).when(F.col("start") > before, 1).alias("gap"), F.when(F.col("start") < before, 1).alias("overlap"))
+    g = step.groupBy("doc_id").agg(F.max("stop").alias("stop"), F.count("gap").alias("gaps"), F.count("overlap").alias("overlaps"))
+    d = docs(spark, sf).select("doc_id", F.length("text").alias("size"))
+    fault = F.when(F.col("gaps") > 0, "gap").when(F.col("overlaps") > 0, "overlap").when(F.col("stop") - 1 < F.col("size"), "short")
+    return g.join(d, "doc_id").select("doc_id", fault.alias("fault")).where("fault is not null")
 
 
-@query("v_10_file_hashes", "SELECT doc_id FROM documents WHERE doc_id % 13 = 0 OR text IS NULL")
+@query(
+    "v_10_file_hashes",
+    """SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 13 = 1 AND strlen(substr(text, 1, 1)) = 1 THEN 'hash' ELSE 'size' END AS fault FROM documents WHERE doc_id % 13 IN (0, 1, 2) AND text IS NOT NULL""",
+)
 def v_10(spark, sf):
-    """Documents whose recorded hash (wrong for every thirteenth) is not that of their bytes."""
-    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("found"))
-    recorded = d.select("doc_id", F.when(F.col("doc_id") % 13 == 0, F.lit("0")).otherwise(F.col("found")).alias("recorded"))
-    return d.join(recorded, "doc_id").where(~F.col("found").eqNullSafe(F.col("recorded")) | F.col("found").isNull()).select("doc_id")
+    """Files against a manifest of an earlier state: some have gone from it, some had other bytes of the same length, some another length."""
+    k, d = F.col("doc_id") % 13, table(spark, sf, "documents").where("text is not null")
+    earlier = F.when(k == 1, F.concat(F.lit("\x01"), F.expr("substring(text, 2)"))).when(k == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    manifest = d.where(k != 0).select("doc_id", F.sha2(earlier, 256).alias("hash"), F.octet_length(earlier).alias("size"))
+    found = d.select("doc_id", F.sha2("text", 256).alias("found"), F.octet_length("text").alias("bytes"))
+    fault = F.when(F.col("hash").isNull(), "missing").when((F.col("hash") != F.col("found")) & (F.col("size") != F.col("bytes")), "size").when(F.col("hash") != F.col("found"), "hash")
+    return found.join(manifest, "doc_id", "left").select("doc_id", fault.alias("fault")).where("fault is not null")
 
 
 @query(
     "cdc_12_export_recheck",
     RUNS
-    + """SELECT kind, count(*) AS n, true AS matches FROM (SELECT CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'updated' END AS kind
-      FROM old o FULL JOIN new n ON o.doc_id = n.doc_id WHERE o.h IS DISTINCT FROM n.h) GROUP BY 1""",
+    + """SELECT problem, count(*) AS n FROM (
+       SELECT CASE WHEN k % 11 = 0 THEN 'lost' WHEN k % 11 = 1 THEN 'hash' ELSE 'kind' END AS problem FROM (SELECT coalesce(o.doc_id, n.doc_id) AS k, o.doc_id IS NULL AS added FROM old o FULL JOIN new n ON o.doc_id = n.doc_id WHERE o.h IS DISTINCT FROM n.h) WHERE k % 11 < 2 OR (k % 11 = 2 AND added)
+       UNION ALL SELECT 'invented' FROM old o JOIN new n ON o.doc_id = n.doc_id WHERE o.h = n.h AND o.doc_id % 11 = 3) GROUP BY 1""",
 )
 def cdc_12(spark, sf):
-    """Stored change counts of an export against those recomputed from its two catalogs."""
+    """An export's change records checked against its two catalogs. The records have faults: some are lost, some invented, some with a wrong hash or kind."""
     old, new = two_runs(spark, sf)
-    stored = cdc_03(spark, sf).groupBy("kind").agg(count().alias("n"))
-    names = F.when(F.col("change") == "add", "added").when(F.col("change") == "remove", "removed").otherwise("updated")
-    again = cdc.keyed_diff(old, new, ["doc_id"], ["h"]).where("change <> 'same'").groupBy(names.alias("kind")).agg(count().alias("again"))
-    return stored.join(again, "kind", "full_outer").select("kind", "n", F.col("n").eqNullSafe(F.col("again")).alias("matches"))
+    k = F.col("entry_id") % 11
+    stored = cdc_03(spark, sf).where(k != 0).withColumn("kind", F.when((k == 2) & (F.col("kind") == "added"), "updated").otherwise(F.col("kind")))
+    stored = stored.withColumn("previous", F.when(k == 1, F.lit("wrong")).otherwise(F.col("previous")))
+    same = old.join(new.withColumnRenamed("h", "h2"), "doc_id").where("h = h2 and doc_id % 11 = 3")
+    stored = stored.unionByName(same.select(F.col("doc_id").alias("entry_id"), F.lit("updated").alias("kind"), F.col("h").alias("previous"), F.col("h2").alias("current")))
+    return cdc.export_problems(stored, old, new, "doc_id", "h").groupBy("problem").agg(count().alias("n"))
 
 
 @query(

@@ -141,8 +141,10 @@ def r_12(spark, sf):
 
 
 HYBRID_QUESTION = "the that of"
+GLOSSARY = [("that", ["and was", "The That Of"]), ("armor", ["ac"])]
 HYBRID_KEYWORD = f"""t AS (SELECT chunk_id, {TOKENS} AS w FROM c),
- kw0 AS (SELECT chunk_id, round(len(list_filter(w, lambda x: x IN ('the', 'that', 'of'))) / (1 + ln(1 + len(w))), 9) AS score FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'that') AND list_contains(w, 'of')),
+ kw0 AS (SELECT chunk_id, round(len(list_filter(w, lambda x: x IN ('the', 'that', 'of', 'and', 'was'))) / (1 + ln(1 + len(w))), 9) AS score FROM t
+   WHERE (list_contains(w, 'the') AND list_contains(w, 'that') AND list_contains(w, 'of')) OR (list_contains(w, 'and') AND list_contains(w, 'was')) OR contains(' ' || array_to_string(w, ' ') || ' ', ' that of ')),
  kw AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT * FROM kw0 ORDER BY score DESC, chunk_id LIMIT 50))"""
 HYBRID_ENTITY = f"""ent0 AS (SELECT chunk_id, CASE WHEN contains({NORM.format('heading')}, '-that-of-') THEN 1.0 WHEN contains({NORM.format('text')}, '-that-of-') THEN 0.9 END AS score FROM c),
  ent AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT * FROM ent0 WHERE score IS NOT NULL ORDER BY score DESC, chunk_id LIMIT 200))"""
@@ -152,12 +154,13 @@ HYBRID_ENTITY = f"""ent0 AS (SELECT chunk_id, CASE WHEN contains({NORM.format('h
     "r_13_hybrid_search",
     WITH
     + f"""{CHUNKS}, {HYBRID_ENTITY}, {HYBRID_KEYWORD}, {VECTOR}, {FUSED} SELECT f.chunk_id, f.strategy, c.category, round(f.score * CASE category WHEN 'core_rules' THEN 1.0 WHEN 'official_supplement' THEN 0.9 WHEN 'homebrew' THEN 0.7 ELSE 0.8 END
-      + CASE WHEN strategy = 'entity' THEN 0.05 ELSE 0 END + 0.1 * (CASE WHEN contains(lower(heading), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(heading), 'that') THEN 1 ELSE 0 END) / 2, 9) AS score
-      FROM f JOIN c USING (chunk_id) ORDER BY score DESC, chunk_id LIMIT 20""",
+      + CASE WHEN strategy = 'entity' THEN 0.05 ELSE 0 END + 0.1 * (CASE WHEN contains(lower(heading), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(heading), 'that') THEN 1 ELSE 0 END) / 2, 9) AS score,
+      (SELECT count(*) FROM f) AS total, (SELECT count(*) > 20 FROM f) AS has_more FROM f JOIN c USING (chunk_id) ORDER BY score DESC, chunk_id LIMIT 20""",
     ("visible",),
 )
 def r_13(spark, sf):
-    """The flagship: what may this user see that answers the question best?"""
-    one = spark.range(1).select(F.lit("that of").alias("name"))
-    found = R.hybrid_search(chunks(spark, sf), vectors(spark, sf), one, HYBRID_QUESTION, probes(spark, sf))
-    return found.select("chunk_id", "strategy", "category", "score")
+    """The flagship: what may this user see that answers the question best? The question's expansion and the entity it names go into the keyword query; the vectors of two given ids stand for an embedding model."""
+    known = entries(spark, sf).select(F.col("title").alias("name")).unionByName(spark.range(1).select(F.lit("That of").alias("name")))
+    vs = probes(spark, sf)
+    found = R.hybrid_search(chunks(spark, sf), vectors(spark, sf), known, HYBRID_QUESTION, lambda texts: vs[: len(texts)], glossary=GLOSSARY)
+    return found.select("chunk_id", "strategy", "category", "score", "total", "has_more")

@@ -21,18 +21,68 @@ def t_02(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_quote("text")).alias("quote_md5"))
 
 
-@query("t_03_page_quality")
+SPACE = r"\s\x0B\p{Z}\x{FEFF}"
+QUALITY = rf"""tok AS (SELECT doc_id, text, regexp_replace(text, '[{SPACE}]+', '', 'g') AS flat, list_filter(regexp_split_to_array(text, '[{SPACE}]+'), lambda t: regexp_matches(t, '\p{{L}}')) AS words FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+ cores AS (SELECT *, list_transform(words, lambda t: regexp_replace(t, '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g')) AS c, list_transform(words, lambda t: regexp_replace(t, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS d FROM tok),
+ n AS (SELECT doc_id, text, length(flat) AS visible, len(regexp_extract_all(flat, '\p{{Cyrillic}}')) AS cyr, len(regexp_extract_all(flat, '\p{{Latin}}')) AS lat, len(words) AS w,
+   len(regexp_extract_all(flat, '[\x{{0}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}\x{{7F}}-\x{{9F}}\x{{E000}}-\x{{F8FF}}\x{{FFFD}}]')) AS invalid_glyphs,
+   len(list_filter(c, lambda t: length(t) >= 2 AND regexp_matches(t, '^[\p{{L}}\p{{M}}]+(?:[''’\-][\p{{L}}\p{{M}}]+)?$'))) AS well_shaped, len(list_filter(d, lambda t: regexp_matches(t, '[^\p{{L}}\p{{M}}''’\-]'))) AS intruded,
+   len(list_filter(words, lambda t: regexp_matches(t, '\p{{Cyrillic}}'))) AS cw, len(list_filter(c, lambda t: length(t) >= 2 AND regexp_matches(t, '^[\p{{Cyrillic}}\p{{M}}]+(?:[''’\-][\p{{Cyrillic}}\p{{M}}]+)?$') AND regexp_matches(t, '[аеёиоуыэюяАЕЁИОУЫЭЮЯ]'))) AS rw FROM cores),
+ m AS (SELECT *, cyr + lat AS letters, CASE WHEN visible = 0 THEN 0.0 ELSE (cyr + lat) / visible END AS letter_ratio, well_shaped / greatest(1, ceil(visible / 40)) AS word_evidence, CASE WHEN visible = 0 THEN 0.0 ELSE cyr / visible END AS cyrillic_ratio,
+   CASE WHEN w = 0 THEN 0.0 ELSE intruded / w END AS intruded_ratio, CASE WHEN w = 0 THEN 0.0 ELSE well_shaped / w END AS well_shaped_ratio, CASE WHEN cw = 0 THEN 0.0 ELSE rw / cw END AS russian_ratio FROM n),
+ r AS (SELECT *, visible >= 120 AND w < 8 AND letter_ratio < 0.12 AS garbage, list_filter([CASE WHEN cyrillic_ratio < 0.22 THEN '{pages.REASONS[0]}' END, CASE WHEN letter_ratio < 0.12 THEN '{pages.REASONS[1]}' END, CASE WHEN intruded_ratio >= 0.25 THEN '{pages.REASONS[2]}' END,
+   CASE WHEN well_shaped_ratio < 0.5 THEN '{pages.REASONS[3]}' END, CASE WHEN cw >= 4 AND russian_ratio < 0.45 THEN '{pages.REASONS[4]}' END, CASE WHEN invalid_glyphs > 0 THEN '{pages.REASONS[5]}' END, CASE WHEN visible >= 120 AND w < 8 AND letter_ratio < 0.12 THEN '{pages.REASONS[6]}' END], lambda x: x IS NOT NULL) AS found,
+   (lat >= 30 AND lat >= 0.75 * letters AND well_shaped_ratio >= 0.65 AND intruded_ratio < 0.2) OR (cyr < 5 AND lat >= 15 AND regexp_matches(text, '[{{}}\[\];]|=>|===|::|</?[a-zA-Z]')) AS exempt FROM m),
+ judged AS (SELECT *, visible >= 80 AND NOT exempt AND (garbage OR len(found) >= 3 OR (invalid_glyphs > 0 AND len(found) >= 2)) AS corrupt FROM r)"""
+
+
+@query(
+    "t_03_page_quality",
+    f"WITH {QUALITY} SELECT doc_id, {', '.join(pages.METRICS)}, false AS structured, CASE WHEN corrupt THEN 'corrupt' ELSE 'good' END AS status, CASE WHEN corrupt THEN array_to_string(found, ',') ELSE '' END AS reasons, letters >= greatest(12, ceil(visible * 0.12)) AND well_shaped >= greatest(2, ceil(visible / 500)) AS enough FROM judged",
+)
 def t_03(spark, sf):
-    """Every document judged as a Russian page, so that each of the gate's rules is reached."""
+    """Every document judged as a Russian page, so that each of the gate's rules is reached. No document is structured content; ``t_05`` has that."""
     d = table(spark, sf, "documents").select("doc_id", F.lit("ru").alias("language"), "text")
     return pages.judged(d).drop("language")
 
 
-@query("t_06_ocr_merge", "SELECT p.page_id, CASE WHEN p.page_id % 3 = 0 OR length(d.text) > length(p.html) THEN 'ocr' ELSE 'page' END AS chosen FROM pages p JOIN documents d ON d.doc_id = p.page_id")
+@query(
+    "t_04_quality_failures",
+    f"""WITH {QUALITY}, after AS (SELECT doc_id, corrupt, found, letters >= greatest(12, ceil(visible * 0.12)) AND well_shaped >= greatest(2, ceil(visible / 500)) AS enough FROM judged)
+     SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'forced OCR is unavailable' || CASE WHEN doc_id % 8 = 0 THEN ': no tool' ELSE '' END WHEN doc_id % 4 = 1 THEN 'forced OCR produced no replacement text that can be quality-scored'
+       WHEN corrupt THEN 'OCR text remains corrupt: ' || array_to_string(found, ', ') || CASE WHEN enough THEN '' ELSE '; forced OCR output has insufficient letter or word evidence' END ELSE 'forced OCR output has insufficient letter or word evidence' END AS reason
+     FROM after WHERE doc_id % 4 < 2 OR corrupt OR NOT enough""",
+)
+def t_04(spark, sf):
+    """Why recognition has not mended a page: all documents count as corrupt before; of every four, one was not recognised, one gave no text."""
+    d = table(spark, sf, "documents").select("doc_id", F.lit("ru").alias("language"), "text")
+    k = F.col("doc_id")
+    after = pages.judged(d).select(
+        "doc_id", "status", "reasons", "enough", F.lit(True).alias("was_corrupt"), (k % 4 != 0).alias("available"), (k % 4 > 1).alias("replaced"), F.when(k % 8 == 0, "no tool").alias("note")
+    )
+    return pages.quality_failures(after).select("doc_id", "reason")
+
+
+@query("t_05_structured", "SELECT p_partkey, p_partkey % 8 IN (0, 1, 2, 5, 6) AS structured FROM part")
+def t_05(spark, sf):
+    """Equations, matrices and tables of numbers made from parts, and texts that only look like them."""
+    shapes = ("x = {}\ny = f(x, 2) ** 2 + 1", "[[1, 2], [3, {}]]", "name,value\n1,2\n3,{}", "A widget costs {} = much", "x = (1 + {}\ny = [", "1 2 3\n4 5 {}", "a = 1 b = {}", "[[1, 2], [{}]]")
+    text = F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("p_partkey") % len(shapes) + 1).cast("int"))
+    p = table(spark, sf, "part").select("p_partkey", F.replace(text, F.lit("{}"), F.col("p_size").cast("string")).alias("text"))
+    return pages.with_structured(p.select("p_partkey", F.when(pages.maybe_structured("text"), F.col("text")).alias("text")), "text", "structured")
+
+
+@query(
+    "t_06_ocr_merge",
+    f"WITH {QUALITY} SELECT j.doc_id, CASE WHEN corrupt OR length(d.text) > length(j.text) THEN 'ocr' ELSE 'page' END AS chosen, corrupt AS forced FROM judged j JOIN documents d ON d.doc_id = j.doc_id + 1",
+)
 def t_06(spark, sf):
-    """Recognised text replaces a page's own if the page was forced or the recognised text is longer."""
-    p, d = table(spark, sf, "pages"), table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    return p.join(d, "page_id").select("page_id", F.when((F.col("page_id") % 3 == 0) | (F.length("text") > F.length("html")), "ocr").otherwise("page").alias("chosen"))
+    """Recognised text (that of the next document) replaces a page's own if the page is corrupt or the recognised text is longer."""
+    d = table(spark, sf, "documents").select("doc_id", F.lit("ru").alias("language"), "text")
+    forced = pages.judged(d).select("doc_id", (F.col("status") == "corrupt").alias("forced"))
+    own, other = d.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("own")), d.select((F.col("doc_id") - 1).alias("doc_id"), F.length("text").alias("other"))
+    chosen = F.when(F.col("forced") | (F.col("other") > F.col("own")), "ocr").otherwise("page")
+    return forced.join(own, "doc_id").join(other, "doc_id").select("doc_id", chosen.alias("chosen"), "forced")
 
 
 @query("t_09_normalized_name", r"SELECT entry_id, trim(regexp_replace(lower(trim(title || ' / ' || brand)), '[-_\s.,/:;!?()]+', '-', 'g'), '-') AS name FROM entries", ("entries",))
@@ -40,12 +90,12 @@ def t_09(spark, sf):
     return entries(spark, sf).select("entry_id", T.normalize_name(F.concat_ws(" / ", "title", "brand")).alias("name"))
 
 
-@query("t_10_stable_key")
+@query("t_10_stable_key", "SELECT doc_id, rtrim(substr(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 128), '-') AS stable_key FROM documents")
 def t_10(spark, sf):
-    """Latin slugs of first sentences, and of the same in Cyrillic letters by position."""
+    """Latin slugs of whole texts."""
     from lectern.functions.evidence import rows
 
-    d = table(spark, sf, "documents").select("doc_id", T.first_sentence("text", 80).alias("name"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("name"))
     return rows(d, lambda n: [(T.stable_key(n or ""),)], ["name"], "stable_key string")
 
 
