@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import Memo, pick_unused, worker_cache
+from lectern.llm.shared import Memo, pick_unused, tokenizer_file, worker_cache
 
 #: Chunks of up to CHUNK_CHARS characters are remembered, MEMO of them in each of two generations.
 MEMO = 200_000
@@ -116,7 +116,7 @@ class PrefixEncoder:
         return self.compatible[key]
 
     def encode(self, symbols: list[str]) -> list[int]:
-        """ids of one word, its symbols without the end-of-word mark. Symbols that are no token are left out, as without an unknown token."""
+        """ids of one word, its symbols without the end-of-word mark. Raises on a symbol that is no token: a byte-level vocabulary has all of them."""
         n = len(symbols)
         if not n:
             return []
@@ -150,6 +150,7 @@ class WordBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        path = tokenizer_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -25,15 +25,19 @@ BATCH_BYTES = 64 << 20
 def blocks(rows: DataFrame, cell_rows: int, copies: int) -> DataFrame:
     """Adds block columns ci, cj, chunk to ``rows`` (cell, node, ...), partitioned and sorted by block.
 
-    ``copies``: the number of rows of ``rows``, known to the caller, for the number of tasks.
+    ``copies``: the number of rows of ``rows``, known to the caller, for the number of tasks. ``cell_rows`` 0: no cell is
+    large, as the caller knows; ``rows`` is then read once instead of twice.
     """
+    n = partitions_for(rows.sparkSession, copies)
+    if not cell_rows:
+        whole = rows.withColumns({c: F.lit(0) for c in ("chunk", "ci", "cj")})
+        return whole.repartition(n, "cell").sortWithinPartitions("cell")
     hot = rows.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("m"))
     hot = materialise(hot)  # a table of known size: where it is small, the rows need no shuffle to meet it
     dealt = rows.join(hot, "cell", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")).cast("int"))
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     dealt = dealt.withColumn("ci", F.least("chunk", "k")).withColumn("cj", F.greatest("chunk", "k")).drop("k", "m")
-    n = partitions_for(rows.sparkSession, copies)
     return dealt.repartition(n, "cell", "ci", "cj").sortWithinPartitions("cell", "ci", "cj")
 
 
@@ -157,10 +161,17 @@ def tree_of(n: int, kept: list[tuple[int, int, int]]) -> np.ndarray:
     return root
 
 
+def least_of(tree: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The smallest node of each row's tree."""
+    least = np.full(len(tree), np.iinfo(np.int64).max)
+    np.minimum.at(least, tree, node)
+    return least[tree]
+
+
 def forest_edges(rows: DataFrame, cell_rows: int, copies: int, link: Callable, node_type: str, trees: bool = False) -> DataFrame:
     """Edges (a, b, d) of a spanning forest in each block. ``link(table)`` gives a function (i, j) -> (keep mask, distance).
 
-    With ``trees`` also the edge's tree as (cell, ci, cj, top): the block and a node of the tree.
+    With ``trees`` also the edge's tree as (cell, ci, cj, top): the block and the tree's smallest node.
     """
     block = ("cell", "ci", "cj")
 
@@ -178,7 +189,7 @@ def forest_edges(rows: DataFrame, cell_rows: int, copies: int, link: Callable, n
                 i, j, d = np.array(kept, dtype=np.int64).T
                 cols, names = [_one(node.take(pa.array(i))), _one(node.take(pa.array(j))), pa.array(d)], ["a", "b", "d"]
                 if trees:
-                    cols += [_one(table.column(c).take(pa.array(i))) for c in block] + [_one(node.take(pa.array(tree_of(table.num_rows, kept)[i])))]
+                    cols += [_one(table.column(c).take(pa.array(i))) for c in block] + [pa.array(least_of(tree_of(table.num_rows, kept), node.to_numpy())[i])]
                     names += [*block, "top"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -6,8 +6,8 @@
 2. The histogram of piece lengths (at most ``window`` bins, however large the
    corpus) goes to the driver. Combinations of up to three lengths that fill a
    window are enumerated, non-negative repeat counts are solved by least
-   squares against the histogram, rounded down to whole repeats that the
-   histogram can pay for, and the residual lengths are packed greedily, the
+   squares against the histogram, rounded up to whole repeats as far as the
+   histogram can pay for them, and the residual lengths are packed greedily, the
    best-fitting open windows first, counts at a time.
 3. The plan says for each length which ranks go to which sequences. Ranks come
    from a window over (length, salt), salted so that no group exceeds a bound,
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import byte_characters
-from lectern.llm.shared import Memo, materialise, partitions_for, pick_unused, worker_cache
+from lectern.llm.shared import materialise, Memo, partitions_for, pick_unused, tokenizer_file, worker_cache
 
 WINDOW = 2048
 END_ID = 1
-#: Rows that one (length, salt) group holds on average, at most.
-RANK_GROUP = 20_000
+#: Rows that one (length, salt) group holds on average, at most: so many, or a thousandth of all.
+RANK_GROUP = 1_000
 #: Chunks a worker remembers in each of two generations.
 MEMO = 250_000
 #: Fixed value: the split rule of byte-level pre-tokenisation.
@@ -55,6 +55,7 @@ class ChunkEncoder:
         import tiktoken
         from tokenizers import Tokenizer
 
+        path = tokenizer_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -262,7 +263,8 @@ def place(pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("do
     histogram = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}  # at most ``window`` rows
     runs = segments(plan_windows(histogram, window))
     total = sum(histogram.values())
-    salts = F.element_at(F.lit([1] + [max(1, -(-histogram.get(n, 0) // RANK_GROUP)) for n in range(1, window + 1)]), F.col("length").cast("int") + 1)
+    group = max(RANK_GROUP, total // 1000)
+    salts = F.element_at(F.lit([1] + [max(1, -(-histogram.get(n, 0) // group)) for n in range(1, window + 1)]), F.col("length").cast("int") + 1)
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), salts).cast("int"))
     sizes = salted.groupBy("length", "_salt").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))

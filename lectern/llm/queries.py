@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, brown, licenses, media, packing, quality, secrets, sharding, simhash, vectors
 
-TOKENIZERS = "/opt/tokenizers"
+#: Files of the installed tokenizers, found where they are read.
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048."""
-    packed = packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=False)
+    packed = packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -55,7 +56,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and the decoded text of all documents."""
-    done = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    done = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

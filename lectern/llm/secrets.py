@@ -24,12 +24,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.llm.shared import extended, materialise, pick_unused
 
@@ -57,7 +57,7 @@ FDR = 0.01
 LENGTHS = (24, 32, 48, 64, 128)
 #: P-values are counted in bins of a tenth of a decade, up to this many.
 BINS = 400
-#: Share of symbols that word-like text puts on the fewest half of its groups: natural strings use few symbols often.
+#: By how much a symbol of word-like text raises the chi-squared value, beyond chance. A fixed parameter, not fitted.
 WORDLIKE = 2.2
 
 
@@ -111,7 +111,7 @@ def random_p(run: str) -> float | None:
     serial = float((centred[1:] * centred[:-1]).sum()) / spread
     if 2 * _normal_tail(abs(serial + 1 / n) * math.sqrt(n)) < CONSISTENT:
         return None
-    # symbols change class (digit, upper, lower) often in random strings and seldom in identifiers
+    # word-like text of this length: its chi-squared value grows with every symbol
     extra = n * WORDLIKE * (1 - 1 / groups)
     return max(_normal_tail((df + extra - chi2) / math.sqrt(2 * df + 4 * extra)), 10.0 ** (-BINS / 10))
 
@@ -204,25 +204,51 @@ def joined(spans, kinds: int):
     return F.array_join(text, ",")
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
+def least_bins(docs: DataFrame, text: str = "text", fdr: float = FDR) -> list[int]:
+    """``thresholds`` of all runs of all texts; the reading keeps nothing but counts of bins."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                for m in RUN.finditer(x or ""):
+                    p = random_p(m[0])
+                    if p is not None:
+                        counts[length_class(len(m[0])), p_bin(p)] += 1
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([b for _, b in keys], pa.int32()), pa.array(counts.values(), pa.int64())], names=["k", "bin", "n"])
+
+    bins = docs.select(text).mapInArrow(run, "k int, bin int, n long").groupBy("k", "bin").agg(F.sum("n")).collect()  # classes x bins at most
+    return thresholds({(r[0], r[1]): r[2] for r in bins}, fdr)
+
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", fdr: float = FDR) -> DataFrame:
     """``docs`` with each found span (overlapping ones as one) in ``text`` replaced by ``mark``; other columns as they are.
 
-    Documents without spans keep their text; null texts stay null.
+    Documents without spans keep their text; null texts stay null; extra columns may have any names. Two readings of
+    ``docs``: one for the level of the corpus, one that finds and replaces; nothing is stored between them.
     """
-    names = docs.columns
-    # the row travels as one struct, so that its columns can have any names
-    found = find_secrets(docs.select(F.struct(*names).alias("row"), F.col(text).alias("text")))
+    least, names = least_bins(docs, text, fdr), docs.columns
+    at = names.index(text)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for k, spans in enumerate(batch.column(1).to_pylist()):
-                if spans and texts[k]:
-                    texts[k] = cut_out(texts[k], [(s["start"], s["stop"]) for s in spans], mark)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], names=["text", "row"])
-
-    done = found.select(F.col(f"row.`{text}`").alias("text"), "spans", "row").mapInArrow(run, extended(T.StructType(), "text string").add("row", found.schema["row"].dataType))
-    return done.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in names])
+            texts = batch.column(at).to_pylist()
+            for k, x in enumerate(texts):
+                if not x:
+                    continue
+                spans = [(start, stop) for start, _, stop in literal_spans(x)]
+                for m in RUN.finditer(x):
+                    p = random_p(m[0])
+                    if p is not None and p_bin(p) >= least[length_class(len(m[0]))]:
+                        spans.append(m.span())
+                if spans:
+                    texts[k] = cut_out(x, spans, mark)
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def cut_out(text: str, spans: list[tuple[int, int]], mark: str) -> str:

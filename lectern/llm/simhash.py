@@ -1,18 +1,26 @@
 """SimHash near-duplicates by pivot distance tables.
 
-A fingerprint's pivot table row holds its Hamming distances to fixed reference
-fingerprints. By the triangle inequality two fingerprints within radius r have
-rows that differ by at most r in every coordinate, so a pair whose maximum
-coordinate difference is larger is discarded unseen, and only survivors are
-compared bit by bit.
-
-Rows of the table are met in cells. References that differ in one block of
-bits give a coordinate that depends on that block alone, so fingerprints that
-agree on a block agree in all its coordinates; of ``radius + k`` blocks any
-pair within the radius agrees on k at least. Each choice of k blocks is a
-cell key (the masked fingerprint stands for its coordinates), which makes the
-candidate set exact for the radius while cells stay near one row. k grows with
-the logarithm of the count of distinct fingerprints.
+A fingerprint's row of the pivot table holds its Hamming distances to fixed
+reference fingerprints. By the triangle inequality two fingerprints within
+radius r have rows that differ by at most r in every coordinate, so a pair
+whose maximum coordinate difference is larger is discarded unseen, and only
+survivors are compared bit by bit.
+
+Retrieval goes by the same table. Its references are a base and, for each of
+r + k blocks of bits, some that differ from the base in about half of that
+block's bits. The base's distance less such a reference's depends on the block
+alone, and r differing bits touch r blocks at most, so any pair within the
+radius has equal differences in all coordinates of k blocks. Each choice of k
+blocks gives a grid cell: the tuple of those coordinate differences. That loses
+no pair; what else meets in a cell is discarded by further references spread
+over all bits. k grows with the logarithm of the count of distinct
+fingerprints.
+
+The same operator by similarity (``keep_one``) takes wide fingerprints of
+shingle sets. At a similarity of 0.8 their radius is about a quarter of all
+bits, beyond what coordinates of unrelated fingerprints differ by, so that no
+reference discards a pair there; pairs meet in cells of sampled bits instead
+and are checked on their shingle sets.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.cells import blocks, forest_edges, run_starts, whole_blocks, words_of
-from lectern.llm.shared import components, discard, extended, materialise, pick_unused
+from lectern.llm.shared import components, discard, join_labels, materialise, pick_unused, release, sieved
 
 SEED = 42
 #: Reference fingerprints of the pivot table.
@@ -37,6 +45,8 @@ PIVOTS = 24
 CELL_ROWS = 4096
 #: The same where rows carry their shingle sets.
 SET_ROWS = 1024
+#: Shingles of a zone that one task checks whole; with SET_ROWS the bound on its memory.
+ZONE_SHINGLES = 4_000_000
 #: Sets of so many shingles or fewer are linked without fingerprints, whose bits few shingles decide.
 FEW = 64
 #: Deviations past the expected distance at the threshold up to which a pair is a candidate.
@@ -97,13 +107,32 @@ def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, text: str = "t
 
 
 def pivots(width: int, count: int = PIVOTS) -> np.ndarray:
-    """Fixed reference fingerprints, far apart with high probability."""
+    """Fixed reference fingerprints over all bits, far apart with high probability."""
     return np.random.default_rng(20_240_601).integers(0, 2**64, size=(count, width), dtype=np.uint64)
 
 
+def block_references(radius: int, k: int, bits: int = 64) -> tuple[int, list[list[int]]]:
+    """(base, references by block): for each of radius + k near-equal blocks of bits, the base with about half of the block's bits turned, in several ways."""
+    draw = np.random.default_rng(20_240_602)
+    base = int(draw.integers(0, 2**64, dtype=np.uint64))
+    edges = [round(b * bits / (radius + k)) for b in range(radius + k + 1)]
+    out = []
+    for lo, hi in zip(edges, edges[1:]):
+        turned = [draw.choice(np.arange(lo, hi), size=(hi - lo + 1) // 2, replace=False) for _ in range((hi - lo) // 2 + 2)]
+        out.append([base ^ sum(1 << int(b) for b in t) for t in turned])
+    return base, out
+
+
+def signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
 def pivot_link(width: int, radius: int):
-    """The link test of one block: pivot table, maximum coordinate difference, then the bits of the survivors."""
-    refs = pivots(width)
+    """The link test of one block: pivot table, maximum coordinate difference, then the bits of the survivors.
+
+    References are left out where the radius is past three deviations of the difference of unrelated coordinates: they would discard nothing.
+    """
+    refs = pivots(width) if radius < 3 * math.sqrt(32 * width) else pivots(width, 0)
 
     def link(table):
         prints = words_of(table.column("print"), width)
@@ -127,11 +156,13 @@ def pivot_link(width: int, radius: int):
     return link
 
 
-def block_masks(radius: int, k: int, bits: int = 64) -> list[int]:
-    """Masks of every choice of k of radius + k near-equal blocks of bits."""
-    edges = [round(b * bits / (radius + k)) for b in range(radius + k + 1)]
-    parts = [((1 << hi) - (1 << lo)) for lo, hi in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(parts, k)]
+def grid_cells(prints: DataFrame, radius: int, k: int) -> DataFrame:
+    """(node, cell, print) of ``prints`` (node: the fingerprint as a long, print): a cell for each choice of k blocks' coordinates of the pivot table."""
+    base, by_block = block_references(radius, k)
+    near = F.bit_count(F.col("node").bitwiseXOR(F.lit(signed(base))))
+    coordinates = [F.array(*[near - F.bit_count(F.col("node").bitwiseXOR(F.lit(signed(r)))) for r in refs]).alias(f"c{b}") for b, refs in enumerate(by_block)]
+    cells = [F.xxhash64(F.lit(n), *[F.col(f"c{b}") for b in choice]) for n, choice in enumerate(combinations(range(radius + k), k))]
+    return prints.select("node", "print", *coordinates).select("node", F.explode(F.array(*cells)).alias("cell"), "print")
 
 
 def links_within(prints: DataFrame, count: int, radius: int = 3) -> DataFrame:
@@ -139,14 +170,7 @@ def links_within(prints: DataFrame, count: int, radius: int = 3) -> DataFrame:
     k = 2
     while 2.0 ** (64 * k / (radius + k)) < count / 4:
         k += 1
-    masks = block_masks(radius, k)
-    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    rows = prints.select(
-        "node",
-        F.explode(F.array(*[F.xxhash64(F.lit(n), F.col("node").bitwiseAND(F.lit(m).cast("long"))) for n, m in enumerate(signed)])).alias("cell"),
-        F.col("print"),
-    )
-    return forest_edges(rows, CELL_ROWS, count * len(masks), pivot_link(1, radius), "long")
+    return forest_edges(grid_cells(prints, radius, k), CELL_ROWS, count * math.comb(radius + k, k), pivot_link(1, radius), "long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
@@ -159,15 +183,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     none); repeated ids and rows each keep their row; empty input: no rows.
     """
     prints = materialise(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), words))
-    nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("least"))
+    nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     node = F.conv(hex_digits("fingerprint"), 16, -10).cast("long")
-    nodes = materialise(nodes.select(node.alias("node"), F.col("fingerprint").alias("print"), "least"))
-    count = nodes.count()
-    roots = components(links_within(nodes.select("node", "print"), count, radius).select("a", "b"))
-    rooted = nodes.join(roots, "node", "left").select("print", "least", F.coalesce("root", "node").alias("root"))
+    nodes = materialise(nodes.select(node.alias("node"), F.col("fingerprint").alias("print"), "least", "n"))
+    count, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    edges = materialise(links_within(nodes.select("node", "print"), count, radius).select("a", "b"))
+    roots = components(edges)
+    discard(edges)
+    rooted = nodes.join(roots, "node", "left").select("print", "least", "n", F.coalesce("root", "node").alias("root"))
     comp = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = rooted.join(comp, "root").select(F.col("print").alias("fingerprint"), "component_id")
-    return prints.join(labelled, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    labelled = materialise(rooted.join(comp, "root").select(F.col("print").alias("fingerprint"), "component_id", "n"))
+    discard(nodes)
+    discard(roots)
+    out = join_labels(prints, labelled, ["fingerprint"], total)
+    return out.select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
 def hex_digits(column: str):
@@ -197,7 +226,7 @@ def sampled_masks(count: int, similarity: float, width: int = WIDE) -> list[list
         words = [0] * width
         for bit in draw.choice(64 * width, size=bits, replace=False).tolist():
             words[bit // 64] |= 1 << (bit % 64)
-        out.append([w - 2**64 if w >= 2**63 else w for w in words])
+        out.append([signed(w) for w in words])
     return out
 
 
@@ -206,27 +235,25 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def described(docs: DataFrame, scan: str, words: int, names: tuple[str, str, str]) -> DataFrame:
-    """``docs`` with its ``scan`` column replaced by a wide fingerprint of the shingle set, a key equal for equal sets only and the set's size."""
-    keep = [c for c in docs.columns if c != scan]
+def described(texts: DataFrame, words: int, reach: int) -> DataFrame:
+    """(id, row, print, key, size, few) of ``texts`` (id, row, text): a wide fingerprint of the shingle set, a key equal for equal sets only,
+    the set's size, and the set itself where it has at most ``reach`` shingles."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(x, words) for x in batch.column(scan).to_pylist()]
+            sets = [shingle_set(x, words) for x in batch.column(2).to_pylist()]
             prints = [majority(x, WIDE).tobytes() for x in sets]
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(prints, pa.binary()), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int32())], names=[*keep, *names])
+            few = [x.tobytes() if 0 < len(x) <= reach else None for x in sets]
+            cols = [batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(few, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "row", "print", "key", "size", "few"])
 
-    schema = extended(docs.select(*keep).schema, f"{names[0]} binary, {names[1]} binary, {names[2]} int")
-    return docs.mapInArrow(run, schema)
+    schema = texts.select("id", "row").schema.add("print", "binary").add("key", "binary").add("size", "long").add("few", "binary")
+    return texts.select("id", "row", "text").mapInArrow(run, schema)
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) whose nodes' shingle sets (node, hashes, n) have a Jaccard similarity of ``similarity`` or more.
-
-    hashes: the sorted distinct 32-bit halves of a set's n hashes; at a few
-    thousand shingles a false match in them is one in a million.
-    """
+    """Edges (a, b) whose nodes' shingle sets (node, hashes, n) have a Jaccard similarity of ``similarity`` or more."""
     met = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("n").alias("n_x")), "a")
     met = met.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("n").alias("n_y")), "b")
 
@@ -234,7 +261,7 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y, m, n in zip(batch.column("x"), batch.column("y"), batch.column("n_x").to_pylist(), batch.column("n_y").to_pylist()):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y))
+                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(both >= similarity * (m + n - both) - 1e-9)
             keep = pa.array(ok, pa.bool_())
@@ -250,7 +277,7 @@ def wide_radius(similarity: float) -> int:
 
 
 def similar_links(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
-    """Candidate edges (a, b, tree) of nodes (node, print): minimum forests, by Hamming distance, of each cell's pairs within the radius.
+    """Candidate edges (a, b, tree, top: the tree's smallest node) of nodes (node, print): minimum forests, by Hamming distance, of each cell's pairs within the radius.
 
     A pair within the radius that is no edge joins two nodes of one tree, so it adds nothing only if all edges of that
     tree pass the exact check; ``unsettled`` has the other trees. Equal tree numbers may also be a hash's accident, which only makes a tree larger.
@@ -263,7 +290,7 @@ def similar_links(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
     keys = [F.xxhash64(F.lit(n), *[F.col(f"w{w}").bitwiseAND(F.lit(m).cast("long")) for w, m in enumerate(mask)]) for n, mask in enumerate(masks)]
     rows = words.select("node", "print", F.explode(F.array(*keys)).alias("cell"))
     found = forest_edges(rows, CELL_ROWS, count * len(masks), pivot_link(WIDE, wide_radius(similarity)), "long", trees=True)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.xxhash64("cell", "ci", "cj", "top").alias("tree"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.xxhash64("cell", "ci", "cj", "top").alias("tree"), "top")
 
 
 def unsettled(edges: DataFrame, ok: DataFrame) -> DataFrame:
@@ -273,11 +300,12 @@ def unsettled(edges: DataFrame, ok: DataFrame) -> DataFrame:
     return components(edges.join(trees, "tree", "left_semi").select("a", "b"))
 
 
-def exact_links(rows: DataFrame, count: int, similarity: float, radius: int) -> DataFrame:
-    """Edges (a, b) that connect what the pairs in a cell of ``rows`` (cell, node, linked, print, hashes, n) of that similarity connect.
+def exact_links(rows: DataFrame, count: int, similarity: float, radius: int, words: int = 0) -> DataFrame:
+    """Edges (a, b) that connect what the pairs in a cell of ``rows`` (cell, node, linked, print, n, hashes) of that similarity connect.
 
     Pairs within ``radius`` whose nodes are not connected yet (by equal ``linked`` or an earlier edge of the block) are
-    all checked on their sets; a pair that fails connects nothing.
+    all checked on their sets; a pair that fails connects nothing. With ``words`` rows have the text instead of hashes,
+    which is the shorter thing to shuffle, and no cell has more than SET_ROWS rows.
     """
 
     def links(nodes, linked, prints, chunk, cross, sets, sizes):
@@ -309,17 +337,20 @@ def exact_links(rows: DataFrame, count: int, similarity: float, radius: int) ->
             for lo, hi in zip(starts, [*starts[1:], table.num_rows]):
                 part = table.slice(lo, hi - lo)
                 nodes, linked, chunk, sizes = (part.column(c).to_numpy() for c in ("node", "linked", "chunk", "n"))
-                sets = [np.frombuffer(x, dtype=np.uint32) for x in part.column("hashes").to_pylist()]
+                if words:
+                    sets = [shingle_set(x, words) for x in part.column("text").to_pylist()]
+                else:
+                    sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column("hashes").to_pylist()]
                 cross = part.column("ci")[0] != part.column("cj")[0]
                 found += links(nodes, linked, words_of(part.column("print"), WIDE), chunk, cross, sets, sizes)
             a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return blocks(rows, SET_ROWS, count).mapInArrow(run, "a long, b long")
+    return blocks(rows, 0 if words else SET_ROWS, count).mapInArrow(run, "a long, b long")
 
 
-def few_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect what the pairs of that similarity among ``texts`` (node, print, text) connect: exact, by prefixes.
+def few_links(few: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect what the pairs of that similarity among ``few`` (node, print, few) connect: exact, by prefixes.
 
     Of two sets of that similarity, each shares all but n - ceil(similarity * n) of its n shingles with the other, so
     in any fixed order (here that of the hashes) their first n - ceil(similarity * n) + 1 have one in common.
@@ -327,68 +358,118 @@ def few_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            at, cells, halves, sizes = [], [], [], []
-            for k, x in enumerate(batch.column(2).to_pylist()):
-                s = shingle_set(x, words)
-                first = s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
-                at += [k] * len(first)
-                cells.append(first.view(np.int64))
-                halves += [np.unique(s.astype(np.uint32)).tobytes()] * len(first)
-                sizes += [len(s)] * len(first)
-            take = pa.array(at, pa.int64())
-            node = batch.column(0).take(take)
+            at, cells = [], []
+            for k, x in enumerate(batch.column(1).to_pylist()):
+                s = np.frombuffer(x, dtype=np.int64)
+                cells.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1])
+                at += [k] * len(cells[-1])
             cell = pa.array(np.concatenate(cells) if cells else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([cell, node, node, batch.column(1).take(take), pa.array(halves, pa.binary()), pa.array(sizes, pa.int64())], names=["cell", "node", "linked", "print", "hashes", "n"])
-
-    rows = materialise(texts.select("node", "print", "text").mapInArrow(run, "cell long, node long, linked long, print binary, hashes binary, n long"))
-    met = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cell")
-    out = materialise(exact_links(rows.join(met, "cell", "left_semi"), rows.count(), similarity, 64 * WIDE).distinct())
-    discard(rows)
+            yield pa.RecordBatch.from_arrays([cell, batch.column(0).take(pa.array(at, pa.int64()))], names=["cell", "node"])
+
+    prefixes = materialise(few.select("node", "few").mapInArrow(run, "cell long, node long"))
+    met = prefixes.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cell")
+    shared = materialise(prefixes.join(met, "cell", "left_semi"))
+    sets = few.select("node", F.col("node").alias("linked"), "print", F.col("few").alias("hashes"), (F.length("few") / 8).cast("long").alias("n"))
+    out = materialise(exact_links(shared.join(sets, "node"), shared.count(), similarity, 64 * WIDE).distinct())
+    discard(prefixes)
+    discard(shared)
     return out
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest id (nulls last).
-
-    Groups are the components of links between documents whose sets of
-    ``words``-word shingles have a Jaccard similarity of ``similarity`` or
-    more, checked on their shingle sets; candidates come from wide fingerprints of those
-    sets, for sets of FEW shingles or fewer from shared shingles. Texts without words (nulls too) form one group. Empty input: no rows.
-    """
-    names = docs.columns
-    taken = {c.lower() for c in names}
-    row, scan, print_, key, size = (x if x not in taken else f"{x}__lectern" for x in ("_row", "_scan", "_print", "_key", "_size"))
-    based = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(scan, F.col(text))
-    held = materialise(described(based, scan, words, (print_, key, size)))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("first")
-    nodes = held.groupBy(F.col(print_).alias("print"), F.col(key).alias("key")).agg(first, F.max(size).alias("size"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
-    reach = math.ceil(FEW / similarity)  # the largest set that one of FEW can be similar to
-    few = nodes.where(F.col("size").between(1, reach)).select("node", "print", F.col("first.row").alias(row))
-    texts = held.where(F.col(size) <= reach).select(row, F.col(text).alias("text")).join(few, row)
-    short = few_links(texts, words, similarity)
-    wide = nodes.where(F.col("size") > FEW).select("node", "print")
-    edges = materialise(similar_links(wide, wide.count(), similarity))  # a pair once for each tree that has it
-    touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.row").alias(row))
+def hashed(texts: DataFrame, words: int) -> DataFrame:
+    """(node, hashes, n) of ``texts`` (node, text): the shingle sets."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
-            halves = [np.unique(x.astype(np.uint32)).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["node", "hashes", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["node", "hashes", "n"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary, n long")
 
-    sets = materialise(held.select(row, F.col(text).alias("text")).join(touched, row).select("node", "text").mapInArrow(run, "node long, hashes binary, n long"))
+
+def links_of_large_zones(edges: DataFrame, sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect what pairs of that similarity connect in candidate zones too large for one task.
+
+    The edges of the cells' forests are checked first. One that fails may have stood for pairs that hold: all pairs of
+    its trees' zone are checked then, but for those connected by now.
+    """
     ok = materialise(verified(edges.select("a", "b").distinct(), sets, similarity))
-    linked = ok.unionByName(short)
-    roots = components(linked)
-    # an edge that failed may have stood for pairs that hold: all pairs of its zone are checked, but for those connected by now
+    roots = components(ok)
     zones = unsettled(edges, ok).select("node", F.col("root").alias("cell")).join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("linked"))
     zones = materialise(zones)
     split = zones.groupBy("cell").agg(F.min("linked").alias("lo"), F.max("linked").alias("hi")).where("lo < hi").select("cell")
     rows = zones.join(split, "cell", "left_semi").join(nodes.select("node", "print"), "node").join(sets, "node")
     more = materialise(exact_links(rows, zones.count(), similarity, wide_radius(similarity)))
-    roots = components(linked.unionByName(more))
-    for used in (edges, sets, zones):
+    discard(zones)
+    discard(roots)
+    return ok.unionByName(more)
+
+
+def similar_pairs(nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect what pairs of ``nodes`` (node, print, size, row) of that similarity connect; ``rows`` (row, text) has a text for each.
+
+    Candidates that hang together are a zone. A zone of bounded size goes to one task with its texts, and all its pairs are checked.
+    """
+    wide = nodes.where(F.col("size") > FEW).select("node", "print")
+    edges = materialise(similar_links(wide, wide.count(), similarity))  # a pair once for each tree that has it
+    release(nodes.sparkSession)
+    # each node with its trees' smallest ones connects the same and repeats itself from cell to cell
+    zones = components(edges.select("top", F.explode(F.array("a", "b")).alias("b")).select(F.col("top").alias("a"), "b"))
+    members = materialise(zones.join(nodes, "node").select("node", "root", "print", "size", "row"))
+    discard(zones)
+    count = members.count()
+    rows = sieved(rows, members.select("row"), "row", count, "_met").where("_met").drop("_met")
+    per_zone = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+    large = materialise(per_zone.where((F.col("m") > SET_ROWS) | (F.col("s") > ZONE_SHINGLES)).select("root"))
+    within = members.join(large, "root", "left_anti")
+    texts = within.select("row", F.col("root").alias("cell"), "node", F.col("node").alias("linked"), "print", F.col("size").alias("n")).join(rows, "row").drop("row")
+    out = materialise(exact_links(texts, 8 * count, similarity, wide_radius(similarity), words))
+    release(nodes.sparkSession)
+    if not large.isEmpty():
+        inside = materialise(members.join(large, "root", "left_semi"))
+        sets = materialise(hashed(inside.select("row", "node").join(rows, "row"), words))
+        kept = materialise(edges.join(inside.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b", "tree"))
+        out = out.unionByName(links_of_large_zones(kept, sets, inside, similarity))
+        for used in (inside, sets, kept):
+            discard(used)
+    for used in (edges, members, large):
+        discard(used)
+    return out
+
+
+def row_key(id_col: str, text: str):
+    """128 bits that tell rows apart by id and text; a null id is one of its own, a null text is the empty one."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("-" * 32)), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the smallest id (nulls last).
+
+    Groups are the components of links between documents whose sets of ``words``-word shingles have a Jaccard similarity
+    of ``similarity`` or more, checked on the sets; candidates come from wide fingerprints of those sets, for sets of FEW
+    shingles or fewer from shared shingles. Texts without words (nulls too) form one group. Of rows equal in id and text
+    any one is kept. Empty input: no rows. ``docs`` is read again for the texts of candidates and for
+    the result; only keys and fingerprints of it are stored, and only rows that a bounded bitmap of keys lets through are shuffled.
+    """
+    names, key = docs.columns, pick_unused(docs, "_row")
+    keyed = docs.withColumn(key, row_key(id_col, text))
+    reach = math.ceil(FEW / similarity)  # the largest set that one of FEW can be similar to
+    held = materialise(described(keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), F.col(text).alias("text")), words, reach))
+    repeats = materialise(held.groupBy("row").count().where("count > 1").select(F.col("row").alias(key)))
+    if not repeats.isEmpty():
+        one = keyed.join(repeats, key, "left_semi").groupBy(key).agg(F.first(F.struct(*names)).alias("one"))
+        keyed = keyed.join(repeats, key, "left_anti").select(*names, key).unionByName(one.select(*[F.col(f"one.`{c}`").alias(c) for c in names], key))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("first")
+    nodes = held.groupBy("print", "key").agg(first, F.max("size").alias("size"), F.first("few").alias("few"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("row", F.col("first.row")))
+    short = few_links(nodes.where("few is not null"), similarity)
+    pairs = similar_pairs(nodes.select("node", "print", "size", "row"), keyed.select(F.col(key).alias("row"), F.col(text).alias("text")), words, similarity)
+    roots = components(short.unionByName(pairs))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    gone = materialise(held.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(key)))
+    for used in (held, nodes, short, pairs, roots):
         discard(used)
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return held.join(kept, row, "left_semi").select(*names)
+    release(docs.sparkSession)
+    maybe = pick_unused(keyed, "_maybe")
+    marked = sieved(keyed, gone, key, gone.count(), maybe)
+    return marked.where(~F.col(maybe)).select(*names).unionByName(marked.where(maybe).join(gone, key, "left_anti").select(*names))

@@ -4,9 +4,10 @@ import random
 from tokenizers import Tokenizer
 
 from lectern.llm import bpe
-from lectern.llm.queries import TOKENIZERS, op6_bpe
+from lectern.llm.queries import WORD_BPE, op6_bpe
+from lectern.llm.shared import tokenizer_file
 
-PATH = f"{TOKENIZERS}/word_bpe_49k.json"
+PATH = tokenizer_file(WORD_BPE)
 ODD = ["", "  ", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "don't we'll I'M", "İstanbul ΑΣ Σ ß ﬁ ª º µ ½ ²", "c\x85d\xa0e", "é é", "日本語 123", "\x00 a\tb\r\nc", "a" * 99, "😀x", "×÷"]
 
 

@@ -6,9 +6,10 @@ import pytest
 from tokenizers import Tokenizer
 
 from lectern.llm import packing
-from lectern.llm.queries import TOKENIZERS
+from lectern.llm.queries import BYTE_BPE
+from lectern.llm.shared import tokenizer_file
 
-PATH = f"{TOKENIZERS}/byte_bpe_50k.json"
+PATH = tokenizer_file(BYTE_BPE)
 
 
 def check(rows, pieces, window):

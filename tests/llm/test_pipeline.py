@@ -7,8 +7,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lectern.llm import packing, quality, secrets
-from lectern.llm.queries import TOKENIZERS, table
-from lectern.llm.shared import materialise
+from lectern.llm.queries import BYTE_BPE, table
+from lectern.llm.shared import materialise, tokenizer_file
 from lectern.llm.simhash import shingle_set
 
 
@@ -58,7 +58,7 @@ def test_stages(spark, sf, documents):
         assert all(old[i].text[a:b] not in r.text for a, _, b in found) and r.n_chars == len(r.text)
         assert "[secret]" in r.text or r.text == old[i].text
     # packing: every id in one piece, windows without gaps
-    tokenizer = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(tokenizer_file(BYTE_BPE))
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     windows, have = defaultdict(list), defaultdict(list)
     for p in pieces:

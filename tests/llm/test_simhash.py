@@ -2,7 +2,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lectern.llm import simhash
 from lectern.llm.queries import op1_simhash
@@ -66,12 +68,26 @@ def test_links_of_random_prints_with_a_hot_cell(spark, monkeypatch):
     assert [roots.get(p, p) for p in prints] == wanted
 
 
-def test_masks_cover_the_radius():
-    masks = simhash.block_masks(3, 2)
+def test_grid_cells_lose_no_pair_and_references_discard_the_others(spark):
+    """Every pair within the radius shares a cell of pivot coordinates; of unrelated pairs in a cell nearly all are discarded before their bits are read."""
     draw = np.random.default_rng(1)
-    for _ in range(500):
-        flips = sum(1 << int(b) for b in set(draw.integers(0, 64, 3).tolist()))
-        assert any(not flips & m for m in masks)
+    prints = []
+    for x in draw.integers(0, 2**63, 150).tolist():
+        prints += [x, x ^ sum(1 << int(b) for b in set(draw.integers(0, 63, 3).tolist()))]
+    prints = sorted(set(prints))
+    nodes = spark.createDataFrame([(p, p.to_bytes(8, "little")) for p in prints], "node long, print binary")
+    cells = {}
+    for r in simhash.grid_cells(nodes, 3, 2).collect():
+        cells.setdefault(r.cell, set()).add(r.node)
+    met = {(a, b) for c in cells.values() for a in c for b in c if a < b}
+    assert {(a, b) for k, a in enumerate(prints) for b in prints[k + 1 :] if bin(a ^ b).count("1") <= 3} <= met
+    refs = simhash.pivots(1)[:, 0]
+    x = draw.integers(0, 2**63, 4000).astype(np.uint64)
+    y = x ^ (draw.integers(0, 2**38, 4000).astype(np.uint64) << np.uint64(26))  # two of five blocks agree
+    near = np.bitwise_count(x ^ y) <= 3
+    table = [np.abs(np.bitwise_count(v[:, None] ^ refs[None, :]).astype(int)) for v in (x, y)]
+    survive = np.abs(table[0] - table[1]).max(1) <= 3
+    assert survive[near].all() and survive.mean() < 0.02
 
 
 def test_components_of_a_path_and_a_star(spark):
@@ -105,6 +121,8 @@ def test_keep_one(spark, sf, documents):
 
 
 def test_keep_one_odd(clashing, empty):
+    kept = simhash.keep_one(clashing.withColumn("row", F.lit(1)).withColumn("key", F.lit(2)))
+    assert kept.columns[: len(clashing.columns)] == clashing.columns and kept.columns[-2:] == ["row", "key"]
     kept = simhash.keep_one(clashing)
     assert kept.columns == clashing.columns
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 1, 3, 6, 7, 8, 8, 9]
@@ -125,9 +143,10 @@ def below_and_above(groups, texts, links):
     return [(int(i), str(t)) for i, t in rows]
 
 
-def test_links_within_a_large_group_just_below_the_threshold(spark, monkeypatch):
-    """Edges below the threshold join the group's nodes; the true links among them are still found, also over chunks."""
-    monkeypatch.setattr(simhash, "SET_ROWS", 100)
+@pytest.mark.parametrize("rows_a_cell", [100, 1024])
+def test_links_within_a_large_group_just_below_the_threshold(spark, monkeypatch, rows_a_cell):
+    """Edges below the threshold join the group's nodes; the true links among them are still found, in one task and over chunks."""
+    monkeypatch.setattr(simhash, "SET_ROWS", rows_a_cell)
     rows = below_and_above(1, 300, 60)
     assert jaccard(rows[0][1], rows[1][1]) < 0.8
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
