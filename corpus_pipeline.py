@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import packing, quality, secrets, simhash
-from lectern.llm.queries import TOKENIZERS, table
-from lectern.llm.shared import materialise
+from lectern.llm.queries import BYTE_BPE, table
+from lectern.llm.shared import discard, materialise, release
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 ids."""
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=False)
+    return packing.pack(docs, BYTE_BPE, with_ids=False)
 
 
 STAGES = [
@@ -46,8 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``; what each gives is a table in the shared folder."""
+    """All stages in order over ``documents``; what each gives is a table in the shared folder until the next is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        kept = materialise(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = kept
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
