@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import changes as cdc
 from lectern.operators import graph
 from lectern.plans.base import query
-from lectern.sources.stores import checkpoint_dir
+from lectern.sources.stores import checkpoint_dir, export, new_path, write_jsonl
 from lectern.sources.views import docs, entries, table, versions
 
 
@@ -176,6 +176,35 @@ def snk_04(spark, sf):
     return cdc.insert_missing(c.where("k % 2 = 0").withColumn("v", F.lit("old")), c.withColumn("v", F.lit("new")), ["k"])
 
 
+@query("snk_02_jsonl", "SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM customer")
+def snk_02(spark, sf):
+    """Customers written as JSON lines of bounded size, and read back."""
+    path = new_path(spark, "jsonl")
+    write_jsonl(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), path, 1 << 40)
+    back = spark.read.text(path).select(F.from_json("value", "c_custkey long, c_name string, c_acctbal double").alias("r"))
+    return back.select("r.c_custkey", "r.c_name", F.round("r.c_acctbal", 2).alias("c_acctbal"))
+
+
+@query("snk_03_export", "SELECT doc_id, md5(text) AS h, count(*) OVER () AS n_rows, true AS same_checksum FROM documents")
+def snk_03(spark, sf):
+    """Documents exported in byte order with a manifest; the export of the same rows in another order of reading has the same checksum, and its rows are read back."""
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"))
+    path = new_path(spark, "export")
+    manifest = export(d, path, "doc_id")
+    again = export(d.repartition(3, "h"), new_path(spark, "export"), "doc_id").select(F.col("checksum").alias("other"))
+    back = spark.read.text(f"{path}/entries").select(F.from_json("value", "doc_id long, h string").alias("r")).select("r.*")
+    one = manifest.crossJoin(again).select(F.col("rows").alias("n_rows"), (F.col("checksum") == F.col("other")).alias("same_checksum"))  # one row
+    return back.crossJoin(F.broadcast(one))
+
+
+@query("snk_05_csv", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def snk_05(spark, sf):
+    """Nations written as CSV with a header, and read back."""
+    path, n = new_path(spark, "csv"), table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    n.write.csv(path, header=True)
+    return spark.read.schema(n.schema).csv(path, header=True)
+
+
 @query("snk_06_report_json", "SELECT count(*) AS n, sum(CASE WHEN length(text) >= 50 THEN 1 ELSE 0 END) AS with_text FROM documents")
 def snk_06(spark, sf):
     r = table(spark, sf, "documents").agg(count().alias("n"), F.count_if(F.length("text") >= 50).alias("with_text")).select(F.to_json(F.struct("n", "with_text")).alias("j"))
