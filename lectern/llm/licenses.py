@@ -26,13 +26,29 @@ BASE = (
     (("cc", "by"), "cc-by"),
     (("mit", "license"), "mit"),
 )
-#: Label and template of each notice. License notices are public texts.
+#: Passages that several licenses share.
+AS_IS = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL {who} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "<<beginOptional>>1<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "<<beginOptional>>2<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "{third}THIS SOFTWARE IS PROVIDED BY <<var;words=1..10>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL <<var;words=1..10>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; "
+    "OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Label and template of each license or notice, with all mandatory wording. License texts are public.
 TEMPLATES = (
     ("mit", "<<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> under <<beginOptional>>the terms of<<endOptional>> the MIT license"),
     (
         "mit",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;words=1..6>> and associated documentation files "
-        "<<beginOptional>>(the <<var;words=1..2>>)<<endOptional>>, to deal in <<var;words=1..3>> without restriction",
+        "<<beginOptional>>(the <<var;words=1..2>>)<<endOptional>>, to deal in <<var;words=1..3>> without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of <<var;words=1..3>>, and to permit persons to whom <<var;words=1..3>> is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of <<var;words=1..3>>. "
+        + AS_IS.format(who="<<var;words=1..8>>"),
     ),
     ("apache-2.0", "licensed under the Apache License <<beginOptional>>,<<endOptional>> version 2 <<beginOptional>>.0<<endOptional>>"),
     ("gpl-3.0", "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License <<beginOptional>>as published by the Free Software Foundation, either<<endOptional>> version 3"),
@@ -43,10 +59,23 @@ TEMPLATES = (
     ("cc-by-nc-4.0", "licensed under <<beginOptional>>the<<endOptional>> <<beginOptional>>a<<endOptional>> CC BY NC 4.0"),
     ("cc-by-sa-4.0", "licensed under <<beginOptional>>the<<endOptional>> <<beginOptional>>a<<endOptional>> CC BY SA 4.0"),
     ("cc-by-4.0", "Creative Commons Attribution <<beginOptional>>4.0<<endOptional>> International <<beginOptional>>Public<<endOptional>> License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd-2-clause", BSD.format(third="")),
+    ("bsd-3-clause", BSD.format(third="<<beginOptional>>3<<endOptional>> Neither the name of <<var;words=1..10>> may be used to endorse or promote products derived from this software without specific prior written permission. ")),
+    (
+        "isc",
+        "Permission to use, copy, modify, and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND <<var;words=1..5>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL <<var;words=1..5>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+        "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
     ("mpl-2.0", "subject to the terms of the Mozilla Public License, v <<beginOptional>>.<<endOptional>> 2.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+        "perpetuity of all present and future rights to this software under copyright law. " + AS_IS.format(who="THE AUTHORS"),
+    ),
 )
 MARK = re.compile(r"<<(beginOptional|endOptional|var;words=(\d+)\.\.(\d+))>>")
 

@@ -36,9 +36,29 @@ def test_templates():
     assert {c for _, _, c in found("This work is licensed under the GNU General Public License, version 3.")} == {"gpl-3.0"}
     assert {c for _, _, c in found("Licensed under CC BY-NC 4.0.")} == {"cc-by-nc-4.0"}
     assert not found("Licensed under the Apache Licence, Version 2.0; under the MIT-like license; GNU General Public License")
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of {} and associated documentation files (the \"Software\"), to deal in the Software without restriction"
-    assert {c for _, _, c in found(mit.format("this software"))} == {"mit"}
-    assert not found(mit.format("one two three four five six seven")) and not found(mit.format("this").replace("hereby", "herewith"))
+
+
+def filled(label, **names):
+    """A license's text: every optional region in, every replaceable one filled."""
+    text = next(t for x, t in licenses.TEMPLATES if x == label and len(t) > 400)
+    text = re.sub(r"<<(?:begin|end)Optional>>", " ", text)
+    return re.sub(r"<<var;words=\d+\.\.\d+>>", names.get("who", "this software"), text)
+
+
+@pytest.mark.parametrize("label", ["mit", "bsd-2-clause", "bsd-3-clause", "isc", "unlicense"])
+def test_whole_licenses(label):
+    """Accepted whole, in other layout and case; not with a word changed, left out or put in, wherever it is; not cut short."""
+    text = filled(label)
+    words = text.split()
+    assert {c for _, _, c in found("Copyright 2020\n\n" + text.upper().replace(". ", ".\n * ") + " The end")} == {label}
+    for k in range(0, len(words), 7):
+        if not (word := licenses.words_of(words[k])) or word[0] in ("this", "the", "software", "1", "2", "3", "including", "next", "paragraph", "or"):
+            continue
+        for changed in ([*words[:k], "altered", *words[k + 1 :]], [*words[:k], *words[k + 1 :]]):
+            assert label not in {c for _, _, c in found(" ".join(changed))}, (label, k, words[k])
+    assert not found(" ".join(words[: len(words) // 2])) and not found(" ".join(words[:-1]))
+    if label == "mit":
+        assert not found(filled(label, who="one two three four five six seven eight nine"))
 
 
 def test_markup():
