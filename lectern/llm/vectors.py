@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.cells import Forest, blocks, run_starts, whole_blocks
-from lectern.llm.shared import components, materialise
+from lectern.llm.shared import components, join_labels, materialise
 
 #: Vectors that the rotations are learnt from, at most.
 SAMPLE = 20_000
@@ -47,7 +47,7 @@ def learn_rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = 30) -
 
 def table_plan(largest: int, dims: int, threshold: float) -> tuple[int, int]:
     """(bits of a substring, number of tables) for ``largest`` vectors of one label."""
-    bits = int(min(16, max(1, dims), max(6, math.ceil(math.log2(max(largest, 2) / CELL_GOAL)))))
+    bits = int(min(30, max(1, dims), max(6, math.ceil(math.log2(max(largest, 2) / CELL_GOAL)))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(4, math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))
 
@@ -91,7 +91,7 @@ def near_duplicate_vectors(
         return rest
     dims = int(sizes[0][0])
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0]
-    count = nodes.count()
+    count, total = nodes.agg(F.count(F.lit(1)), F.sum("copies")).first()
     bits, tables = recall_plan or table_plan(largest, dims, threshold)
     drawn = nodes.where(F.size("v") == dims).select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
     sample = np.stack([np.array(x, dtype=np.float64) for x in drawn.column("v").to_pylist()])
@@ -168,8 +168,8 @@ def near_duplicate_vectors(
     placed = nodes.join(roots, "node", "left").join(links, "node", "left")
     placed = placed.select("label", "v", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "root").select("label", "v", "component_id", (F.col("n") + F.col("copies") - 1).alias("n_links"))
-    linked = base.where("ok").join(placed, ["label", "v"]).select("id", "n_links", "component_id")
+    placed = placed.join(least, "root").select("label", "v", "component_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n"))
+    linked = join_labels(base.where("ok"), materialise(placed), ["label", "v"], total).select("id", "n_links", "component_id")
     rest = base.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(rest).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
