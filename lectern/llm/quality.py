@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import crc32_of_id, extended, pick_unused, worker_cache
+from lectern.llm.shared import crc32_of_id, discard, extended, materialise, pick_unused, worker_cache
 
 #: Labelled texts taken for each dictionary, and for the curve. The fit is on this bounded sample.
 DICTIONARY_TEXTS = 3_000
@@ -72,15 +72,14 @@ def logistic(inputs: np.ndarray, wanted: np.ndarray, rounds: int = 40, ridge: fl
     return tuple(float(v) for v in w)
 
 
-def dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
-    """Whole texts up to ``size`` bytes, in the given order."""
+def fitting(sizes: list[int], limit: int = DICTIONARY_BYTES) -> list[int]:
+    """Positions of the texts, of so many bytes each, that fill ``limit`` bytes in the given order; one that no longer fits is passed over."""
     out, held = [], 0
-    for t in texts:
-        raw = t.encode("utf-8", "surrogatepass")
-        if raw and held + len(raw) <= size:
-            out.append(raw)
-            held += len(raw) + 1
-    return b"\n".join(out)
+    for k, n in enumerate(sizes):
+        if n and held + n <= limit:
+            out.append(k)
+            held += n + 1
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, id_col: str = "doc_id", text: str = "text") -> QualityModel:
@@ -100,18 +99,50 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, id_col: str =
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2])
     # at most 2 * DICTIONARY_TEXTS + CURVE_TEXTS ids, so broadcast: the texts are read in place
     met = docs.select(F.col(id_col), F.col(text).alias("_text")).where(F.length("_text") <= SAMPLE_CHARS).join(F.broadcast(chosen), id_col)
-    per_text = met.groupBy(id_col, "_use", "quality", "_h").agg(F.min("_text").alias("_text")).orderBy("_h")
-    rows = per_text.select("_use", "quality", "_text").limit(2 * DICTIONARY_TEXTS + CURVE_TEXTS).toArrow().to_pylist()
-    bad, good = (dictionary([r["_text"] for r in rows if r["_use"] == q]) for q in (0, 1))
-    curve = [r for r in rows if r["_use"] == 2] or rows
-    wanted = np.array([r["quality"] for r in curve], dtype=float)
-    if len(set(wanted.tolist())) < 2:
-        share = (wanted.sum() + 1) / (len(wanted) + 2)
+    sample = materialise(met.groupBy("_use", "quality", "_h").agg(F.min("_text").alias("_text")))
+    # the driver sees sizes of the sample, the texts that fill the dictionaries, and two numbers for each text of the curve
+    known = sorted((r[1], r[0], r[2]) for r in sample.where("_use < 2").select("_use", "_h", F.octet_length("_text")).collect())
+    taken = []
+    for q in (0, 1):
+        mine = [(h, n) for h, use, n in known if use == q]
+        taken += [(q, mine[k][0]) for k in fitting([n for _, n in mine])]
+    texts = {}
+    if taken:
+        wanted = sample.where("_use < 2").where(F.col("_h").isin([h for _, h in taken])).select("_use", "_h", "_text").toArrow().to_pylist()
+        texts = {(r["_use"], r["_h"]): r["_text"].encode("utf-8", "surrogatepass") for r in wanted}
+    bad, good = (b"\n".join(texts[q, h] for use, h in taken if use == q) for q in (0, 1))
+    key = hashlib.sha256(good + b"|" + bad).hexdigest()
+    curve = sample.where("_use = 2") if not sample.where("_use = 2").isEmpty() else sample
+    rows = measured(curve.select("quality", "_h", "_text"), QualityModel(good, bad, (0.0, 0.0, 0.0), key)).orderBy("_h").collect()  # at most 2 * DICTIONARY_TEXTS + CURVE_TEXTS
+    discard(sample)
+    labels_ = np.array([r["quality"] for r in rows], dtype=float)
+    if len(set(labels_.tolist())) < 2:
+        share = (labels_.sum() + 1) / (len(labels_) + 2)
         weights = (0.0, 0.0, math.log(share / (1 - share)))
     else:
-        sizes = Sizes(good, bad)
-        weights = logistic(np.array([sizes.inputs(r["_text"]) for r in curve]), wanted)
-    return QualityModel(good, bad, weights, hashlib.sha256(good + b"|" + bad).hexdigest())
+        weights = logistic(np.array([(r["u"], r["v"]) for r in rows]), labels_)
+    return QualityModel(good, bad, weights, key)
+
+
+def sizes_of(model: QualityModel) -> Sizes:
+    """The compressors of a model, made once in a worker."""
+    cache = worker_cache()
+    if cache.get("quality key") != model.key:
+        cache["quality key"], cache["quality"] = model.key, Sizes(model.good, model.bad)
+    return cache["quality"]
+
+
+def measured(rows: DataFrame, model: QualityModel) -> DataFrame:
+    """(quality, _h, u, v) of ``rows`` (quality, _h, _text): the inputs of each text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES
+
+    def run(batches):
+        sizes = sizes_of(shared.value)
+        for batch in batches:
+            inputs = [sizes.inputs(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([u for u, _ in inputs], pa.float64()), pa.array([v for _, v in inputs], pa.float64())], names=["quality", "_h", "u", "v"])
+
+    return rows.mapInArrow(run, rows.select("quality", "_h").schema.add("u", "double").add("v", "double"))
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", column: str = "score") -> DataFrame:
@@ -121,11 +152,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", column: str
     scan = pick_unused(docs, "_scan")
 
     def run(batches):
-        model = shared.value
-        cache = worker_cache()
-        if cache.get("quality key") != model.key:
-            cache["quality key"], cache["quality"] = model.key, Sizes(model.good, model.bad)
-        sizes, (a, b, c) = cache["quality"], model.weights
+        sizes, (a, b, c) = sizes_of(shared.value), shared.value.weights
         for batch in batches:
             out = []
             for x in batch.column(scan).to_pylist():
