@@ -286,9 +286,8 @@ def v_01(spark, sf):
 
 @query(
     "v_02_exact_quote",
-    """SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'shifted' WHEN doc_id % 5 = 2 AND upper(substr(text, 11, 20)) <> substr(text, 11, 20) THEN 'altered' ELSE 'outside' END AS fault
-       FROM documents WHERE (doc_id % 5 = 1 AND length(text) >= 31 AND substr(text, 11, 20) <> substr(text, 12, 20)) OR (doc_id % 5 = 2 AND length(text) >= 31 AND upper(substr(text, 11, 20)) <> substr(text, 11, 20))
-         OR (doc_id % 5 = 3 AND length(text) >= 31)""",
+    """SELECT doc_id, fault FROM (SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'outside' WHEN 2 THEN CASE WHEN contains(q, 'e') THEN 'altered' END WHEN 1 THEN CASE WHEN lower(c) = lower(q) AND c <> q THEN 'altered' WHEN c <> q THEN 'shifted' END END AS fault
+       FROM (SELECT doc_id, substr(text, 11, 20) AS q, substr(text, 12, 20) AS c FROM documents WHERE length(text) >= 31)) WHERE fault IS NOT NULL""",
 )
 def v_02(spark, sf):
     """Citations (span in code points, quote) that break the exact-quote rule. Of every five documents one cites a shifted span, one an altered quote, one a span past its end."""
@@ -296,7 +295,7 @@ def v_02(spark, sf):
     d = table(spark, sf, "documents").where(n >= 31)
     start = F.when(k == 1, 11).when(k == 3, n).otherwise(10)
     quote = F.substring("text", 11, 20)
-    c = d.select("doc_id", "text", start.alias("start"), (start + 20).alias("stop"), F.when(k == 2, F.upper(quote)).otherwise(quote).alias("quote"))
+    c = d.select("doc_id", "text", start.alias("start"), (start + 20).alias("stop"), F.when(k == 2, F.replace(quote, F.lit("e"), F.lit("E"))).otherwise(quote).alias("quote"))
     cited = F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start"))
     fault = F.when(F.col("stop") > F.length("text"), "outside").when(cited != F.col("quote"), F.when(F.lower(cited) == F.lower("quote"), "altered").otherwise("shifted"))
     return c.select("doc_id", fault.alias("fault")).where("fault is not null")
