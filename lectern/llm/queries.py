@@ -1,11 +1,11 @@
-"""Queries of the ten operators over whole tables, and their SQL where SQL can express them."""
+"""Queries of the operators over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, brown, licenses, media, packing, quality, secrets, sharding, simhash, vectors
+from lectern.llm import bpe, brown, licenses, media, outliers, packing, quality, secrets, sharding, simhash, vectors
 
 #: Files of the installed tokenizers, found where they are read.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -80,7 +80,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_brown, op5_secrets, op6_bpe, op7_quality, op8_licenses, op9_vectors, op10_media)}
+def op13_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and repetition counts of all documents, and whether the rules and their cell's estimate keep them."""
+    return outliers.quality_report(table(spark, sf_dir, "documents")).drop("distance")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_brown, op5_secrets, op6_bpe, op7_quality, op8_licenses, op9_vectors, op10_media, op13_outliers)}
 
 
 def sharding_sql(seed: int = 42, shards: int = 16) -> str:
@@ -103,4 +108,39 @@ def sharding_sql(seed: int = 42, shards: int = 16) -> str:
  FROM walk WHERE passes > 0 AND x < n"""
 
 
-ORACLES: dict[str, str] = {"op3_sharding": sharding_sql()}
+def outliers_sql() -> str:
+    """``op13_outliers`` in SQL: counts by unnesting, the estimate's steps one after another."""
+    o = outliers
+    quartiles = {f"quartiles_{k}": f"quantile_cont(x{k}, [0.25, 0.5, 0.75])" for k in range(o.P)}
+    first = o.first_sql("sized").format(first=1, second=2, third=3, **quartiles)
+    moved, held = [], "p0"
+    for k in range(1, o.STEPS + 1):
+        near = f"(SELECT v.cell, p.start, {', '.join('v.' + x for x in o.X)}, {o.distance()} AS d2 FROM sized v JOIN {held} p USING (cell))"
+        moved.append(f"p{k} AS MATERIALIZED ({o.solve('(' + o.nearest(o.binned(near)) + ') g', 'cell, start', o.consistency(o.HALF))})")
+        held = f"p{k}"
+    inner = f"(SELECT cell, {o.sums()} FROM (SELECT v.*, {o.distance()} AS d2 FROM sized v JOIN best p USING (cell)) WHERE d2 <= {o.chi2_quantile(o.REWEIGHT, o.P)} GROUP BY cell) g"
+    xs = ", ".join(o.X)
+    return rf"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS l, coalesce(source, '') AS s, coalesce(text, '') AS t FROM documents),
+ cut AS (SELECT *, list_filter(regexp_split_to_array(t, '{o.WORD_BREAK}'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM docs),
+ grams AS (SELECT rid, i, list_slice(words, i, i + 4) AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM cut)),
+ twice AS (SELECT rid, unnest(list(i)) AS i FROM grams GROUP BY rid, g HAVING count(*) > 1),
+ covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY rid),
+ counted AS (SELECT rid, doc_id, l, s, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{o.WORD_BREAK}', '', 'g')) AS BIGINT) AS word_chars,
+   CAST(length(regexp_replace(t, '{o.SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+   len(lines) AS n_lines, len(list_distinct(words)) AS n_distinct FROM cut LEFT JOIN covered USING (rid)),
+ judged AS (SELECT *, {o.BASE_FAILED} AS base_failed FROM counted),
+ passed AS MATERIALIZED (SELECT *, {', '.join(f"{o.steps_of(e)} AS x{k}" for k, (e, _) in enumerate(o.STATISTICS))} FROM judged WHERE NOT base_failed),
+ own AS (SELECT l, s, count(*) AS size FROM (SELECT DISTINCT l, s, {xs} FROM passed) GROUP BY l, s),
+ pools AS (SELECT l, sum(size) < {o.LEAST} AS small FROM own WHERE size < {o.LEAST} GROUP BY l),
+ cells AS (SELECT l, s, CASE WHEN size >= {o.LEAST} THEN 's' || length(l) || ':' || l || s WHEN NOT small THEN 'l' || l ELSE 'all' END AS cell FROM own LEFT JOIN pools USING (l)),
+ vectors AS MATERIALIZED (SELECT DISTINCT cell, {xs} FROM passed JOIN cells USING (l, s)),
+ sized AS MATERIALIZED (SELECT * FROM vectors WHERE cell IN (SELECT cell FROM vectors GROUP BY cell HAVING count(*) >= {o.LEAST})),
+ p0 AS MATERIALIZED ({first}),
+ {", ".join(moved)},
+ best AS MATERIALIZED (SELECT * FROM {held} QUALIFY row_number() OVER (PARTITION BY cell ORDER BY det, start) = 1),
+ last AS MATERIALIZED ({o.solve(inner, 'cell', o.consistency(o.REWEIGHT))}),
+ kept AS (SELECT rid, coalesce({o.distance()} <= {o.chi2_quantile(o.KEEP, o.P)}, true) AS near FROM passed JOIN cells USING (l, s) LEFT JOIN last USING (cell))
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(near, false) AS kept FROM judged LEFT JOIN kept USING (rid)"""
+
+
+ORACLES: dict[str, str] = {"op3_sharding": sharding_sql(), "op13_outliers": outliers_sql()}
