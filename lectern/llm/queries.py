@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, brown, licenses, media, outliers, packing, quality, secrets, sharding, simhash, vectors
+from lectern.llm import bpe, brown, licenses, media, outliers, packing, quality, search, secrets, sharding, simhash, tries, vectors
 
 #: Files of the installed tokenizers, found where they are read.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -80,12 +80,22 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of each language, and their most typical terms."""
+    return tries.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each item of benchmark."""
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op13_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word and repetition counts of all documents, and whether the rules and their cell's estimate keep them."""
     return outliers.quality_report(table(spark, sf_dir, "documents")).drop("distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_brown, op5_secrets, op6_bpe, op7_quality, op8_licenses, op9_vectors, op10_media, op13_outliers)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_brown, op5_secrets, op6_bpe, op7_quality, op8_licenses, op9_vectors, op10_media, op11_divergence, op12_search, op13_outliers)}
 
 
 def sharding_sql(seed: int = 42, shards: int = 16) -> str:
@@ -121,7 +131,8 @@ def outliers_sql() -> str:
     inner = f"(SELECT cell, {o.sums()} FROM (SELECT v.*, {o.distance()} AS d2 FROM sized v JOIN best p USING (cell)) WHERE d2 <= {o.chi2_quantile(o.REWEIGHT, o.P)} GROUP BY cell) g"
     xs = ", ".join(o.X)
     return rf"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS l, coalesce(source, '') AS s, coalesce(text, '') AS t FROM documents),
- cut AS (SELECT *, list_filter(regexp_split_to_array(t, '{o.WORD_BREAK}'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM docs),
+ cut AS (SELECT *, list_filter(regexp_split_to_array(t, '{o.WORD_BREAK}'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM docs),
  grams AS (SELECT rid, i, list_slice(words, i, i + 4) AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM cut)),
  twice AS (SELECT rid, unnest(list(i)) AS i FROM grams GROUP BY rid, g HAVING count(*) > 1),
  covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY rid),
@@ -143,4 +154,33 @@ def outliers_sql() -> str:
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(near, false) AS kept FROM judged LEFT JOIN kept USING (rid)"""
 
 
-ORACLES: dict[str, str] = {"op3_sharding": sharding_sql(), "op13_outliers": outliers_sql()}
+DIVERGENCE_SQL = r"""WITH docs AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+ words AS (SELECT rid, lang, source, unnest(found) AS term FROM docs),
+ kept AS MATERIALIZED (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+ vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+ groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+ counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+ filled AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ p AS MATERIALIZED (SELECT lang, source, term, c, 1 + (1000000000 * (c + 2)) // (sum(c) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM filled JOIN vocabulary USING (lang)),
+ q AS (SELECT lang, term, 1 + (1000000000 * (c + 2)) // (sum(c) OVER (PARTITION BY lang) + 2 * v) AS q FROM (SELECT lang, term, sum(c) AS c FROM filled GROUP BY ALL) JOIN vocabulary USING (lang)),
+ sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+   LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+ tops AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM tops)
+ QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10"""
+
+
+SEARCH_SQL = r"""WITH found AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS f FROM documents),
+ docs AS MATERIALIZED (SELECT doc_id, rid, f, len(f) AS n FROM found WHERE len(f) > 0),
+ total AS (SELECT count(*) AS nd, sum(n) AS l FROM docs),
+ postings AS MATERIALIZED (SELECT doc_id, rid, n, term, count(*) AS tf FROM (SELECT doc_id, rid, n, unnest(f) AS term FROM docs) GROUP BY ALL),
+ lists AS (SELECT term, CAST(floor(1000 * ln((2 * CAST(nd AS DOUBLE) + 2) / (2 * CAST(df AS DOUBLE) + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), total),
+ items AS (SELECT DISTINCT item_id, q, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT *, row_number() OVER () AS q FROM benchmark)),
+ scores AS (SELECT item_id, q, doc_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l)))) AS score FROM items JOIN lists USING (term) JOIN postings USING (term), total GROUP BY ALL)
+ SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, rid) AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM scores WHERE score > 0
+ QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, rid) <= 10"""
+
+
+ORACLES: dict[str, str] = {"op3_sharding": sharding_sql(), "op11_divergence": DIVERGENCE_SQL, "op12_search": SEARCH_SQL, "op13_outliers": outliers_sql()}
