@@ -29,3 +29,15 @@ def places(df: DataFrame, key: str, place: str) -> DataFrame:
     moved = dealt.join(F.broadcast(df.sparkSession.createDataFrame(rows, "_part int, _before long")), "_part")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(key))
     return moved.withColumn(place, own + F.col("_before")).drop("_part", "_before")
+
+
+def running_before(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each in ``order`` (total) within ``keys``, 0 for the first.
+
+    Ranges of (keys, order) are summed apart and moved by the sums of the ranges before them, so the rows of one key may lie in many tasks.
+    """
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_own", own).join(bases, [*keys, "_part"]).withColumn(out, F.col("_own") + F.col("_base")).drop("_own", "_base", "_part")

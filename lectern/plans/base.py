@@ -45,6 +45,24 @@ def with_views(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in order) + " "
 
 
+def chunks_sql(source: str, key: str) -> str:
+    """Recursive CTEs ``walk`` and ``chunks`` (key, k, s, e, chunk): the chunks of ``source`` (unique key, text) by the rules of ``pages.spans``; rows with gone are no chunks."""
+    window = "substr(text, place + 1, 1000)"
+
+    def last(mark: str, size: int) -> str:
+        """Place of the last ``mark`` in the window of 1,000, -1 if there is none."""
+        return f"(CASE WHEN strpos(reverse({window}), {mark}) = 0 THEN -1 ELSE 1000 - strpos(reverse({window}), {mark}) - {size - 1} END)"
+
+    blank, line, stop = last("chr(10) || chr(10)", 2), last("chr(10)", 1), last("' .'", 2)
+    size = f"CASE WHEN {blank} >= 500 THEN {blank} + 2 WHEN {line} >= 500 THEN {line} + 1 WHEN {stop} >= 300 THEN {stop} + 2 ELSE 1000 END"
+    stripped = r"regexp_replace(piece, '^\s+|\s+$', '', 'g')"
+    return rf"""walk AS (SELECT {key}, text, length(text) AS n, 0 AS place, 0 AS step, CASE WHEN length(text) <= 1000 THEN NULL ELSE {size.replace('place + 1', '1')} END AS size FROM {source} WHERE regexp_matches(text, '\S')
+   UNION ALL SELECT {key}, text, n, place, step, CASE WHEN place + 1000 >= n THEN NULL ELSE {size} END FROM (SELECT {key}, text, n, place + greatest(size - 200, 1) AS place, step + 1 AS step FROM walk WHERE size IS NOT NULL) WHERE place < n),
+ pieces AS (SELECT {key}, n, step, place AS s, coalesce(place + size, n) AS e, size IS NULL AS tail, substr(text, place + 1, coalesce(size, n - place)) AS piece FROM walk),
+ told AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY step) - 1 AS k, count(*) OVER (PARTITION BY {key}) AS held, tail AND length({stripped}) < 100 AS short FROM pieces WHERE regexp_matches(piece, '\S')),
+ chunks AS (SELECT {key}, k, s, CASE WHEN lead(short) OVER w THEN n ELSE e END AS e, CASE WHEN lead(short) OVER w THEN piece || chr(10) || lead(piece) OVER w ELSE piece END AS chunk, short AND held > 1 AS gone FROM told WINDOW w AS (PARTITION BY {key} ORDER BY step))"""
+
+
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     """Registers a query under ``name`` and, where given, its SQL over ``views``."""
 

@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from lectern.plans import browse, changes, creatures, evidence, reader, relational, retrieval, scalars, streams
+from lectern.plans import browse, changes, creatures, evidence, projection, reader, relational, retrieval, scalars, streams
 from lectern.plans.base import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "browse", "changes", "creatures", "evidence", "reader", "relational", "retrieval", "scalars", "streams"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "browse", "changes", "creatures", "evidence", "projection", "reader", "relational", "retrieval", "scalars", "streams"]
 FLAGSHIP = "r_13_hybrid_search"

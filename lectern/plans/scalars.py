@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import pages
 from lectern.functions import text as T
-from lectern.plans.base import query
+from lectern.plans.base import chunks_sql, query
 from lectern.sources.views import docs, entries, table
 
 
-@query("t_01_chunks")
+@query("t_01_chunks", "WITH RECURSIVE " + chunks_sql("documents", "doc_id") + " SELECT doc_id, source || ':' || lang AS source_id, k AS chunk_index, s AS span_start, e AS span_end, md5(chunk) AS chunk_md5 FROM chunks JOIN documents USING (doc_id) WHERE NOT gone")
 def t_01(spark, sf):
     """Chunks of every document; sequential within a document, parallel across documents."""
     return pages.chunked(docs(spark, sf).select("doc_id", "source_id", "text")).select("doc_id", "source_id", "chunk_index", "span_start", "span_end", F.md5("chunk").alias("chunk_md5"))
