@@ -5,13 +5,13 @@ queries, dealt by ranges of (term, impact descending): a list lies in one
 partition or in consecutive ones, its head first. A posting's contribution to
 a query is the term's weight times its impact. Three phases, for all queries at once:
 
-1. The heads of all lists, as long as the result, give partial sums; the last
-   one that a result of that length would take is a lower bound of its scores.
-2. The bound shared evenly by a query's lists is a threshold that holds in
-   each: a document below it in all of them can't be in the result. All
-   postings at or above it are fetched; partial sums give a better bound, and
-   what the unseen lists could add at most (the threshold, or a list's largest
-   contribution if that is less) an upper bound for each document.
+1. The heads of all lists, as long as the result, name documents whose exact
+   scores are looked up; the last one that a result of that length would take is a lower bound.
+2. One threshold holds for all lists of a query: the highest at which a
+   document below it in all of them stays below SHARE of the bound, where a
+   list counts with its largest contribution if that is less. All postings at
+   or above it are fetched and dealt by document, once for all queries;
+   partial sums and what the unseen lists could add give an upper bound for each document.
 3. The exact scores of documents whose upper bound reaches the lower one are looked up.
 """
 
@@ -30,6 +30,8 @@ from lectern.llm.shared import discard, extended, join_labels, materialise, part
 
 #: Distinct query terms up to which tasks get them as a list, and joins as a broadcast (some MB); with more, a join leaves the same postings.
 LISTED = 200_000
+#: Part of the lower bound that the threshold leaves to unseen lists: with all of it every fetched document would stay, with less more is fetched and less stays.
+SHARE = 8
 POSTINGS = "doc bigint, n bigint, term string, tf bigint"
 
 
@@ -75,6 +77,19 @@ def top(rows: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def thresholds(lists: DataFrame) -> DataFrame:
+    """``lists`` (q, term, n, w, most, m, bound) to (q, term, n, w, least, cap): the impact from which a list is fetched, and what it adds at most to a document that it isn't fetched for.
+
+    level is the largest number with sum(min(level, largest contribution)) below
+    1 / SHARE of the bound: lists in ascending order of that contribution, and the first from which on the rest, shared evenly, is no more than it.
+    """
+    w = Window.partitionBy("q").orderBy("largest", "term")  # the terms of one query
+    placed = lists.withColumn("largest", F.col("w") * F.col("most")).withColumn("place", F.row_number().over(w) - 1).withColumn("below", F.sum("largest").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("largest"))
+    share = placed.withColumn("share", F.expr(f"greatest(0L, bound div {SHARE} - 1 - below) div (m - place)"))
+    level = share.where("share <= largest").groupBy("q").agg(F.min_by("share", "place").alias("level"))
+    return share.join(level, "q").selectExpr("q", "term", "n", "w", "bound", "level div w + 1 AS least", "least(level, largest) AS cap")
+
+
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (item id, rank, document id, score): the ``k`` documents with the highest scores above 0 for each item.
 
@@ -111,32 +126,27 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str =
     count = lists.select("term").distinct().count()
     by_term = lists.groupBy("term").agg(F.first("n").alias("n"))
 
-    def least_sum(sums: DataFrame, name: str) -> DataFrame:
-        """Per query the partial sum at rank ``k``."""
-        return top(sums, "q", [F.desc("partial")], k).where(F.col("rank") == k).select("q", F.col("partial").alias(name))
+    def exact(pairs: DataFrame) -> DataFrame:
+        """``pairs`` (q, doc) with score and doc_id, from the postings of these documents alone."""
+        held = sieved(index, pairs.select("doc").distinct(), "doc", pairs.count(), "met").where("met").drop("met")
+        looked = pairs.join(lists.select("q", "term", "w"), "q").join(held, ["doc", "term"])
+        return looked.groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.first("doc_id").alias("doc_id"))
 
-    heads = top(on_terms(index, by_term, count, total), "term", order[1:], k).select("term", "doc", "impact")
-    first = heads.join(lists, "term").groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("impact")).alias("partial"))
-    bounds = lists.join(least_sum(first, "bound"), "q", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
-    # m times a contribution, so that the threshold bound / m needs no fraction; cap is what m times an unseen contribution stays within
-    bounds = bounds.selectExpr("q", "term", "w", "m", "n", "bound", "greatest(1L, (bound + m * w - 1) div (m * w)) AS least", "least(bound, m * w * most) AS cap")
-    bounds = materialise(bounds)
-    discard(lists)
+    heads = top(on_terms(index, by_term, count, total), "term", order[1:], k)
+    first = materialise(heads.select("term", "doc").join(lists.select("q", "term"), "term").select("q", "doc").distinct())
+    bound = top(exact(first), "q", [F.desc("score")], k).where(F.col("rank") == k).select("q", F.col("score").alias("bound"))
+    bounds = materialise(thresholds(lists.join(bound, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))))
+    discard(first)
 
     reach = bounds.groupBy("term").agg(F.first("n").alias("n"), F.min("least").alias("reach"))
-    fetched = on_terms(index, reach, count, total).where("impact >= reach").select("term", "doc", "impact")
-    seen = fetched.join(bounds.drop("n"), "term").where("impact >= least")
-    sums = materialise(seen.groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("impact")).alias("partial"), F.sum("cap").alias("caps"), F.first("m").alias("m")))
-    open_sum = bounds.groupBy("q").agg(F.sum("cap").alias("all_caps"))
-    both = sums.join(open_sum, "q").join(least_sum(sums, "second"), "q", "left")
-    candidates = materialise(both.where("partial * m + all_caps - caps >= coalesce(second, 0) * m").select("q", "doc"))
-    discard(sums)
-
-    lookups = candidates.join(bounds.select("q", "term", "w"), "q")
-    held = sieved(index, candidates.select("doc").distinct(), "doc", candidates.count(), "met").where("met").drop("met")
-    exact = lookups.join(held, ["doc", "term"]).groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.first("doc_id").alias("doc_id"))
-    best = top(exact.where("score > 0"), "q", [F.desc("score"), F.asc_nulls_first("doc_id"), F.asc("doc")], k)
+    fetched = on_terms(index, reach, count, total).where("impact >= reach").select("term", "doc", "impact").repartition(partitions_for(spark, total, 1_000_000), "doc")
+    each = bounds.select("q", "term", "w", "least", "cap")
+    seen = fetched.join(F.broadcast(each) if lists.count() <= LISTED else each, "term").where("impact >= least")
+    sums = seen.groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("impact")).alias("partial"), F.sum("cap").alias("caps"))
+    whole = bounds.groupBy("q").agg(F.sum("cap").alias("all_caps"), F.first("bound").alias("bound"))  # a row a query
+    candidates = materialise(sums.join(F.broadcast(whole) if lists.count() <= LISTED else whole, "q").where("partial + all_caps - caps >= bound").select("q", "doc"))
+    best = top(exact(candidates).where("score > 0"), "q", [F.desc("score"), F.asc_nulls_first("doc_id"), F.asc("doc")], k)
     result = materialise(best.join(asked.select("q", "item_id"), "q").select(F.col("item_id").alias(item_id), "rank", F.col("doc_id").alias(id_col), "score"))
-    for used in (candidates, bounds, index, asked):
+    for used in (candidates, bounds, lists, index, asked):
         discard(used)
     return result
