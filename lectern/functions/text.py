@@ -146,6 +146,30 @@ def stable_key(name: str, limit: int = 128) -> str:
     return re.sub(r"[^a-z0-9]+", "-", letters.lower()).strip("-")[:limit].rstrip("-")
 
 
+def unaccented() -> tuple[str, str]:
+    """Composed Latin letters and the plain letter that each decomposes to, by Unicode's tables."""
+    import unicodedata
+
+    pairs = [(chr(n), unicodedata.normalize("NFKD", chr(n))) for n in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    plain = [(c, "".join(x for x in d if not unicodedata.combining(x))) for c, d in pairs]
+    held = [(c, d.lower()) for c, d in plain if len(d) == 1 and d.isascii() and c != d]
+    return "".join(c for c, _ in held), "".join(d for _, d in held)
+
+
+def stable_slug(c: str | Column, limit: int = 128) -> Column:
+    """``stable_key`` of composed text in Latin and Cyrillic letters, without Python."""
+    x = F.lower(col(c))
+    for a, b in zip(CYRILLIC, LATIN):
+        if len(b) > 1:
+            x = F.replace(x, F.lit(a), F.lit(b))
+    single = [(a, b) for a, b in zip(CYRILLIC, LATIN) if len(b) == 1]
+    accents, letters = unaccented()
+    x = F.translate(x, "".join(a for a, _ in single) + accents, "".join(b for _, b in single) + letters)
+    silent = "".join(a for a, b in zip(CYRILLIC, LATIN) if not b)
+    x = F.regexp_replace(F.translate(x, silent, ""), "[^a-z0-9]+", "-")
+    return F.regexp_replace(F.substring(F.regexp_replace(x, "^-+|-+$", ""), 1, limit), "-+$", "")
+
+
 def snippet(text: str, words: list[str], fragments: int = 2, width: int = 35) -> str:
     """Up to ``fragments`` runs of at most ``width`` words that hold the most wanted words, in text order, wanted words in [[ ]]; the beginning if none is held."""
     import re
