@@ -233,7 +233,7 @@ def progression(text: Column, lines: Column, russian: Column) -> Column:
     """A class or subclass: hit die, abilities, parents, and a table of exactly LEVELS levels in order."""
     found = F.struct(
         place(lines, "^(?:Class|Класс|Subclass|Подкласс)$").alias("k"),
-        place(lines, r"(?=.*\|)(?=.*(?:Level|Уровень))(?=.*(?:Features|Умения))").alias("h"),
+        place(lines, r"^(?=.*\|)(?=.*(?:Level|Уровень))(?=.*(?:Features|Умения))").alias("h"),
         *[value_of(lines, rf"^(?:{EITHER[f]})\s*:\s*(.+)$").alias(f) for f in ("hitDie", "primaryAbility", "spellcastingAbility", "parentClassIds")],
     )
 
