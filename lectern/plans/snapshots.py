@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import guides as G
+from lectern.operators import snapshots as S
 from lectern.plans.base import query
 from lectern.sources import cards
 from lectern.sources.views import table
@@ -54,3 +55,54 @@ def x_09(spark, sf):
     )
     guides = table(spark, sf, "documents").select(F.col("doc_id").alias("guide_id"), "text", made.alias("blocks"))
     return G.quoted_blocks(guides).withColumn("quote_md5", F.md5("quote")).drop("quote")
+
+
+#: A page's metadata by page_id % 6, as SQL that both engines run.
+METADATA = """CASE page_id % 6
+ WHEN 0 THEN '{"hit_die":"d' || CASE page_id % 5 WHEN 0 THEN '6' WHEN 1 THEN '8' WHEN 2 THEN '10' WHEN 3 THEN '12' ELSE '20' END || '","primary_ability":" Dex ","parent_class_ids":' || CASE WHEN page_id % 4 = 0 THEN 'null' ELSE '["' || CAST(page_id - 6 AS STRING) || '"]' END
+   || ',"features":[{"canonicalId":"feature-' || CAST(page_id AS STRING) || '","title":"Gain","body":"More","level":' || CAST(page_id % 25 AS STRING) || ',"anchor":"gain"}],"cross_links":["species-' || CAST(page_id + 1 AS STRING) || '","7"]}'
+ WHEN 1 THEN '{"size":"Large","speed":' || CAST(page_id % 40 AS STRING) || ',"parentSpeciesIds":' || CASE WHEN page_id % 4 = 1 THEN '[]' ELSE '"species-' || CAST(page_id - 12 AS STRING) || '"' END || ',"crossLinks":["class-' || CAST(page_id - 1 AS STRING) || '"],"traits":[]}'
+ WHEN 2 THEN '{"level":' || CAST(page_id % 12 AS STRING) || ',"school":"Evocation","casting_time":"1 action","range":" ","duration":"1 hour","components":"V","ritual":true}'
+ WHEN 3 THEN '{"size":"tiny","creature_type":"beast","armor_class":' || CAST(page_id % 60 AS STRING) || ',"hit_points":9,"challenge_rating":0.25,"speed":"30 ft."}'
+ WHEN 4 THEN '{"category":"Weapon","cost_cp":' || CAST(page_id AS STRING) || ',"colour":"red"}' ELSE 'no json' END"""
+
+
+def details(spark, sf):
+    """Pages as collected details; their language is that of the address, of which all are one source."""
+    p = table(spark, sf, "pages")
+    kinds = F.element_at(F.array(*[F.lit(c) for c in ("class", "species", "spells", "bestiary", "equipment", "maps")]), (F.col("page_id") % 6 + 1).cast("int"))
+    return p.select(
+        F.col("page_id").cast("string").alias("external_id"), kinds.alias("category"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit("text").alias("body"), F.expr(METADATA).alias("metadata"),
+        F.lit("snapshot").alias("source_id"), F.lit("5.5e").alias("edition"), F.regexp_extract("url", "//[^/]*/([a-z]+)", 1).alias("language"),
+    )
+
+
+DETAILS = f"""meta AS (SELECT page_id AS k, page_id % 6 AS form, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '//[^/]*/([a-z]+)', 1) AS language, {METADATA} AS metadata FROM pages),
+ kinds AS (SELECT *, ['class', 'species', 'spell', 'creature', 'equipment', NULL][form + 1] AS type, CASE WHEN form < 5 THEN json(metadata) END AS m FROM meta)"""
+
+
+@query(
+    "x_08_typed",
+    f"""WITH {DETAILS} SELECT type || '-' || k AS entry_id, type, CAST(k AS VARCHAR) AS external_id, language, array_to_string(list_sort(list_filter([CASE WHEN title = '' THEN '$.title text' END, CASE WHEN type IS NULL THEN '$.category choice' END,
+     CASE WHEN form = 0 AND NOT regexp_matches(m->>'hit_die', '(6|8|10|12)') THEN '$.attributes.hitDie choice' END, CASE WHEN form = 0 AND CAST(m->'features'->0->>'level' AS INTEGER) NOT BETWEEN 1 AND 20 THEN '$.attributes.features[0].level number' END,
+     CASE WHEN form = 1 AND CAST(m->>'speed' AS INTEGER) < 1 THEN '$.attributes.speed number' END, CASE WHEN form = 2 AND CAST(m->>'level' AS INTEGER) > 9 THEN '$.attributes.level number' END, CASE WHEN form = 2 AND trim(m->>'range') = '' THEN '$.attributes.range text' END,
+     CASE WHEN form = 3 AND CAST(m->>'armor_class' AS INTEGER) NOT BETWEEN 1 AND 50 THEN '$.attributes.armorClass number' END], lambda x: x IS NOT NULL)), ';') AS issues,
+     CASE form WHEN 0 THEN CASE WHEN m->>'parent_class_ids' IS NULL THEN 'class' ELSE 'subclass' END WHEN 1 THEN CASE WHEN m->>'parentSpeciesIds' = '[]' THEN 'species' ELSE 'variant' END END AS kind FROM kinds""",
+)
+def x_08_typed(spark, sf):
+    """Typed candidates of all details, with the paths that break their schema."""
+    told = F.array_join(F.transform("issues", lambda i: F.concat_ws(" ", i["path"], i["rule"])), ";")
+    return S.typed(details(spark, sf)).select("entry_id", "type", "external_id", "language", told.alias("issues"), F.get_json_object("attributes", "$.kind").alias("kind"))
+
+
+@query(
+    "x_08_links",
+    f"""WITH {DETAILS}, wanted AS (SELECT type || '-' || k AS entry_id, language, 'parent' AS relation, CASE form WHEN 0 THEN 'class-' || (m->'parent_class_ids'->>0) ELSE m->>'parentSpeciesIds' END AS target, 0 AS position FROM kinds WHERE (form = 0 AND m->>'parent_class_ids' IS NOT NULL) OR (form = 1 AND m->>'parentSpeciesIds' <> '[]')
+     UNION ALL SELECT type || '-' || k, language, 'feature', m->'features'->0->>'canonicalId', 0 FROM kinds WHERE form = 0 UNION ALL SELECT type || '-' || k, language, 'cross_link', m->'cross_links'->>0, 0 FROM kinds WHERE form = 0
+     UNION ALL SELECT type || '-' || k, language, 'cross_link', m->'cross_links'->>1, 1 FROM kinds WHERE form = 0 UNION ALL SELECT type || '-' || k, language, 'cross_link', m->'crossLinks'->>0, 0 FROM kinds WHERE form = 1),
+     known AS (SELECT language, type || '-' || k AS target FROM kinds WHERE type IS NOT NULL UNION ALL SELECT language, m->'features'->0->>'canonicalId' FROM kinds WHERE form = 0)
+     SELECT w.entry_id, w.language, relation, w.target, position, CASE WHEN k.target IS NULL THEN 'unresolved' ELSE 'resolved' END AS state FROM wanted w LEFT JOIN (SELECT DISTINCT * FROM known) k ON k.language = w.language AND k.target = w.target""",
+)
+def x_08_links(spark, sf):
+    """Links of classes and species to parents, features and others of their source, edition and language."""
+    return S.links(S.typed(details(spark, sf))).select("entry_id", "language", "relation", "target", "position", "state")
