@@ -147,6 +147,27 @@ def g_06(spark, sf):
     return r.select("question", "reason", F.col("reason").isNull().alias("confident"), F.when(F.col("kept"), F.md5(answer)).alias("answer_md5"), cited.alias("citations"))
 
 
+SAID = "CASE reason " + " ".join(f"WHEN '{k}' THEN CASE WHEN question % 2 = 0 THEN '{E.SAID_INSTEAD['en'][k]}' ELSE '{v}' END" for k, v in E.SAID_INSTEAD["ru"].items()) + " END"
+
+
+@query(
+    "g_06_answers",
+    f"""WITH {OFFERED}, {RELEVANT}, firsts AS (SELECT question, list(chunk || ':' || md5(quote) ORDER BY chunk)[:3] AS cited FROM (SELECT question, chunk, quote FROM offered WHERE regexp_matches(id, ':S1$')) GROUP BY 1),
+    reasons AS (SELECT r.*, CASE WHEN rejected OR k = 3 THEN 'malformed_selection' WHEN k = 0 THEN 'no_selection' WHEN NOT answers THEN 'irrelevant_selection' WHEN normalized THEN 'selection_normalized' END AS reason FROM relevant r)
+    SELECT question, reason, CASE WHEN reason IS NULL OR reason = 'selection_normalized' THEN text ELSE {SAID} END AS answer, CASE WHEN reason IS NULL OR reason = 'selection_normalized' THEN (SELECT o.chunk || ':' || md5(o.quote) FROM offered o WHERE o.question = r.question AND o.id = 'C1:S1') ELSE array_to_string(cited, ',') END AS cited
+    FROM reasons r JOIN firsts USING (question)""",
+)
+def g_06_answers(spark, sf):
+    """The answer that each question gets, whatever the model said, and what it cites: its segments, or the first ones of the chunks."""
+    o = offered(spark, sf)
+    n = o.groupBy("question").agg(F.count_distinct("chunk").alias("n"))
+    r = relevance(spark, sf).join(n, "question", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    reason = E.grounded(F.col("rejected"), F.col("ids"), F.col("segments"), F.coalesce("answers", F.lit(False)), F.col("normalized"), F.col("n"))
+    r = r.withColumn("reason", reason).withColumn("language", F.when(F.col("question") % 2 == 0, "en").otherwise("ru"))
+    cited = F.array_join(F.transform("cited", lambda c: F.concat(c["chunk"], F.lit(":"), F.md5(c["quote"]))), ",")
+    return E.answered(r, o).select("question", "reason", "answer", cited.alias("cited"))
+
+
 N = E.SUPPORT_CHARS
 PARTS = rf"""flatten(list_transform(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda l: regexp_replace(regexp_replace(l, '[\s\x0B\p{{Z}}]+', ' ', 'g'), {EDGES}, '', 'g')), lambda l: l <> ''),
    lambda l: CASE WHEN contains(l, '|') THEN [l] ELSE string_split(regexp_replace(l, '([.!?;]) ', '\1' || chr(1), 'g'), chr(1)) END))"""
