@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import evidence as E
 from lectern.functions.text import first_sentence
+from lectern.operators.support import claim_support
 from lectern.plans.base import query
 from lectern.sources.views import docs, table
 
@@ -216,6 +217,35 @@ def g_09(spark, sf):
     return E.rows(joined, page, ["parts"], "message int, n int")
 
 
+def cited_claims(spark, sf):
+    """(claims, cites): the last sentence of each document's first line as a claim. It cites its document; every third the next one too, every fifth only that, every seventh nothing."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("claim_id"), F.regexp_extract(F.regexp_extract("text", r"^([^\n]*)", 1), r"([^.]*)\.?$", 1).alias("claim"))
+    k = F.col("claim_id")
+    chunks = F.when(k % 7 == 0, F.array().cast("array<bigint>")).when(k % 5 == 0, F.array(k + 1)).when(k % 3 == 0, F.array(k, k + 1)).otherwise(F.array(k))
+    return d, d.select("claim_id", F.explode(chunks).alias("chunk_id"))
+
+
+@query(
+    "g_07_cited_support",
+    rf"""WITH made AS (SELECT doc_id, regexp_extract(regexp_extract(text, '^([^\n]*)', 1), '([^.]*)\.?$', 1) AS claim FROM documents), claims AS (SELECT doc_id AS claim_id, {form_sql('claim', True)} AS form FROM made),
+     cites AS (SELECT claim_id, unnest(CASE WHEN claim_id % 7 = 0 THEN CAST([] AS BIGINT[]) WHEN claim_id % 5 = 0 THEN [claim_id + 1] WHEN claim_id % 3 = 0 THEN [claim_id, claim_id + 1] ELSE [claim_id] END) AS chunk_id FROM claims),
+     parts AS (SELECT doc_id, unnest({PARTS}) AS p FROM documents),
+     cut AS (SELECT doc_id, unnest(CASE WHEN length(p) <= {N} THEN [p] ELSE regexp_extract_all(p, '(?s)\s*(.{{1,{N}}}$|.{{{N // 2},{N}}} |.{{{N}}})', 1) END) AS s FROM parts),
+     forms AS MATERIALIZED (SELECT doc_id AS chunk_id, {form_sql('s')} AS f FROM cut),
+     kinds AS (SELECT *, form <> '' AND NOT regexp_matches(form, '^(?: (?:label-[a-z]+|unit-[a-z]+|{E.NUMBER}) )* (?:{'|'.join(E.PRONOUNS['en'])}) ') AS bound FROM claims),
+     each_ AS (SELECT c.claim_id, c.chunk_id, coalesce(bool_or(contains(f.f, k.form)), false) AS ok FROM cites c JOIN kinds k USING (claim_id) LEFT JOIN forms f USING (chunk_id) WHERE bound GROUP BY ALL),
+     division AS (SELECT claim_id, bool_and(ok) AS ok FROM each_ GROUP BY 1),
+     judged AS (SELECT k.*, coalesce(ok, false) AS supported, list_filter(string_split(form, ' '), lambda t: t <> '') AS tokens FROM kinds k LEFT JOIN division USING (claim_id)),
+     evidence AS (SELECT claim_id, list(DISTINCT t) AS have FROM (SELECT c.claim_id, unnest(string_split(f.f, ' ')) AS t FROM cites c JOIN forms f USING (chunk_id)) GROUP BY 1)
+     SELECT j.claim_id, supported, array_to_string(CASE WHEN supported THEN CAST([] AS VARCHAR[]) WHEN NOT bound THEN list_filter(tokens, lambda t: list_contains({list(E.PRONOUNS['en'])}, t)) ELSE list_filter(tokens, lambda t: NOT coalesce(list_contains(have, t), false)) END, ' ') AS unsupported FROM judged j LEFT JOIN evidence e USING (claim_id)""",
+)
+def g_07_cited(spark, sf):
+    """Claims against every chunk that they cite, with the tokens that none of these has."""
+    claims, cites = cited_claims(spark, sf)
+    got = claim_support(claims, cites, table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return got.withColumn("unsupported", F.array_join("unsupported", " "))
+
+
 KINDS = (
     ("spell", "\nCasting Time: 1 action"), ("creature", "\nКласс Доспеха: 13\nХиты 11"), ("equipment", "\n| Item | Cost |"), ("class", "\n| Level | Features |\nHit Die: d8"),
     ("species", "\nРаса\nРазмер: средний"), ("equipment", "\nequipment of little cost"), ("feature", "\n3rd-Level Rogue Feature"), ("feat", "\na feat of strength"),

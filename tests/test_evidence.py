@@ -123,3 +123,29 @@ def test_claims_meet_segments_anywhere(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in QUERIES["g_07_supported_claims"](spark, str(tmp_path)).collect()}
     assert got == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_cited_support(spark):
+    from lectern.operators.support import claim_support
+
+    chunks = spark.createDataFrame([(1, "Speed 30 ft. The elf has keen sight."), (2, "Speed 30 feet\nArmor Class 15"), (3, None)], "chunk_id int, text string")
+    claims = [(1, "Speed 30 feet"), (2, "Speed 30 feet"), (3, "Speed 40 ft"), (4, "It has keen sight"), (5, ""), (6, "Speed 30 feet"), (7, None), (8, "15 armor class"), (9, "Speed 30 feet")]
+    cites = [(1, 1), (1, 2), (2, 1), (2, 3), (3, 1), (3, 2), (4, 1), (5, 1), (8, 2), (8, 2), (9, 99)]
+    got = claim_support(spark.createDataFrame(claims, "claim_id int, claim string"), spark.createDataFrame(cites, "claim_id int, chunk_id int"), chunks)
+    assert {r.claim_id: (r.supported, r.unsupported) for r in got.collect()} == {
+        1: (True, []), 2: (False, []), 3: (False, ["40"]), 4: (False, ["it"]), 5: (False, []), 6: (False, ["label-speed", "30", "unit-ft"]), 7: (False, []), 8: (True, []), 9: (False, ["label-speed", "30", "unit-ft"]),
+    }
+
+
+def test_fallback_answers(spark):
+    from lectern.functions import evidence as E
+
+    offered = spark.createDataFrame([(1, f"C{c}:S{s}", c, f"q{c}{s}", f"t{c}{s}") for c in range(1, 12) for s in (1, 2)], "question int, id string, chunk int, quote string, text string")
+    segments = "segments array<struct<at:int,id:string,text:string,quote:string,chunk:int>>"
+    kept = [(0, "C2:S1", "t21", "q21", 2), (1, "C2:S2", "t22", "q22", 2), (2, "C2:S1", "t21", "q21", 2)]
+    rows = [(1, "en", None, kept), (1, "ru", "selection_normalized", kept), (1, "en", "no_selection", []), (1, "ru", "malformed_selection", None), (2, None, "insufficient_retrieval", None)]
+    got = E.answered(spark.createDataFrame(rows, f"question int, language string, reason string, {segments}"), offered).collect()
+    by = {(r.question, r.reason): (r.answer, [tuple(c) for c in r.cited], r.confident) for r in got}
+    assert by[1, None] == ("t21\n\nt22\n\nt21", [(2, "q21"), (2, "q22")], True) and by[1, "selection_normalized"][2] is False
+    assert by[1, "no_selection"] == (E.SAID_INSTEAD["en"]["no_selection"], [(1, "q11"), (2, "q21"), (3, "q31")], False)
+    assert by[1, "malformed_selection"][0] == E.SAID_INSTEAD["ru"]["malformed_selection"] and by[2, "insufficient_retrieval"] == (E.SAID_INSTEAD["en"]["insufficient_retrieval"], [], False)
