@@ -15,6 +15,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; one of our own only where that is unset, on one machine. Raises on a cluster without it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if not spark.sparkContext.getCheckpointDir():  # named for this session alone
+            spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
         if not spark.sparkContext.master.startswith("local"):
