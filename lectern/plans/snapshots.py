@@ -8,6 +8,7 @@ from lectern.operators import guides as G
 from lectern.operators import snapshots as S
 from lectern.plans.base import query
 from lectern.sources import cards
+from lectern.sources.stores import checkpoint_dir
 from lectern.sources.views import table
 
 
@@ -105,4 +106,5 @@ def x_08_typed(spark, sf):
 )
 def x_08_links(spark, sf):
     """Links of classes and species to parents, features and others of their source, edition and language."""
-    return S.links(S.typed(details(spark, sf))).select("entry_id", "language", "relation", "target", "position", "state")
+    checkpoint_dir(spark)
+    return S.links(S.typed(details(spark, sf)).checkpoint()).select("entry_id", "language", "relation", "target", "position", "state")
