@@ -110,3 +110,13 @@ def citation_rows(published: DataFrame, heading: str = "heading") -> DataFrame:
         F.col("c.start").alias("start"),
         F.col("c.stop").alias("stop"),
     )
+
+
+#: Statuses of a candidate that a decision is allowed on; other decisions are allowed on all.
+DECISIONS = {"approve": ("new", "changed", "unchanged"), "merge": ("new", "changed", "unchanged", "duplicate", "invalid"), "unpublish": ("missing",)}
+
+
+def decided(rows: DataFrame, status: str = "status", decision: str = "decision") -> DataFrame:
+    """``rows`` with allowed: whether the decision may be made on the status; false for a null status."""
+    ok = reduce(lambda c, kv: F.when(F.col(decision) == kv[0], F.col(status).isin(*kv[1])).otherwise(c), DECISIONS.items(), F.col(status).isNotNull())
+    return rows.withColumn("allowed", F.coalesce(ok, F.lit(False)))

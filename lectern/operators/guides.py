@@ -62,3 +62,16 @@ def quoted_blocks(guides: DataFrame) -> DataFrame:
     found = found.withColumn("problem", problem)
     sound = F.col("problem").isNull()
     return found.select("guide_id", "block", "quote", F.when(sound, F.col("at")).alias("start"), F.when(sound, F.col("at") + F.length("quote")).alias("end"), "problem")
+
+
+#: Fixed value: roles that read guides of every tier.
+FULL_ROLES = ("premium", "admin")
+
+
+def readable_guides(guides: DataFrame, readers: DataFrame) -> DataFrame:
+    """``guides`` (slug, locale, access_tier, ..) that each of ``readers`` (reader, role, locale) may read: those of its locale that are open, or all of that locale for a full role.
+
+    An equi-join on the locale; unknown roles and null tiers read and are read as the least.
+    """
+    met = guides.join(readers, "locale")
+    return met.where(F.coalesce(F.col("access_tier") == "open", F.lit(False)) | F.coalesce(F.col("role").isin(*FULL_ROLES), F.lit(False)))

@@ -191,6 +191,26 @@ def expand_query(text: str, glossary: list[tuple[str, list[str]]], bilingual: li
     return out
 
 
+def expanded(queries: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(query_id, text, weight, place): each of ``queries`` (query_id, text) at weight 1 and what ``glossary`` (term, other, weight) adds to it, best first.
+
+    A term counts where its tokens stand in the query in a row, without regard to case. A text comes once a query, at its highest
+    weight and in the spelling that is first in byte order; the query's own text is not repeated. Terms meet queries by their
+    first token, so the join grows with the queries' tokens; terms without tokens and nulls add nothing.
+    """
+
+    def spaced(c: str):
+        return F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
+
+    q = queries.where("text IS NOT NULL").select("query_id", F.col("text").alias("own"), spaced("text").alias("said"))
+    g = glossary.where("term IS NOT NULL AND other IS NOT NULL").select(F.get(tokens("term"), F.lit(0)).alias("token"), spaced("term").alias("term"), "other", "weight").where("token IS NOT NULL")
+    met = q.select("query_id", "own", "said", F.explode(F.array_distinct(tokens("own"))).alias("token")).join(g, "token").where(F.contains("said", "term"))
+    found = met.where(F.lower("own") != F.lower("other")).groupBy("query_id", F.lower("other").alias("low")).agg(F.max("weight").alias("weight"), F.min("other").alias("text"))
+    rows = q.select("query_id", F.col("own").alias("text"), F.lit(1.0).alias("weight"), F.lit(0).alias("_k")).unionByName(found.select("query_id", "text", F.col("weight").cast("double").alias("weight"), F.lit(1).alias("_k")))
+    order = Window.partitionBy("query_id").orderBy("_k", F.desc("weight"), "text")
+    return rows.withColumn("place", F.row_number().over(order) - 1).drop("_k")
+
+
 def combined(expansions: list[tuple[str, float]], named: list[str] = ()) -> str:
     """Alternatives joined by OR, then quoted entity names."""
     return " OR ".join([*(t for t, _ in expansions), *(f'"{n.replace(chr(34), "")}"' for n in named)])

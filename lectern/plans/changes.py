@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import changes as cdc
 from lectern.operators import graph
+from lectern.operators.extraction import decided
 from lectern.plans.base import query
 from lectern.sources.stores import checkpoint_dir, export, new_path, write_jsonl
 from lectern.sources.views import docs, entries, table, versions
@@ -340,6 +341,16 @@ def x_11(spark, sf):
     return both.select("status", "decision", allowed.alias("allowed"))
 
 
+@query(
+    "x_11_decisions",
+    "SELECT k, occurrence, status, decision, CASE decision WHEN 'approve' THEN status IN ('new', 'changed', 'unchanged') WHEN 'merge' THEN status <> 'missing' WHEN 'unpublish' THEN status = 'missing' ELSE true END AS allowed FROM (SELECT *, ['approve', 'merge', 'unpublish', 'reject'][length(k) % 4 + 1] AS decision FROM (" + CANDIDATES + "))",
+)
+def x_11_decisions(spark, sf):
+    """A decision on each candidate of the diff, and whether its status allows it."""
+    decision = F.element_at(F.array(*map(F.lit, ("approve", "merge", "unpublish", "reject"))), F.length("k") % 4 + 1)
+    return decided(candidate_rows(spark, sf).withColumn("decision", decision)).select("k", "occurrence", "status", "decision", "allowed")
+
+
 @query("x_16_card_fingerprint", """SELECT p_partkey, sha256('{"brand":"' || p_brand || '","name":"' || p_name || '"}') = sha256('{"brand":"' || CASE WHEN p_partkey % 9 = 0 THEN 'other' ELSE p_brand END || '","name":"' || p_name || '"}') AS intact FROM part""")
 def x_16(spark, sf):
     """Recorded fingerprints of cards (every ninth recorded wrongly) against the hash of their canonical JSON."""

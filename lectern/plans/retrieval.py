@@ -107,6 +107,23 @@ def r_06(spark, sf):
     return spark.range(1).select(F.inline(rows))
 
 
+@query(
+    "r_06_expanded",
+    r"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, text, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda t: t <> '') AS said FROM conversations WHERE role = 'user'),
+     words AS (SELECT item_id, list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda t: t <> '') AS w FROM benchmark),
+     glossary AS (SELECT w[1] AS term, w[3] AS other, 0.8 AS weight FROM words WHERE len(w) > 2 UNION ALL SELECT w[2] || ' ' || w[3], w[1], 0.7 FROM words WHERE len(w) > 2),
+     met AS (SELECT query_id, lower(other) AS low, max(weight) AS weight, min(other) AS text FROM q JOIN glossary ON contains(' ' || array_to_string(said, ' ') || ' ', ' ' || lower(term) || ' ') WHERE lower(q.text) <> lower(other) GROUP BY 1, 2)
+     SELECT query_id, text, weight, row_number() OVER (PARTITION BY query_id ORDER BY k, weight DESC, text) - 1 AS place FROM (SELECT query_id, text, 1.0 AS weight, 0 AS k FROM q UNION ALL SELECT query_id, text, weight, 1 FROM met)""",
+)
+def r_06_expanded(spark, sf):
+    """What users asked, expanded by a glossary made from the benchmark's first words: a word's alias at 0.8, a phrase's at 0.7."""
+    asked = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    w = table(spark, sf, "benchmark").select(F.filter(F.split("text", r"[^\p{L}\p{N}_]+"), lambda t: t != "").alias("w")).where("size(w) > 2")
+    one = w.select(F.get("w", F.lit(0)).alias("term"), F.get("w", F.lit(2)).alias("other"), F.lit(0.8).alias("weight"))
+    two = w.select(F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("term"), F.get("w", F.lit(0)).alias("other"), F.lit(0.7).alias("weight"))
+    return R.expanded(asked, one.unionByName(two))
+
+
 FUSED = """f AS (SELECT chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, arg_min(strategy, ix) AS strategy FROM
    (SELECT chunk_id, rank, 'entity' AS strategy, 0 AS ix FROM ent UNION ALL SELECT chunk_id, rank, 'keyword', 1 FROM kw UNION ALL SELECT chunk_id, rank, 'vector', 2 FROM vec) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 60)"""
 

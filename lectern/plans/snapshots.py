@@ -9,7 +9,7 @@ from lectern.operators import snapshots as S
 from lectern.plans.base import query
 from lectern.sources import cards
 from lectern.sources.stores import checkpoint_dir
-from lectern.sources.views import table
+from lectern.sources.views import docs, table
 
 
 def carded(spark, sf):
@@ -108,3 +108,15 @@ def x_08_links(spark, sf):
     """Links of classes and species to parents, features and others of their source, edition and language."""
     checkpoint_dir(spark)
     return S.links(S.typed(details(spark, sf)).checkpoint()).select("entry_id", "language", "relation", "target", "position", "state")
+
+
+@query(
+    "f_12_readable_guides",
+    "SELECT 'doc-' || doc_id AS slug, language AS locale, reader FROM docs JOIN (SELECT l.lang, r.role || '-' || l.lang AS reader, r.role FROM (SELECT unnest(['user', 'premium', 'admin']) AS role) r, (SELECT unnest(['en', 'de']) AS lang) l) ON lang = language WHERE access_tier = 'open' OR role IN ('premium', 'admin')",
+    ("docs",),
+)
+def f_12(spark, sf):
+    """The documents as guides, by who may read them: three roles in two locales."""
+    readers = spark.createDataFrame([(f"{r}-{lang}", r, lang) for r in ("user", "premium", "admin") for lang in ("en", "de")], "reader string, role string, locale string")
+    guides = docs(spark, sf).select(F.concat(F.lit("doc-"), "doc_id").alias("slug"), F.col("language").alias("locale"), "access_tier")
+    return G.readable_guides(guides, readers).select("slug", "locale", "reader")

@@ -59,3 +59,14 @@ def test_entities(spark, chunks):
 def test_expansion():
     got = R.expand_query("AC of ACE", [("ac", ["armor class", "AC of ace"]), ("e", ["no"])])
     assert got == [("AC of ACE", 1.0), ("armor class", 0.8)] and R.combined(got) == "AC of ACE OR armor class"
+
+
+def test_expanded(spark):
+    from lectern.operators import retrieval as R
+
+    q = spark.createDataFrame([(1, "cast Fireball at AC"), (2, "an AC-DC cable"), (3, None), (4, "")], "query_id int, text string")
+    rows = [("ac", "armor class", 0.8), ("ac", "Cast fireball at ac", 0.8), ("cast fireball", "огненный шар", 0.7), ("Fireball", "Armor Class", 0.7), ("fire", "flame", 0.8), (None, "x", 0.8), ("--", "y", 0.8), ("ac", None, 0.8)]
+    got = R.expanded(q, spark.createDataFrame(rows, "term string, other string, weight double"))
+    assert sorted((r.query_id, r.place, r.text, r.weight) for r in got.collect()) == [
+        (1, 0, "cast Fireball at AC", 1.0), (1, 1, "Armor Class", 0.8), (1, 2, "огненный шар", 0.7), (2, 0, "an AC-DC cable", 1.0), (2, 1, "Cast fireball at ac", 0.8), (2, 2, "armor class", 0.8), (4, 0, "", 1.0),
+    ]

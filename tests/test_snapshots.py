@@ -76,3 +76,15 @@ def test_guide_problems(spark):
         [(1, "a", 0, 3, None), (1, "b", None, None, "ambiguous"), (1, "c", None, None, "repeated id"), (1, "c", None, None, "repeated id"), (1, "d-1", None, None, "not found"), (1, "D", None, None, "unstable id"), (1, "e", None, None, "blank quote"), (1, "", None, None, "unstable id"), (2, "a", None, None, "not found")],
         key=str,
     )
+
+
+def test_guides_and_decisions(spark):
+    from lectern.operators.extraction import decided
+    from lectern.operators.guides import readable_guides
+
+    guides = spark.createDataFrame([("a", "en", "open"), ("b", "en", "premium"), ("c", "ru", "open"), ("d", "en", None)], "slug string, locale string, access_tier string")
+    readers = spark.createDataFrame([("u", "user", "en"), ("p", "premium", "en"), ("x", None, "ru"), ("n", "admin", None)], "reader string, role string, locale string")
+    assert sorted((r.reader, r.slug) for r in readable_guides(guides, readers).collect()) == [("p", "a"), ("p", "b"), ("p", "d"), ("u", "a"), ("x", "c")]
+    rows = [("approve", "new", True), ("approve", "missing", False), ("merge", "duplicate", True), ("merge", "missing", False), ("unpublish", "missing", True), ("unpublish", "new", False), ("reject", "invalid", True), ("reject", None, False)]
+    got = decided(spark.createDataFrame(rows, "decision string, status string, want boolean")).collect()
+    assert all(r.allowed == r.want for r in got)
