@@ -113,17 +113,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_search(chunks: DataFrame, vectors: DataFrame, queries: list[list[float]], limit: int = 50) -> DataFrame:
-    """The best chunks by cosine to any of ``queries``: the top ``limit`` of each query, the best score per chunk; the union is not cut again."""
+    """The best chunks by cosine to any of ``queries``: the top ``limit`` of each query, the best score per chunk; the union is not cut again.
+
+    One reading of the vectors whatever the number of queries: each task keeps its own best of every query before the few meet.
+    """
     limit = max(1, min(MAX_STRATEGY, limit))
-    held = chunks.select("chunk_id").join(vectors, "chunk_id")
-    tops = []
-    for q in queries:
-        probe = F.array(*[F.lit(float(x)) for x in q])
-        score = F.round(cosine(F.col("embedding"), probe), 6)
-        tops.append(held.select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit))
-    if not tops:
+    if not queries:
         return ranked(chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0))
-    return ranked(reduce(DataFrame.unionByName, tops).groupBy("chunk_id").agg(F.max("score").alias("score")))
+    held = chunks.select("chunk_id").join(vectors, "chunk_id")
+    scores = [F.round(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 6) for q in queries]
+    if len(queries) == 1:
+        return ranked(held.select("chunk_id", scores[0].alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit))
+    each = held.select("chunk_id", F.posexplode(F.array(*scores)).alias("probe", "score"))
+    best = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "chunk_id"))
+    tops = each.withColumn("_r", best).where(F.col("_r") <= limit)
+    return ranked(tops.groupBy("chunk_id").agg(F.max("score").alias("score")))
 
 
 def names_within(names: DataFrame, text: str) -> list[str]:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.access import readable
 from lectern.operators import retrieval as R
+from lectern.operators.postings import index_search, read_index, write_index
 from lectern.plans.base import query
+from lectern.sources.stores import new_path
 from lectern.sources.views import docs, entries, table
 
 QUESTION = 'the that OR "und der" -was'
@@ -64,6 +69,30 @@ def r_02(spark, sf):
     return R.keyword_search(chunks(spark, sf), QUESTION)
 
 
+def found_sql(n: int, terms: str, condition: str) -> str:
+    """Question ``n``: the best 50 of ``t`` that meet ``condition``, by occurrences of ``terms``."""
+    return f"""SELECT {n} AS question, chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT chunk_id, round(len(list_filter(w, lambda x: x IN ({terms}))) / (1 + ln(1 + len(w))), 9) AS score
+   FROM t WHERE {condition} ORDER BY score DESC, chunk_id LIMIT 50)"""
+
+
+SPACED = "' ' || array_to_string(w, ' ') || ' '"
+QUESTIONS = (QUESTION, '"of the" -und', "was OR der und")
+INDEXED = " UNION ALL ".join([
+    found_sql(0, "'the', 'that', 'und', 'der'", f"(list_contains(w, 'the') AND list_contains(w, 'that')) OR (contains({SPACED}, ' und der ') AND NOT list_contains(w, 'was'))"),
+    found_sql(1, "'of', 'the'", f"contains({SPACED}, ' of the ') AND NOT list_contains(w, 'und')"),
+    found_sql(2, "'was', 'der', 'und'", "list_contains(w, 'was') OR (list_contains(w, 'der') AND list_contains(w, 'und'))"),
+])
+
+
+@query("r_02_index_search", WITH + f"{CHUNKS}, t AS (SELECT chunk_id, {TOKENS} AS w FROM c) {INDEXED}", ("visible",))
+def r_02_index(spark, sf):
+    """Postings of all documents are written, then three questions are put to them by a user who may see some."""
+    path = new_path(spark, "postings")
+    write_index(docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text"), path)
+    index, seen = read_index(spark, path), chunks(spark, sf)
+    return reduce(DataFrame.unionByName, [index_search(index, q, readable=seen).select(F.lit(n).alias("question"), "chunk_id", "score", "rank") for n, q in enumerate(QUESTIONS)])
+
+
 @query("r_03_basic_search", WITH + f"{CHUNKS}, t AS (SELECT chunk_id, {TOKENS} AS w FROM c) SELECT chunk_id, count(*) OVER () AS total FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'was') AND list_contains(w, 'of') ORDER BY chunk_id LIMIT 20", ("visible",))
 def r_03(spark, sf):
     from lectern.operators.paging import offset_page
