@@ -33,6 +33,11 @@ def test_cards(html, wanted):
     assert (title, text) == wanted and problem is None and "onclick" not in markup and "script" not in markup
 
 
+def test_open_references():
+    """A reference that was cut before its semicolon is text, as in the SQL; closed ones are read, also by number; unknown ones stay."""
+    assert read_card(card(TITLE + "<p>and&amp</p><p>&amp;&amp &lt;b&gt &#65;&#x42; &#66 &notit; a&b</p>"), "spell", "7")[2] == "Fire Ball\nand&amp\n&&amp <b&gt AB &#66 &notit; a&b"
+
+
 def test_markup():
     inner = TITLE + '<a href="javascript:x" title="t">a</a><a href="/ok?a&amp;b" rel="x">b</a><a href="//evil">c</a><td colspan=2 style="x">d</td><custom x=1>e</custom>'
     _, markup, _, _ = read_card(card(inner), "spell", "7")
