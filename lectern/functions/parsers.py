@@ -321,11 +321,28 @@ def feature(text: Column, lines: Column, russian: Column) -> Column:
     return let(found, build)
 
 
-#: The parsers in the order in which they are tried.
-PARSERS = (spell, creature, equipment, progression, species, feature)
+#: The parsers in the order in which they are tried, each with what a text has wherever the parser fits: cheap tests of the whole text, before its lines are looked at.
+PARSERS = (
+    (spell, [f"{LABELS[f][0]}|{LABELS[f][1]}" for f in ("castingTime", "range", "components", "duration")]),
+    (creature, [f"{LABELS[f][0]}|{LABELS[f][1]}" for f in ("armorClass", "hitPoints", "speed", "challengeRating")]),
+    (equipment, [r"\|", "Cost|Стоимость"]),
+    (progression, [r"\|", "Class|Класс", "Level|Уровень", "Features|Умения"]),
+    (species, ["Species|Вид|Раса", EITHER["size"], EITHER["speed"]]),
+    (feature, [r"Умение .+ \d+(?:-го|-й) уровня|\d+(?:st|nd|rd|th)-Level .+ Feature"]),
+)
+
+
+def may_fit(text: Column, marks: list[str]) -> Column:
+    """Whether a text has all the marks; where it lacks one, the parser of these marks gives null."""
+    return reduce(lambda a, b: a & b, [F.rlike(text, rule(m)) for m in marks])
 
 
 def candidates(text: str | Column, language: str | Column) -> Column:
-    """What the first parser that fits makes of a chunk; an empty array if none does, and for null. Its lines are read once."""
+    """What the first parser that fits makes of a chunk; an empty array if none does, and for null. Its lines are read once, if any parser may fit."""
     t, russian = F.coalesce(col(text), F.lit("")), F.coalesce(col(language) == "ru", F.lit(False))
-    return let(lines_of(t), lambda lines: F.coalesce(*[p(t, lines, russian).cast(CANDIDATE) for p in PARSERS], F.array().cast(CANDIDATE)))
+    none = F.array().cast(CANDIDATE)
+
+    def parsed(lines: Column) -> Column:
+        return F.coalesce(*[F.when(may_fit(t, marks), p(t, lines, russian).cast(CANDIDATE)) for p, marks in PARSERS], none)
+
+    return F.when(reduce(lambda a, b: a | b, [may_fit(t, marks) for _, marks in PARSERS]), let(lines_of(t), parsed)).otherwise(none)

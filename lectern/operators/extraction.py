@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import parsers, schema
 from lectern.functions.text import canonical_id, normalize_name, stable_slug
+from lectern.sources.stores import dealt
 
 #: What a candidate's type is called in a revision.
 ENTRY_TYPES = {"class": "classFeature", "feature": "classFeature", "creature": "monster", "species": "other"}
@@ -19,9 +20,10 @@ ORIGINS = ("pdf_extraction", "collector_snapshot", "static_guide")
 def extracted(chunks: DataFrame, text: str = "text", language: str = "language") -> DataFrame:
     """One row a candidate: ``chunks``' columns, n (from 0 in its chunk), type, method, key, title, body, attributes (JSON), citations (field, start, stop, quote).
 
-    The first parser that fits a chunk gives its candidates; chunks that none fits have no row.
+    The first parser that fits a chunk gives its candidates; chunks that none fits have no row. The chunks are dealt out
+    first: a small file holds many of them, and reading one takes long.
     """
-    each = chunks.select("*", F.posexplode(parsers.candidates(text, language)).alias("n", "c")).select(*chunks.columns, "n", "c.*").withColumn("key", stable_slug("title"))
+    each = dealt(chunks).select("*", F.posexplode(parsers.candidates(text, language)).alias("n", "c")).select(*chunks.columns, "n", "c.*").withColumn("key", stable_slug("title"))
 
     def spanned(c: Column) -> Column:
         start = F.instr(F.col(text), c["quote"]) - 1

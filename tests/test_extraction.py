@@ -143,3 +143,16 @@ def test_publication(spark):
     assert X.name_rows(good).first().normalized == "fire-ball"
     reasons = {r.block_reason for r in X.capability(held.withColumn("page", F.lit(None).cast("int"))).collect()} | {r.block_reason for r in X.capability(held.withColumn("origin", F.lit(None).cast("string"))).collect()}
     assert reasons == {"no source page", "unsupported origin"}
+
+
+def test_marks_and_dealing(spark):
+    """A parser gives nothing where its marks are missing; rows of one split are dealt out before they are parsed."""
+    texts = [(k, lang, t) for k, (lang, t, _) in enumerate(CASES)] + [(100, "en", "Prose of no kind. Level and class, speed: none."), (101, "ru", None)]
+    rows = spark.createDataFrame(texts, "k int, language string, text string").coalesce(1)
+    t, russian = F.coalesce("text", F.lit("")), F.col("language") == "ru"
+    for parser, marks in parsers.PARSERS:
+        found = parser(t, parsers.lines_of(t), russian).isNotNull()
+        assert rows.where(found & ~parsers.may_fit(t, marks)).count() == 0
+    gated = rows.select("k", F.size(parsers.candidates("text", "language")).alias("n")).where("k >= 100")
+    assert {r.n for r in gated.collect()} == {0}
+    assert X.extracted(rows).rdd.getNumPartitions() > 1
