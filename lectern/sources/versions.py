@@ -83,6 +83,16 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.url_decode(F.regexp_extract("path", "revision_id=([^/]+)/", 1)).alias("revision_id"), F.sha2("content", 256).alias("sha256"))
 
 
+def write_revisions(rows: DataFrame, path: str) -> None:
+    """Stores revisions (revision_id, content binary) byte for byte under ``path``, many to a file: with a file for each, a store of any size is all listing, opening and renaming."""
+    rows.select("revision_id", "content").write.parquet(path)
+
+
+def stored_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(revision_id, sha256) of what ``write_revisions`` stored; contents are hashed where they are read."""
+    return spark.read.schema("revision_id string, content binary").parquet(path).select("revision_id", F.sha2("content", 256).alias("sha256"))
+
+
 def resolved_revisions(base: DataFrame, deltas: DataFrame, files: DataFrame) -> DataFrame:
     """(revision_id, entry_id, state) of every revision that a manifest, its deltas or the files name.
 

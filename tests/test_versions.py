@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import snapshots as S
 from lectern.sources import versions as V
@@ -59,6 +60,17 @@ def test_resolved(spark):
     assert got["r2"] == "superseded"  # its entry was removed
 
 
+def test_stored_revisions(spark, tmp_path):
+    """Stored together, revisions have the hashes of files of their own, and their number doesn't make the number of files."""
+    rows_ = spark.range(300).select(F.concat(F.lit("r /"), "id").alias("revision_id"), F.concat(F.lit("тело "), "id").alias("value")).coalesce(4)
+    V.write_revisions(rows_.select("revision_id", F.encode(F.concat("value", F.lit("\n")), "UTF-8").alias("content")), f"{tmp_path}/store")
+    assert len(list((tmp_path / "store").glob("part-*"))) <= 4
+    rows_.limit(5).write.partitionBy("revision_id").text(f"{tmp_path}/single")
+    stored = {r.revision_id: r.sha256 for r in V.stored_hashes(spark, f"{tmp_path}/store").collect()}
+    single = {r.revision_id: r.sha256 for r in V.file_hashes(spark, f"{tmp_path}/single").collect()}
+    assert len(stored) == 300 and len(single) == 5 and single.items() <= stored.items()
+
+
 def test_snapshot_links(spark):
     meta = json.dumps({"hitDie": 8, "primaryAbility": "Str", "parentClassIds": "Fighter Base", "features": [{"canonicalId": "feature-a", "title": "A", "body": "B", "level": 1, "anchor": "a"}], "crossLinks": ["species-1", "loose"]})
     rows_ = [
