@@ -15,24 +15,19 @@ COMPACT = 8
 def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth): every ancestor over (child, parent) edges at its smallest depth; cycles are walked once round.
 
-    Paths double: a round joins the pairs found so far with themselves and keeps each pair's smallest depth, so a chain of n
-    takes log n rounds; a round that adds no pair and shortens none is the last. Null ends and repeated edges are ignored. The
-    result is as large as the relation: on a deep graph ask for less (``cycles``, ``reach``).
+    Paths double: when all pairs up to a distance are known, those at just that distance are followed by one known pair each,
+    which gives all pairs up to twice the distance: the beginning of a shortest path is a shortest path too. So a chain of n
+    takes log n rounds, a round joins no pair that it would only find again, and an ancestor of everything is a join key for no
+    more than the pairs of one depth. A round without a pair that far is the last. Null ends and repeated edges are ignored.
+    The result is as large as the relation: on a deep graph ask for less (``cycles``, ``reach``).
     """
     known = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node is not null and ancestor is not null").distinct().withColumn("depth", F.lit(1)).checkpoint()
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum("depth")).first())
-
-    last = mark(known)
-    while last[0]:
+    depth = 1
+    while not known.where(F.col("depth") == depth).isEmpty():
         far = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        longer = known.join(far, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = known.where(F.col("depth") == depth).join(far, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         known = known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
-        now = mark(known)
-        if now == last:
-            break
-        last = now
+        depth *= 2
     return known
 
 
@@ -56,11 +51,14 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes reachable from ``seeds`` (node) over (a, b) edges, seeds included, in rounds until one adds nothing."""
+    """Nodes reachable from ``seeds`` (node) over (a, b) edges, seeds included, in rounds until one adds nothing.
+
+    Rounds are merge joins: broadcast, what is found would go through the driver again in each of them.
+    """
     edges = edges.select("a", "b").where("a is not null and b is not null").distinct().checkpoint()
     known = fresh = seeds.select("node").distinct().checkpoint()
     for step in count(1):
-        fresh = fresh.join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(known, "node", "left_anti").checkpoint()
+        fresh = fresh.hint("merge").join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(known.hint("merge"), "node", "left_anti").checkpoint()
         if fresh.isEmpty():
             return known
         known = known.unionByName(fresh)

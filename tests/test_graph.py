@@ -49,3 +49,24 @@ def test_long_chain(spark):
     assert got.count() == n * (n + 1) // 2 and got.agg({"depth": "max"}).first()[0] == n
     assert time.time() - began < 120
     assert G.closure(df.limit(0)).count() == 0
+
+
+def test_joins_find_pairs_once(spark, monkeypatch):
+    """On a tree the rounds' joins make just the pairs that are not edges, none again."""
+    df = spark.range(2, 128).selectExpr("id as child", "id div 2 as parent")
+    found, union = [], type(df).unionByName
+
+    def spy(self, other, *a, **k):
+        found.append(other.count())
+        return union(self, other, *a, **k)
+
+    monkeypatch.setattr(type(df), "unionByName", spy)
+    assert sum(found) == 0 and G.closure(df).count() == sum(n.bit_length() - 1 for n in range(2, 128)) == sum(found) + 126
+
+
+def test_reach_sends_nothing_to_the_driver(spark, monkeypatch):
+    df, plans = spark.range(2, 64).selectExpr("id div 2 as a", "id as b"), []
+    checkpoint = type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a: plans.append(self._jdf.queryExecution().executedPlan().toString()) or checkpoint(self, *a))
+    assert G.reach(spark.range(1, 2).toDF("node"), df).count() == 63
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
