@@ -62,6 +62,24 @@ def test_rate_limit(spark):
     assert {r.i: r.allowed for r in queues.rate_limited(e, "k", "ts", "i", 2, 3600).collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
 
 
+def test_stable_key_of_long_texts(monkeypatch):
+    """The same as letter by letter, and each letter is worked out once."""
+    import re
+    import unicodedata
+
+    def plain(name):
+        table = dict(zip(T.CYRILLIC, T.LATIN))
+        letters = "".join(table[c] if c in table else "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in unicodedata.normalize("NFC", name).lower())
+        return re.sub(r"[^a-z0-9]+", "-", letters.lower()).strip("-")[:128].rstrip("-")
+
+    odd = ["", "ß ΑΣ Σ", "I\u0307İ ①②ﬁ", "й и\u0306 Щъэ", "e\u0301\u0323 \u212b", "\U0001d400 \ud7ff \ue000", "- a -", "".join(chr(n) for n in range(1, 0x3000))]
+    assert [T.stable_key(x) for x in odd] == [plain(x) for x in odd]
+    calls, normal = [], unicodedata.normalize
+    monkeypatch.setattr(unicodedata, "normalize", lambda form, x: calls.append(form) or normal(form, x))
+    T.stable_key("héllo wörld " * 500)
+    assert len(calls) <= 20
+
+
 def test_keys_and_snippets():
     assert T.stable_key("Огненный Шар!") == "ognennyi-shar" and T.stable_key("Déjà  Vu №1") == "deja-vu-no1" and T.stable_key("Ёж") == "ezh" and T.stable_key("—") == ""
     text = " ".join(f"w{k}" for k in range(100)) + " fire bolt " + " ".join(f"v{k}" for k in range(100)) + " fire"
