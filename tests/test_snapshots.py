@@ -93,3 +93,25 @@ def test_guides_and_decisions(spark):
     rows = [("approve", "new", True), ("approve", "missing", False), ("merge", "duplicate", True), ("merge", "missing", False), ("unpublish", "missing", True), ("unpublish", "new", False), ("reject", "invalid", True), ("reject", None, False)]
     got = decided(spark.createDataFrame(rows, "decision string, status string, want boolean")).collect()
     assert all(r.allowed == r.want for r in got)
+
+
+def test_pages_are_read_in_slices():
+    """Of a large batch only some pages are Python strings at a time, and all come out in order."""
+    import pyarrow as pa
+
+    from lectern.sources import html
+
+    class Plan:
+        columns = ["k", "html"]
+        schema = type("S", (), {"add": lambda self, *a: self})()
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1050)), pa.array([f"<title>t{k}</title><p>b{k}" for k in range(1050)])], names=["k", "html"])
+    out = list(html.page_texts(Plan())(iter([batch])))
+    assert max(b.num_rows for b in out) <= html.AT_ONCE
+    assert [(r["k"], r["title"], r["body"]) for b in out for r in b.to_pylist()] == [(k, f"t{k}", f"b{k}") for k in range(1050)]
