@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import pages
 from lectern.functions import text as T
 from lectern.plans.base import chunks_sql, query
+from lectern.sources.stores import dealt
 from lectern.sources.views import docs, entries, table
 
 
@@ -42,7 +43,7 @@ QUALITY = rf"""tok AS (SELECT doc_id, text, regexp_replace(text, '[{SPACE}]+', '
 )
 def t_03(spark, sf):
     """Every document judged as a Russian page, so that each of the gate's rules is reached. No document is structured content; ``t_05`` has that."""
-    d = table(spark, sf, "documents").select("doc_id", F.lit("ru").alias("language"), "text")
+    d = dealt(table(spark, sf, "documents").select("doc_id", "text")).withColumn("language", F.lit("ru"))
     return pages.judged(d).drop("language")
 
 
@@ -55,7 +56,7 @@ def t_03(spark, sf):
 )
 def t_04(spark, sf):
     """Why recognition has not mended a page: all documents count as corrupt before; of every four, one was not recognised, one gave no text."""
-    d = table(spark, sf, "documents").select("doc_id", F.lit("ru").alias("language"), "text")
+    d = dealt(table(spark, sf, "documents").select("doc_id", "text")).withColumn("language", F.lit("ru"))
     k = F.col("doc_id")
     after = pages.judged(d).select(
         "doc_id", "status", "reasons", "enough", F.lit(True).alias("was_corrupt"), (k % 4 != 0).alias("available"), (k % 4 > 1).alias("replaced"), F.when(k % 8 == 0, "no tool").alias("note")
@@ -78,11 +79,12 @@ def t_05(spark, sf):
 )
 def t_06(spark, sf):
     """Recognised text (that of the next document) replaces a page's own if the page is corrupt or the recognised text is longer."""
-    d = table(spark, sf, "documents").select("doc_id", F.lit("ru").alias("language"), "text")
-    forced = pages.judged(d).select("doc_id", (F.col("status") == "corrupt").alias("forced"))
-    own, other = d.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("own")), d.select((F.col("doc_id") - 1).alias("doc_id"), F.length("text").alias("other"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    ru = dealt(d).withColumns({"language": F.lit("ru"), "own": F.length(F.coalesce("text", F.lit("")))})
+    forced = pages.judged(ru).select("doc_id", "own", (F.col("status") == "corrupt").alias("forced"))
+    other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.length("text").alias("other"))
     chosen = F.when(F.col("forced") | (F.col("other") > F.col("own")), "ocr").otherwise("page")
-    return forced.join(own, "doc_id").join(other, "doc_id").select("doc_id", chosen.alias("chosen"), "forced")
+    return forced.join(other, "doc_id").select("doc_id", chosen.alias("chosen"), "forced")
 
 
 @query("t_09_normalized_name", r"SELECT entry_id, trim(regexp_replace(lower(trim(title || ' / ' || brand)), '[-_\s.,/:;!?()]+', '-', 'g'), '-') AS name FROM entries", ("entries",))
