@@ -14,3 +14,8 @@ def test_page_quality_counts(spark, sf, name):
     """Rows are dealt out, characters are counted by dropping the others' runs, tokens without looking behind each character."""
     p = plan(spark, sf, name)
     assert "Repartition" in p and r"\p{IsCyrillic}, 0" not in p and "(?<!" not in p
+
+
+def test_boxes_are_made_once(spark, sf):
+    p = plan(spark, sf, "t_08_chunk_boxes")
+    assert "Repartition" in p and not any("Filter" in line and "xMin" in line for line in p.splitlines())
