@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import projection as P
 from lectern.plans.base import chunks_sql, query
-from lectern.sources.stores import checkpoint_dir
+from lectern.sources.stores import checkpoint_dir, dealt
 from lectern.sources.views import docs
 
 REPOSITORY = "corpus"
@@ -114,5 +114,5 @@ def cdc_05_pages(spark, sf):
 def cdc_05_chunks(spark, sf):
     """The chunks of every projected revision, cut where the set of covering citations changes."""
     checkpoint_dir(spark)
-    made = P.index_chunks(P.examined(revisions(spark, sf), files(spark, sf)), REPOSITORY)
+    made = P.index_chunks(P.examined(dealt(revisions(spark, sf)), files(spark, sf)).checkpoint(), REPOSITORY)  # swept once
     return made.withColumns({"chunk_md5": F.md5("chunk"), "quote_md5": F.md5("quote"), "citations": F.array_join("citations", ",")}).drop("chunk", "quote")

@@ -25,3 +25,9 @@ def test_shapes_are_parsed_once(spark, sf):
     p = plan(spark, sf, "v_05_stat_block_shapes")
     # seven parts, a parse each; a plan names a parse's text once
     assert "Repartition" in p and p.count("parse_json") <= 7
+
+
+@pytest.mark.parametrize("name", ["cdc_05_index_chunks", "cdc_05_index_entries"])
+def test_revisions_are_swept_once(spark, sf, name):
+    """What was judged is read again, so that no later step sweeps."""
+    assert "aggregate(" not in plan(spark, sf, name)
