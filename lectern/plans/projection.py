@@ -85,7 +85,8 @@ GENERATIONS = f"""generations AS (SELECT source_id, file_id, {uuid_sql('index-ge
  FROM (SELECT * REPLACE (CASE WHEN problem IS NULL THEN file_id END AS file_id) FROM checked) c LEFT JOIN generations g ON g.source_id = c.source_id AND g.file_id = c.file_id AND problem IS NULL""", ("docs",))
 def cdc_05_entries(spark, sf):
     """Every revision: its ids, or why it isn't projected."""
-    checked = P.examined(revisions(spark, sf), files(spark, sf))
+    checkpoint_dir(spark)
+    checked = P.examined(dealt(revisions(spark, sf)), files(spark, sf)).drop("text", "sections", "citations", "pieces").checkpoint()  # judged once
     made = P.index_entries(checked, REPOSITORY)
     refused = checked.where("problem IS NOT NULL").select("entry_id", "revision_id", "problem", "source_id")
     return made.withColumn("problem", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
