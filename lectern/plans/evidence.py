@@ -9,6 +9,7 @@ from lectern.functions import evidence as E
 from lectern.functions.text import first_sentence
 from lectern.operators.support import claim_support
 from lectern.plans.base import query
+from lectern.sources.stores import checkpoint_dir, dealt
 from lectern.sources.views import docs, table
 
 # the same forms in a standard SQL engine
@@ -186,10 +187,12 @@ def supported(spark, sf):
     """Claims (first sentences of benchmark texts) that one segment of a document carries whole.
 
     A claim meets the segments that hold its rarest token, which any supporting one has: an equi-join that loses nothing.
-    Segments are known by document and place, so only numbers and tokens are shuffled, and texts of those that meet.
+    Segments are known by document and place, so only numbers and tokens are shuffled, and forms of those that meet.
     """
     claims = table(spark, sf, "benchmark").select("item_id", E.claim_form(first_sentence("text", 1_000_000), claim=True).alias("claim")).where(E.bound(F.col("claim"))).distinct()
-    forms = table(spark, sf, "documents").select("doc_id", F.posexplode(E.support_segments("text")).alias("at", "s")).select("doc_id", "at", E.claim_form("s").alias("form"))
+    checkpoint_dir(spark)
+    cut = dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(E.support_segments("text")).alias("at", "s"))
+    forms = cut.select("doc_id", "at", E.claim_form("s").alias("form")).checkpoint()  # made once, read three times
 
     def tokens(c):
         return F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(" ([^ ]+) "), 1))).alias("token")

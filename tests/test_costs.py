@@ -31,3 +31,9 @@ def test_shapes_are_parsed_once(spark, sf):
 def test_revisions_are_swept_once(spark, sf, name):
     """What was judged is read again, so that no later step sweeps."""
     assert "aggregate(" not in plan(spark, sf, name)
+
+
+@pytest.mark.parametrize("name", ["g_07_cited_support", "g_07_supported_claims"])
+def test_forms_are_made_once(spark, sf, name):
+    """Segments are cut for forms that are kept."""
+    assert ".{400,800}" not in plan(spark, sf, name)
