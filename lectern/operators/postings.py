@@ -1,41 +1,71 @@
 """An inverted index of chunks: written once, so that a search reads the postings of its own terms instead of every text.
 
 A posting is (term, chunk_id, places of the term among the chunk's tokens, the
-chunk's number of tokens). Postings lie in the order of (term, chunk_id), dealt
-by ranges of both: a term's filter is pushed to the files and row groups that
-hold it, and a term that every chunk has is spread over many files.
+chunk's number of tokens). The index consists of segments, files that hold all
+postings of a share of the chunks in the order of (term, chunk_id): a term's
+filter is pushed to the row groups and pages that hold it, and a term that every
+chunk has is spread over all segments.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import let, tokens
+from lectern.functions.text import tokens
 from lectern.operators.retrieval import MAX_STRATEGY, Query, parse_query, ranked
+from lectern.sources.stores import dealt
+
+
+#: Tokens that a task groups at a time, whole texts.
+GROUPED = 1_000_000
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, chunk_id, places, size) of batches of (chunk_id, list of tokens): runs in the order of (term, chunk_id), which a later sort merges."""
+    for whole in batches:
+        whole = whole.take(pc.sort_indices(whole.column(0)))
+        held = np.cumsum(whole.column(1).value_lengths().fill_null(0).to_numpy(), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(held // GROUPED, prepend=-1, append=-1))
+        for b in (whole.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])):
+            size = b.column(1).value_lengths().fill_null(0).to_numpy()
+            coded = b.column(1).flatten().dictionary_encode()
+            by_term = pc.sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(by_term), np.int64)
+            rank[by_term] = np.arange(len(by_term))
+            row = np.repeat(np.arange(len(size)), size)
+            key = rank[coded.indices.to_numpy()] * len(size) + row
+            order = np.argsort(key, kind="stable")  # equal terms of a text stay in the order of their places
+            place = (order - (np.cumsum(size) - size)[row[order]]).astype(np.int32)
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            at = order[first]
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place))
+            found = [coded.take(pa.array(at)).dictionary_decode(), b.column(0).take(pa.array(row[at])), places, pa.array(size[row[at]])]
+            yield pa.RecordBatch.from_arrays(found, names=["term", "chunk_id", "places", "size"])
 
 
 def postings(chunks: DataFrame, body: str = "text") -> DataFrame:
-    """(term, chunk_id, places, size) of ``chunks`` (unique chunk_id, text). Null and empty texts have none; other columns are left alone."""
+    """(term, chunk_id, places, size) of ``chunks`` (unique chunk_id, text). Null and empty texts have none; other columns are left alone.
 
-    def grouped(marked: Column) -> Column:
-        """Lists of the places of each term, of (term, place) in order: cut where a new term begins."""
-        first = F.filter(F.sequence(F.lit(0), F.size(marked)), lambda i: (i == 0) | (i == F.size(marked)) | (F.get(marked, i)["term"] != F.get(marked, i - 1)["term"]))
-        ends = let(first, lambda cut: F.transform(F.slice(cut, 1, F.size(cut) - 1), lambda i, k: F.struct(i.alias("start"), F.get(cut, k + 1).alias("stop"))))
-        return F.transform(ends, lambda e: F.struct(F.get(marked, e["start"])["term"].alias("term"), F.transform(F.slice(marked, e["start"] + 1, e["stop"] - e["start"]), lambda m: m["place"]).alias("places")))
-
-    marked = F.array_sort(F.transform(F.col("_w"), lambda t, i: F.struct(t.alias("term"), i.alias("place"))))
-    held = chunks.select("chunk_id", tokens(body).alias("_w")).where("size(_w) > 0")
-    rows = held.select("chunk_id", F.size("_w").alias("size"), F.explode(let(marked, grouped)).alias("p"))
-    return rows.select("p.term", "chunk_id", "p.places", "size")
+    Tokens are Spark's; they are grouped in Arrow batches, as lambdas over lists take several times as long for each token.
+    """
+    held = chunks.select("chunk_id", tokens(body).alias("_w"))
+    schema = f"term string, chunk_id {held.schema['chunk_id'].dataType.simpleString()}, places array<int>, size int"
+    return held.mapInArrow(grouped, schema)
 
 
 def write_index(chunks: DataFrame, path: str, body: str = "text") -> None:
-    """Writes the postings of ``chunks`` under ``path`` (which must not exist yet), by ranges."""
-    rows = postings(chunks, body)
-    rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(path)
+    """Writes the postings of ``chunks`` under ``path`` (which must not exist yet), a segment for each share of the chunks.
+
+    Only texts are shuffled: their postings are several times as many rows, and ranges of them would need a sample, for which every text is read and grouped once more.
+    """
+    postings(dealt(chunks.select("chunk_id", body)), body).sortWithinPartitions("term", "chunk_id").write.parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lectern.operators import postings as P
@@ -43,6 +45,40 @@ def test_postings(spark):
     assert got == want
 
 
+def test_written_in_segments(spark, tmp_path):
+    """Each file holds all postings of its chunks, in order; only texts are dealt out, and they are read and cut into tokens once."""
+    rows = [(n, " ".join(f"w{(n * k) % 97}" for k in range(60))) for n in range(400)] + [(500, None), (501, ""), (502, "?!")]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    path = str(tmp_path / "index")
+    P.write_index(spark.createDataFrame(rows, "chunk_id long, text string").mapInArrow(counted, "chunk_id long, text string"), path)
+    assert read.value == len(rows)
+    files: dict = {}
+    for f in (tmp_path / "index").glob("*.parquet"):
+        t = pq.read_table(f).to_pylist()
+        keys = [(r["term"].encode(), r["chunk_id"]) for r in t]
+        assert keys == sorted(keys)
+        for r in t:
+            files.setdefault(r["chunk_id"], set()).add(f.name)
+    assert set(files) == set(range(400)) and all(len(f) == 1 for f in files.values())
+    assert len(set.union(*files.values())) > 1
+
+
+def test_groups_of_texts(monkeypatch):
+    """The same postings wherever batches are cut; a text is never cut."""
+    batch = pa.RecordBatch.from_pydict({"chunk_id": pa.array([3, 1, 2, 4, 5], pa.int64()), "w": pa.array([["b", "a", "b"], ["c"] * 7, None, [], ["a", "é", "z"]], pa.list_(pa.string()))})
+    want = {(3, "b", (0, 2), 3), (3, "a", (1,), 3), (1, "c", tuple(range(7)), 7), (5, "a", (0,), 3), (5, "é", (1,), 3), (5, "z", (2,), 3)}
+    for n in (1, 2, 5, 1000):
+        monkeypatch.setattr(P, "GROUPED", n)
+        got = [(r["chunk_id"], r["term"], tuple(r["places"]), r["size"]) for b in P.grouped(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_readable_and_limits(stored, spark):
     _, index = stored
     seen = spark.createDataFrame([(4,), (9,), (None,)], "chunk_id long")
