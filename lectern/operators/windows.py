@@ -12,6 +12,21 @@ def best_of(df: DataFrame, keys: list[str], order: list[Column], mark: str | Non
     return ranked if mark else ranked.where("_rank = 1").drop("_rank")
 
 
+#: Shares in which the rows of one key are first reduced.
+SHARES = 16
+
+
+def best_by_shares(df: DataFrame, keys: list[str], order: list[Column], key: str, spread: str, rows: int, per_task: int = 2_000_000) -> DataFrame:
+    """``best_of`` for many rows (``rows``, roughly), dealt by ``key``, one of ``keys``, over as many tasks as keep each at ``per_task`` rows or so.
+
+    First the best of each key's SHARES shares, made by ``spread``, then the best of these: a frequent key's rows lie in several tasks.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+    shares = df.withColumn("_share", F.pmod(F.hash(spread), F.lit(SHARES))).repartition(n, key, "_share")
+    tops = best_of(shares, [*keys, "_share"], order).drop("_share")
+    return best_of(tops.repartition(n, key), keys, order)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` values of each group, by a partial aggregate instead of a sort."""
     rest = [c for c in df.columns if c not in keys]

@@ -16,7 +16,7 @@ BEST_VISIBLE = f"SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY pri
 
 def shown(spark, sf):
     """Entries with their best visible version."""
-    v = best_of(versions(spark, sf).where(VISIBLE), ["entry_id"], [F.desc("priority"), F.desc("published_at"), F.asc("version_id")])
+    v = best_versions(spark, sf, ("entry_id",), VISIBLE)
     return entries(spark, sf).join(v.select("entry_id", "version_id", "source_no", "language", "priority"), "entry_id")
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions.access import EDITIONS, ENTRY_TYPES, access_predicate, ordinal, readable
 from lectern.operators.paging import keyset_page, offset_page
-from lectern.operators.windows import best_of, latest, places
+from lectern.operators.windows import best_by_shares, best_of, latest, places
 from lectern.plans.base import query
 from lectern.sources.stores import checkpoint_dir
-from lectern.sources.views import docs, entries, passages, sources, table, versions
+from lectern.sources.views import docs, entries, passages, publications, sources, table, versions
 
 
 def count():
@@ -378,9 +378,13 @@ def a_01(spark, sf):
     return readable(docs(spark, sf), "premium", "u3", language="en").agg(count().alias("total"))
 
 
-def best_versions(spark, sf, keys=("entry_id", "language")):
-    """The version of the best source: highest priority, then latest, then the smallest id."""
-    return best_of(versions(spark, sf), list(keys), [F.desc("priority"), F.desc("published_at"), F.asc("version_id")])
+def best_versions(spark, sf, keys=("entry_id", "language"), where="true"):
+    """The version of the best source among those that meet ``where``: highest priority, then latest, then the smallest id.
+
+    Taken from the publications at once: those of a source share its priority and id, so the best one is the latest of the best version.
+    """
+    order = [F.desc("priority"), F.desc("published_at"), F.asc("version_id")]
+    return best_by_shares(publications(spark, sf).where(where), list(keys), order, "entry_id", "source_no", table(spark, sf, "lineitem").count())
 
 
 BEST = "SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY priority DESC, published_at DESC, version_id) AS rk FROM versions"
