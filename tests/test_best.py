@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators.windows import SHARES, best_by_shares, best_of
+from lectern.plans import registry
 from lectern.plans.relational import best_versions
 from lectern.sources.views import publications, versions
 
@@ -42,6 +43,15 @@ def test_as_by_versions(spark, folder, keys, where):
     assert rows(got.select(*want.columns)) == rows(want)
 
 
+def test_list_sources(spark, folder):
+    """The sources of the best versions, without a table of (entry, source) pairs below."""
+    best = best_of(versions(spark, folder), ["entry_id", "language"], order())
+    want = best.groupBy("source_no").agg(F.count(F.lit(1)).alias("entries"), F.max("priority").alias("priority"))
+    got = registry.QUERIES["list_sources"](spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == rows(want) and plan.count("Aggregate(") == 2  # by source alone, in two steps
+
+
 def test_nothing(spark, folder):
     assert best_versions(spark, folder, where="false").count() == 0
 
