@@ -247,6 +247,42 @@ def test_merged():
         assert all(len(key) <= 2 * brown.HANDED for key, _ in got)
 
 
+def test_every_word_is_clustered_whatever_the_head(spark):
+    """Words that tasks don't know are clustered and scored as the others, also beside each other; only the least count decides."""
+    draw = np.random.default_rng(11)
+    rows = [(k, " ".join(f"w{int(80 * x**3)}" for x in draw.random(30))) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = Counter(w for _, t in rows for w in words(t))
+    models = {}
+    for head in (1 << 22, 30, 1):
+        model, found = brown.fit(docs.select("text"), "text", head, None, 4, 5)
+        models[head] = model
+        assert len(model["of"]) == sum(n >= 4 for n in counts.values()) > 40
+        got = {r.doc_id: r.score for r in brown.score(docs, model, found, ["doc_id"]).collect()}
+        if head == 1 << 22:
+            class_of = {w.decode(): int(model["of"][k]) for w, k in model["ids"].items() if k < len(model["of"])}
+        for (k, _), wanted in zip(rows, brute_scores(rows, class_of, 5, 4)):
+            assert got[k] == pytest.approx(wanted, abs=1e-6)
+    assert len(models[1]["ids"]) < len(models[30]["ids"]) < 30 and all((m["of"] == models[30]["of"]).all() for m in models.values())
+
+
+def test_best_classes_of_many_words():
+    """As one by one, with words that have no neighbours."""
+    draw = np.random.default_rng(5)
+    bigrams = draw.integers(0, 4, (40, 40)).astype(float)
+    bigrams[:, 7] = bigrams[7] = 0
+    of = np.concatenate([draw.integers(0, 5, 38), [5, 6]])
+    hot = np.eye(7)[of]
+    table, old, loop = hot.T @ bigrams @ hot, of[:38], bigrams.diagonal()[:38].copy()
+    right, left = (bigrams @ hot)[:38], (bigrams.T @ hot)[:38]
+    for x in (right, left):
+        x[np.arange(38), old] -= loop
+    new, gain = brown.best_classes(table, table.sum(1), table.sum(0), right, left, loop, old, 5)
+    for k in range(38):
+        assert (new[k], pytest.approx(gain[k], abs=1e-9)) == brown.best_class(table, table.sum(1), table.sum(0), right[k], left[k], loop[k], int(old[k]), 5)
+    assert new[7] == old[7] and (new != old).sum() > 10
+
+
 def test_odd(clashing, empty):
     check_base([(r.doc_id, r.text) for r in clashing.collect()], brown.brown_scores(clashing).collect())
     assert brown.brown_scores(empty).count() == 0
