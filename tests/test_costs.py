@@ -37,3 +37,9 @@ def test_revisions_are_swept_once(spark, sf, name):
 def test_forms_are_made_once(spark, sf, name):
     """Segments are cut for forms that are kept."""
     assert ".{400,800}" not in plan(spark, sf, name)
+
+
+def test_claims_are_formed_once(spark, sf):
+    """Claims are cut without a regex that looks from each character for the line's end, formed once, and no tokens of chunks are shuffled."""
+    p = plan(spark, sf, "g_07_cited_support")
+    assert "regexp_extract" not in p and "LogicalRDD" in p and p.count("Generate explode") <= 2

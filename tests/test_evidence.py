@@ -149,3 +149,27 @@ def test_fallback_answers(spark):
     assert by[1, None] == ("t21\n\nt22\n\nt21", [(2, "q21"), (2, "q22")], True) and by[1, "selection_normalized"][2] is False
     assert by[1, "no_selection"] == (E.SAID_INSTEAD["en"]["no_selection"], [(1, "q11"), (2, "q21"), (3, "q31")], False)
     assert by[1, "malformed_selection"][0] == E.SAID_INSTEAD["ru"]["malformed_selection"] and by[2, "insufficient_retrieval"] == (E.SAID_INSTEAD["en"]["insufficient_retrieval"], [], False)
+
+
+def test_cited_claims_end_as_in_sql(spark, tmp_path):
+    """The last sentence of the first line, its end mark aside; only a line feed ends a line, also behind a mark."""
+    import duckdb
+
+    from lectern.plans.evidence import cited_claims
+
+    texts = ["a. b.\nc", "a..", "", "x", "...", ".", "a. b", "a.\r\nb", "a. b.\r", "é. ü ", None, "\n. b", " a. b. ", "one. two.three"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.claim_id: r.claim for r in cited_claims(spark, str(tmp_path))[0].collect()}
+    sql = rf"SELECT doc_id, regexp_extract(regexp_extract(text, '^([^\n]*)', 1), '([^.]*)\.?$', 1) FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')"
+    assert got == dict(duckdb.sql(sql).fetchall()) and got[8] == "\r" and got[0] == " b"
+
+
+def test_tokens_that_every_cited_chunk_lacks(spark):
+    """Of several chunks, repeated tokens, chunks that aren't there, and none at all."""
+    from lectern.operators.support import claim_support
+
+    claims = [(1, "red fox jumps red"), (2, "red fox"), (3, "red wolf"), (4, "red fox"), (5, "red wolf"), (6, "")]
+    cites = [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 9), (5, 1), (5, 1), (6, 1)]
+    chunks = spark.createDataFrame([(1, "A red fox. It runs."), (2, "The fox jumps; blue.")], "chunk_id int, text string")
+    got = claim_support(spark.createDataFrame(claims, "claim_id int, claim string"), spark.createDataFrame(cites, "claim_id int, chunk_id int"), chunks)
+    assert {r.claim_id: (r.supported, r.unsupported) for r in got.collect()} == {1: (False, []), 2: (False, []), 3: (False, ["wolf"]), 4: (False, ["red", "fox"]), 5: (False, ["wolf"]), 6: (False, [])}
